@@ -1,7 +1,7 @@
 """Exact order statistics without collecting a column into one task.
 
-Approximate quantiles bracket each wanted rank; only the values inside the brackets are counted, per distinct
-value, so hot values shrink to one row and the rest of the column never moves.
+Approximate quantiles bracket each wanted rank. Values below a bracket are only counted, values inside are counted
+per distinct value before the shuffle, the rest never moves; hot values shrink to one row.
 """
 
 from __future__ import annotations
@@ -23,34 +23,35 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     by = by or []
     keys = [*by, "column"]
     long = _long(df, columns, by)
-    spread = 2.0 / accuracy
-    low = [max(p - spread, 0.0) for p in probabilities]
-    high = [min(p + spread, 1.0) for p in probabilities]
+    near, wide = 2.0 / accuracy, 0.05
+    reach = [q for p in probabilities for d in (near, wide) for q in (max(p - d, 0.0), min(p + d, 1.0))]
     sketch = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.percentile_approx("value", low, accuracy).alias("low"),
-        F.percentile_approx("value", high, accuracy).alias("high"))
-    wanted = sketch.select(*keys, "n", "least", "most", F.posexplode(F.arrays_zip(
-        F.array(*[F.lit(p) for p in probabilities]).alias("p"), "low", "high")).alias("slot", "b"))
+        F.percentile_approx("value", reach, accuracy).alias("q"))
+    slots = F.array(*[F.struct(F.lit(p).alias("p"), F.slice("q", 4 * i + 1, 4).alias("b"))
+                      for i, p in enumerate(probabilities)])
     last = F.col("n") - 1
-    rank = (F.col("n") * F.col("b.p")) if method == "nearest" else last * F.col("b.p")
-    wanted = wanted.select(
-        *keys, "n", F.col("b.p").alias("p"), F.least(F.floor(rank), last).alias("rank"),
-        (rank - F.floor(rank)).alias("part"),
-        F.when(F.col("b.p") <= spread, F.col("least")).otherwise(F.col("b.low")).alias("low"),
-        F.when(F.col("b.p") >= 1 - spread, F.col("most")).otherwise(F.col("b.high")).alias("high"))
-    # one row per distinct value and column; hot values are merged before the shuffle
-    counted = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
-    met = counted.join(wanted, keys).where(F.col("value") <= F.col("high"))
+    rank = F.col("n") * F.col("p") if method == "nearest" else last * F.col("p")
+    # A bracket must hold the wanted rank and the one after it: widen it when few rows fall inside.
+    dense, some = F.col("n") >= 2 * accuracy, F.col("n") >= 100
+
+    def edge(i: int, end: str, open_end: Column) -> Column:
+        tight = F.when(dense, F.get("b", F.lit(i))).when(some, F.get("b", F.lit(i + 2)))
+        return F.when(open_end, F.col(end)).otherwise(F.coalesce(tight, F.col(end)))
+
+    wanted = sketch.select(*keys, "n", "least", "most", F.inline(slots)).select(
+        *keys, "p", F.least(F.floor(rank), last).alias("rank"), (rank - F.floor(rank)).alias("part"),
+        edge(0, "least", F.col("p") <= near).alias("low"), edge(1, "most", F.col("p") >= 1 - near).alias("high"))
+    # Without groups there is one row per column and probability, whatever the data: safe to broadcast.
+    bound = long.join(wanted if by else F.broadcast(wanted), keys).where(F.col("value") <= F.col("high"))
+    # All values below a bracket merge into one, so only distinct values inside brackets are shuffled.
     slot = [*keys, "p"]
-    below = met.where(F.col("value") < F.col("low")).groupBy(*slot).agg(F.sum("c").alias("below"))
+    merged = F.when(F.col("value") < F.col("low"), float("-inf")).otherwise(F.col("value"))
+    counted = (bound.withColumn("value", merged).groupBy(*slot, "rank", "part", "value")
+               .agg(F.count(F.lit(1)).alias("c")))
     running = Window.partitionBy(*slot).orderBy("value")
-    inside = (met.where(F.col("value") >= F.col("low"))
-              .withColumn("upto", F.sum("c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("next", F.lead("value").over(running))
-              .join(below, slot, "left")
-              .withColumn("to", F.col("upto") + F.coalesce(F.col("below"), F.lit(0)))
-              .withColumn("from", F.col("to") - F.col("c")))
+    inside = (counted.withColumn("to", F.sum("c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("next", F.lead("value").over(running)).withColumn("from", F.col("to") - F.col("c")))
     hit = inside.where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
     if method == "nearest":
         return hit.select(*slot, "value")
