@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sunloom import config
 from sunloom.functions import numeric
-from sunloom.functions.texts import clean_id
+from sunloom.functions.texts import as_map, clean_id
 from sunloom.operators import clean, quantiles
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -134,7 +134,6 @@ def validate_ranges(spark, folder):
 @query(f"""SELECT prediction_id, count(*) AS kept, {R('sum(weight)')} AS total FROM shap WHERE feature <> 'rolling_power_mean'
   GROUP BY prediction_id""", ("shap",))
 def feature_allow_list(spark, folder):
-    from sunloom.functions.texts import as_map
     kept = clean.allowed_features(as_map(F.col("shap")))
     total = F.aggregate(F.map_values("kept"), F.lit(0.0), lambda a, x: a + x)
     return b.predictions(spark, folder).select("prediction_id", kept.alias("kept")).select(

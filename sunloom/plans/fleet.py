@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sunloom.functions import grading
+from sunloom.functions import grading, timeparts
+from sunloom.functions.texts import has_text
 from sunloom.operators import fleet, kpi, series
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -185,7 +186,6 @@ def latest_ties(spark, folder):
   LEFT JOIN operators o ON l.user_id = o.operator_id AND l.user_role = 'operator'
   WHERE lower(l.action) LIKE '%urg%' OR l.action LIKE '%HIGH%'""", ("audit", "admins", "operators"))
 def audit_polymorphic(spark, folder):
-    from sunloom.functions.texts import has_text
     logs = b.audit_logs(spark, folder).where(has_text(F.col("action"), "URG") | F.col("action").like("%HIGH%"))
     details = F.from_json("details", "amount double")
     return fleet.named_audit(logs, b.admins(spark, folder), b.operators(spark, folder)).select(
@@ -263,7 +263,6 @@ def health_buckets(spark, folder):
 @query("""SELECT inverter_id, inverter_name FROM inverters JOIN blocks USING (block_id)
   WHERE contains(lower(inverter_name), '7') OR contains(lower(block_name), 'nation_1')""", ("inverters", "blocks"))
 def name_search(spark, folder):
-    from sunloom.functions.texts import has_text
     inv, blocks, _ = _dims(spark, folder)
     return inv.join(blocks, "block_id").where(
         has_text(F.col("inverter_name"), "7") | has_text(F.col("block_name"), "Nation_1")).select("inverter_id", "inverter_name")
@@ -421,11 +420,10 @@ def latest_wins_upsert(spark, folder):
   (epoch_us({AS_OF}) - epoch_us(m)) // 60000000 AS age FROM inverters i LEFT JOIN (SELECT inverter_id, max(ts) AS m FROM rd
   GROUP BY inverter_id) USING (inverter_id))""", ("rd", "inverters"))
 def age_text(spark, folder):
-    from sunloom.functions.timeparts import age_text as text
     rd = b.readings(spark, folder)
     as_of = _as_of(rd)
     return fleet.stale_devices(rd, b.inverters(spark, folder), as_of).select(
-        "inverter_id", text(F.col("last_data_at"), as_of).alias("age"))
+        "inverter_id", timeparts.age_text(F.col("last_data_at"), as_of).alias("age"))
 
 
 @query("""SELECT reading_id, is_faulty, category <> 'offline' AND op_state <> 0 AS online FROM rd""", ("rd",))
