@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ def clean_id(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def has_text(field: Column, needle: str) -> Column:
@@ -39,7 +39,9 @@ def json_fields(reply: Column) -> Column:
     """
     wrapped = F.from_json(F.concat(F.lit("["), json_text(reply), F.lit("]")), "array<map<string,string>>",
                           {"mode": "PERMISSIVE"})
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    # a one-element transform names the parsed value, so the text is parsed once
+    single = F.transform(F.array(wrapped), lambda w: F.when(F.size(w) == 1, F.get(w, F.lit(0))))
+    return F.get(single, F.lit(0))
 
 
 def mentioned_features(reply: Column) -> Column:

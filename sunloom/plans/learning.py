@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sunloom import config
 from sunloom.functions import grading, texts
 from sunloom.functions.numeric import js_round
-from sunloom.learning import attribution, metrics, scale
+from sunloom.learning import attribution, forest, metrics, scale
 from sunloom.operators import ranking
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -215,3 +215,14 @@ def high_risk_tickets(spark, folder):
     return rows.select("prediction_id", "inverter_id", grading.ticket_priority(score).alias("priority"), (score > 0.8).alias("escalate"),
                        grading.ticket_id(F.col("ts"), F.col("inverter_id").cast("string"),
                                          F.col("prediction_id").cast("string")).alias("ticket_id"))
+
+
+FOREST = ["power", "temp", "pv1_current", "pf", "v_r"]
+
+
+@query()
+def isolation_forest(spark, folder):
+    """Anomaly score and flag of every telemetry row; a published randomised method, so no SQL twin."""
+    rows = b.telemetry(spark, folder).select("event_id", *FOREST)
+    return forest.add_isolation(rows, "event_id", FOREST, trees=50).select(
+        "event_id", r("iso_forest_score", 6).alias("score"), F.col("iso_forest_anomaly").alias("anomaly"))

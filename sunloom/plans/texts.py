@@ -224,17 +224,38 @@ def _scored(spark, folder):
     return evaluate.evaluate(_replies(spark, folder))
 
 
-def _score_query(name, column):
-    @query(f"SELECT conv_id, turn, {R(column, 3)} AS score FROM {SCORED}", ("replies",), name=name)
-    def plan(spark, folder):
-        return _scored(spark, folder).select("conv_id", "turn", r(column, 3).alias("score"))
-    return plan
+def _parsed(spark, folder):
+    rows = _replies(spark, folder).withColumn("fields", texts.json_fields(F.col("response")))
+    return rows, F.col("response"), F.col("fields"), F.col("task")
+
+
+@query(f"SELECT conv_id, turn, {R('json_validity', 3)} AS score FROM {SCORED}", ("replies",))
+def json_validity(spark, folder):
+    rows, reply, fields, task = _parsed(spark, folder)
+    return rows.select("conv_id", "turn", r(evaluate.json_validity(reply, fields, task), 3).alias("score"))
+
+
+@query(f"SELECT conv_id, turn, {R('hallucination', 3)} AS score FROM {SCORED}", ("replies",))
+def hallucination_score(spark, folder):
+    score = evaluate.hallucination(F.col("response"), F.col("known"), F.col("raw"))
+    return _replies(spark, folder).select("conv_id", "turn", r(score, 3).alias("score"))
+
+
+@query(f"SELECT conv_id, turn, {R('urgency_accuracy', 3)} AS score FROM {SCORED}", ("replies",))
+def urgency_score(spark, folder):
+    rows, reply, fields, task = _parsed(spark, folder)
+    return rows.select("conv_id", "turn", r(evaluate.urgency(reply, fields, F.col("risk_class"), task), 3).alias("score"))
+
+
+@query(f"SELECT conv_id, turn, {R('completeness', 3)} AS score FROM {SCORED}", ("replies",))
+def completeness_score(spark, folder):
+    rows, reply, fields, task = _parsed(spark, folder)
+    return rows.select("conv_id", "turn", r(evaluate.completeness(reply, fields, task), 3).alias("score"))
 
 
-for _name, _column in (("json_validity", "json_validity"), ("hallucination_score", "hallucination"),
-                       ("urgency_score", "urgency_accuracy"), ("completeness_score", "completeness"),
-                       ("quality_score", "response_quality")):
-    _score_query(_name, _column)
+@query(f"SELECT conv_id, turn, {R('response_quality', 3)} AS score FROM {SCORED}", ("replies",))
+def quality_score(spark, folder):
+    return _replies(spark, folder).select("conv_id", "turn", r(evaluate.response_quality(F.col("response")), 3).alias("score"))
 
 
 @query(f"""SELECT model, count(*) AS n_total, count_if(error IS NULL) AS n_valid, {', '.join(

@@ -18,11 +18,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def word_windows(text: Column, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP,
+def word_windows(every: Column, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP,
                  min_chars: int = config.CHUNK_MIN_CHARS) -> Column:
-    """ARRAY of overlapping windows of `size` words; windows of `min_chars` characters or fewer are left out."""
+    """ARRAY of overlapping windows of `size` words; windows of `min_chars` characters or fewer are left out.
+
+    `every` must be a stored column of words: an expression would be evaluated again for every window.
+    """
     step = max(size - overlap, 1)
-    every = words(text)
     starts = F.when(F.size(every) > 0, F.sequence(F.lit(0), F.size(every) - 1, F.lit(step))).otherwise(
         F.array().cast("array<int>"))
     windows = F.transform(starts, lambda s: F.array_join(F.slice(every, s + 1, size), " "))
@@ -31,7 +33,8 @@ def word_windows(text: Column, size: int = config.CHUNK_WORDS, overlap: int = co
 
 def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows (key, chunk_id, chunk) over whole texts."""
-    return docs.select(key, F.posexplode(word_windows(F.col(text), **options)).alias("chunk_id", "chunk"))
+    split = docs.select(key, words(F.col(text)).alias("__words"))
+    return split.select(key, F.posexplode(word_windows(F.col("__words"), **options)).alias("chunk_id", "chunk"))
 
 
 def fit_embedder(texts: DataFrame, column: str = "chunk", size: int = 256) -> PipelineModel:

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom import config
-
 
 # Declared schemas: no inference pass, and wall-clock columns read as TIMESTAMP in the session zone (UTC).
 SCHEMAS = {
@@ -34,178 +32,145 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _k():
-    return F.get_json_object("props", "$.k").cast("int")
+K = "cast(get_json_object(props, '$.k') AS int) AS k"
+GRADE = ("CASE WHEN value < 20 THEN 'A' WHEN value < 50 THEN 'B' WHEN value < 100 THEN 'C' "
+         "WHEN value < 200 THEN 'D' ELSE 'E' END")
+ALARM = ("CASE WHEN event_type <> 'error' THEN 0 WHEN k % 4 = 0 THEN 464 WHEN k % 4 = 1 THEN 559 "
+         "WHEN k % 4 = 2 THEN 8 ELSE 39 END")
 
 
-def _pick(index, values):
-    """values[index], 0-based."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+def keyed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with the number `k` out of their JSON properties."""
+    return table(spark, folder, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", K)
 
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
-    value, eid, k = F.col("value"), F.col("event_id"), F.col("k")
-    alarm = F.when(F.col("event_type") == "error", _pick(k % 4, [464, 559, 8, 39])).otherwise(0)
-    state = (F.when(F.col("event_type") == "signup", 0)
-             .when((F.col("event_type") == "purchase") & (k % 10 == 0), 4608).otherwise(5120))
-    category = (F.when(value < 20, "A").when(value < 50, "B").when(value < 100, "C").when(value < 200, "D")
-                .otherwise("E"))
-    return table(spark, folder, "events").withColumn("k", _k()).select(
-        "event_id", F.concat(F.lit("Plant "), (F.col("user_id") % 3 + 1).cast("string")).alias("plant_id"),
-        F.concat(F.lit("MAC-"), (F.col("user_id") % 10).cast("string")).alias("mac"),
-        F.col("user_id").alias("inverter_id"), "ts", (value * 10).alias("power"), (k * 0.4 + 20).alias("temp"),
-        (k % 10).cast("double").alias("pv1_current"), (eid % 10).cast("double").alias("pv2_current"),
-        ((k + eid) % 10).cast("double").alias("pv3_current"), (k + 500).cast("double").alias("pv1_voltage"),
-        (eid % 20 + 230).cast("double").alias("v_r"), ((k % 15) * 0.01 + 0.85).alias("pf"),
-        F.when(eid % 3 != 0, eid * 0.5 + k).alias("kwh_total"), F.when(k % 4 == 0, (k % 7).cast("double")).alias(
-            "limit_percent"),
-        alarm.cast("int").alias("alarm_code"), state.cast("int").alias("op_state"), category.alias("category"))
+    return keyed_events(spark, folder).selectExpr(
+        "event_id", "concat('Plant ', user_id % 3 + 1) AS plant_id", "concat('MAC-', user_id % 10) AS mac",
+        "user_id AS inverter_id", "ts", "value * 10 AS power", "k * 0.4D + 20 AS temp",
+        "cast(k % 10 AS double) AS pv1_current", "cast(event_id % 10 AS double) AS pv2_current",
+        "cast((k + event_id) % 10 AS double) AS pv3_current", "cast(k + 500 AS double) AS pv1_voltage",
+        "cast(event_id % 20 + 230 AS double) AS v_r", "(k % 15) * 0.01D + 0.85D AS pf",
+        "CASE WHEN event_id % 3 <> 0 THEN event_id * 0.5D + k END AS kwh_total",
+        "CASE WHEN k % 4 = 0 THEN cast(k % 7 AS double) END AS limit_percent", f"{ALARM} AS alarm_code",
+        "CASE WHEN event_type = 'signup' THEN 0 WHEN event_type = 'purchase' AND k % 10 = 0 THEN 4608 ELSE 5120 END "
+        "AS op_state", f"{GRADE} AS category")
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """Scored readings: the fact table of the dashboards."""
-    value, eid, k = F.col("value"), F.col("event_id"), F.col("k")
-    category = (F.when(value < 20, "A").when(value < 50, "B").when(value < 100, "C").when(value < 200, "D")
-                .otherwise("E"))
-    return (table(spark, folder, "events").withColumn("k", _k()).select(
-        F.col("event_id").alias("reading_id"), F.col("user_id").alias("inverter_id"), "ts",
-        category.alias("category"), (k / F.lit(100.0)).alias("confidence"),
-        category.isin("C", "D", "E").alias("is_faulty"),
-        F.when(category.isin("C", "D", "E"), F.concat(F.lit("Fault "), category)).alias("fault_type"),
-        (k * 8 + 20).cast("double").alias("dc_voltage"), (eid % 12).cast("double").alias("dc_current"),
-        (value - 10).alias("ac_power"), (k * 0.7 + 10).alias("module_temp"),
-        (eid % 40).cast("double").alias("ambient_temp"), ((k * 11) % 1000).cast("double").alias("irradiation"),
-        F.when(F.col("event_type") == "error", _pick(k % 4, [464, 559, 8, 39])).otherwise(0).alias("alarm_code"),
-        F.when(F.col("event_type") == "signup", 0).otherwise(5120).alias("op_state")))
+    return keyed_events(spark, folder).selectExpr("*", f"{GRADE} AS category").selectExpr(
+        "event_id AS reading_id", "user_id AS inverter_id", "ts", "category", "k / 100D AS confidence",
+        "category IN ('C', 'D', 'E') AS is_faulty",
+        "CASE WHEN category IN ('C', 'D', 'E') THEN concat('Fault ', category) END AS fault_type",
+        "cast(k * 8 + 20 AS double) AS dc_voltage", "cast(event_id % 12 AS double) AS dc_current", "value - 10 AS ac_power",
+        "k * 0.7D + 10 AS module_temp", "cast(event_id % 40 AS double) AS ambient_temp",
+        "cast((k * 11) % 1000 AS double) AS irradiation", f"{ALARM} AS alarm_code",
+        "CASE WHEN event_type = 'signup' THEN 0 ELSE 5120 END AS op_state")
 
 
 def plants(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("r_regionkey")
-    return table(spark, folder, "region").select(
-        key.alias("plant_id"), F.col("r_name").alias("plant_name"),
-        F.when(key == 4, "decommissioned").when(key == 3, "maintenance").otherwise("active").alias("status"),
-        (key * 100).cast("bigint").alias("created_by"))
+    return table(spark, folder, "region").selectExpr(
+        "r_regionkey AS plant_id", "r_name AS plant_name", "CASE WHEN r_regionkey = 4 THEN 'decommissioned' "
+        "WHEN r_regionkey = 3 THEN 'maintenance' ELSE 'active' END AS status", "cast(r_regionkey * 100 AS bigint) AS created_by")
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("block_id"), F.col("n_regionkey").alias("plant_id"),
-        F.col("n_name").alias("block_name"))
+    return table(spark, folder, "nation").selectExpr("n_nationkey AS block_id", "n_regionkey AS plant_id", "n_name AS block_name")
 
 
 def inverters(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return table(spark, folder, "supplier").select(
-        key.alias("inverter_id"), F.col("s_nationkey").alias("block_id"), F.col("s_name").alias("inverter_name"),
-        (F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 100).alias("capacity_kw"),
-        _pick(key % 6, config.CATEGORIES).alias("current_category"), (key % 7 != 0).alias("is_online"))
+    return table(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS inverter_id", "s_nationkey AS block_id", "s_name AS inverter_name",
+        "greatest(s_acctbal, 0D) / 100 AS capacity_kw",
+        "array('A', 'B', 'C', 'D', 'E', 'offline')[cast(s_suppkey % 6 AS int)] AS current_category", "s_suppkey % 7 <> 0 AS is_online")
 
 
 def admins(spark: SparkSession, folder: str) -> DataFrame:
     """People of one market segment play the administrators, the others the operators."""
-    return (table(spark, folder, "customer").where(F.col("c_mktsegment") == "MACHINERY")
-            .select(F.col("c_custkey").alias("admin_id"), F.col("c_name").alias("name")))
+    return table(spark, folder, "customer").where("c_mktsegment = 'MACHINERY'").selectExpr("c_custkey AS admin_id", "c_name AS name")
 
 
 def operators(spark: SparkSession, folder: str) -> DataFrame:
-    return (table(spark, folder, "customer").where(F.col("c_mktsegment") != "MACHINERY")
-            .select(F.col("c_custkey").alias("operator_id"), F.col("c_name").alias("name"),
-                    (F.col("c_acctbal") > 0).alias("is_active")))
+    return table(spark, folder, "customer").where("c_mktsegment <> 'MACHINERY'").selectExpr(
+        "c_custkey AS operator_id", "c_name AS name", "c_acctbal > 0 AS is_active")
 
 
 def plant_access(spark: SparkSession, folder: str) -> DataFrame:
     """Operators see the plant of their nation; those with a high balance also the next one."""
-    home = (table(spark, folder, "customer").where(F.col("c_mktsegment") != "MACHINERY")
-            .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")))
-    both = F.array_compact(F.array(F.col("n_regionkey"),
-                                   F.when(F.col("c_acctbal") > 5000, (F.col("n_regionkey") + 1) % 5)))
-    return home.where(F.col("c_acctbal") > -500).select(
-        F.col("c_custkey").alias("operator_id"), F.explode(both).alias("plant_id"))
+    home = table(spark, folder, "customer").where("c_mktsegment <> 'MACHINERY' AND c_acctbal > -500").join(
+        table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return home.selectExpr(
+        "c_custkey AS operator_id",
+        "explode(array_compact(array(n_regionkey, CASE WHEN c_acctbal > 5000 THEN (n_regionkey + 1) % 5 END))) AS plant_id")
 
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "warning").otherwise(
-        "info")
-    seen = F.col("l_linestatus") == "F"
-    return table(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("alert_id"), F.col("l_suppkey").alias("inverter_id"),
-        kind.alias("type"), seen.alias("acknowledged"), F.when(seen, F.col("l_partkey")).alias("acknowledged_by"),
-        F.col("l_extendedprice").alias("weight"), F.col("l_shipdate").alias("created_at"))
+    return table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS alert_id", "l_suppkey AS inverter_id",
+        "CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'info' END AS type",
+        "l_linestatus = 'F' AS acknowledged", "CASE WHEN l_linestatus = 'F' THEN l_partkey END AS acknowledged_by",
+        "l_extendedprice AS weight", "l_shipdate AS created_at")
 
 
 def audit_logs(spark: SparkSession, folder: str) -> DataFrame:
-    role = F.when(F.col("o_orderstatus") == "F", "admin").when(F.col("o_orderstatus") == "O", "operator").otherwise(
-        "public")
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("log_id"), F.col("o_custkey").alias("user_id"), role.alias("user_role"),
-        F.col("o_orderpriority").alias("action"), F.col("o_orderdate").alias("created_at"),
-        F.to_json(F.struct(F.col("o_totalprice").alias("amount"))).alias("details"))
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS log_id", "o_custkey AS user_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'admin' WHEN 'O' THEN 'operator' ELSE 'public' END AS user_role",
+        "o_orderpriority AS action", "o_orderdate AS created_at", "to_json(struct(o_totalprice AS amount)) AS details")
 
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     """Model-call runs with ISO text times; every fifth run is a root, the next four are its steps."""
-    k, eid = F.col("k"), F.col("event_id")
-    end = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 10000).cast("bigint"))
-    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-    root = eid % 5 == 0
-    return table(spark, folder, "events").withColumn("k", _k()).select(
-        eid.alias("run_id"), F.col("event_type").alias("name"),
-        F.when(k % 9 == 0, "error").when(k % 11 == 0, "pending").otherwise("success").alias("status"),
-        F.when(k % 13 != 0, F.date_format("ts", iso)).alias("start_time"),
-        F.when(k % 17 == 0, "not a time").otherwise(F.date_format(end, iso)).alias("end_time"),
-        F.when(k % 5 != 0, k * 3 + 10).alias("prompt_tokens"), (k * 2).alias("completion_tokens"),
-        F.when(k % 5 != 0, k * 5 + 10).alias("total_tokens"),
-        F.when(~root, eid - eid % 5).alias("parent_id"), root.alias("is_root"))
+    iso = "yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS\\'Z\\'"
+    return keyed_events(spark, folder).selectExpr(
+        "event_id AS run_id", "event_type AS name",
+        "CASE WHEN k % 9 = 0 THEN 'error' WHEN k % 11 = 0 THEN 'pending' ELSE 'success' END AS status",
+        f"CASE WHEN k % 13 <> 0 THEN date_format(ts, '{iso}') END AS start_time",
+        f"CASE WHEN k % 17 = 0 THEN 'not a time' ELSE date_format(timestamp_micros(unix_micros(ts) + "
+        f"cast(floor(value * 10000) AS bigint)), '{iso}') END AS end_time",
+        "CASE WHEN k % 5 <> 0 THEN k * 3 + 10 END AS prompt_tokens", "k * 2 AS completion_tokens",
+        "CASE WHEN k % 5 <> 0 THEN k * 5 + 10 END AS total_tokens",
+        "CASE WHEN event_id % 5 <> 0 THEN event_id - event_id % 5 END AS parent_id", "event_id % 5 = 0 AS is_root")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Prediction records: attribution and raw values as ordered {feature, value} entries."""
-    def entries(pairs):
-        return F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value")) for n, v in pairs])
-
-    value, eid, k = F.col("value"), F.col("event_id"), F.col("k")
-    weights = entries([
-        ("inverters[0].power", (value - 50) / 100), ("inverters[0].temp", (k - 50) / F.lit(100.0)),
-        ("inverters[0].alarm_code", (eid % 7 - 3) / F.lit(10.0)), ("meters[0].freq", (eid % 11 - 5) / F.lit(20.0)),
-        ("meters[0].pf", (k % 5 - 2) / F.lit(50.0)), ("smu[0].string3", (eid % 13 - 6) / F.lit(30.0)),
-        ("sensors[0].ambient_temp", (k % 9 - 4) / F.lit(40.0)), ("rolling_power_mean", (eid % 17 - 8) / F.lit(25.0))])
-    raw = entries([
-        ("inverters[0].power", value * 10), ("inverters[0].temp", k * 0.5 + 20), ("inverters[0].alarm_code", k % 4),
-        ("meters[0].pf", k * 0.01), ("sensors[0].ambient_temp", eid % 40)])
-    score = k / F.lit(100.0)
-    return table(spark, folder, "events").withColumn("k", _k()).select(
-        F.col("event_id").alias("prediction_id"), F.col("user_id").alias("inverter_id"), "ts",
-        score.alias("risk_score"),
-        F.when(score >= 0.8, "shutdown_risk").when(score >= 0.4, "degradation_risk").otherwise("no_risk").alias(
-            "risk_class"), weights.alias("shap"), raw.alias("raw"))
+    def entries(pairs: dict[str, str]) -> str:
+        items = ", ".join(f"named_struct('feature', '{n}', 'value', cast({v} AS double))" for n, v in pairs.items())
+        return f"array({items})"
+
+    weights = entries({
+        "inverters[0].power": "(value - 50) / 100", "inverters[0].temp": "(k - 50) / 100D",
+        "inverters[0].alarm_code": "(event_id % 7 - 3) / 10D", "meters[0].freq": "(event_id % 11 - 5) / 20D",
+        "meters[0].pf": "(k % 5 - 2) / 50D", "smu[0].string3": "(event_id % 13 - 6) / 30D",
+        "sensors[0].ambient_temp": "(k % 9 - 4) / 40D", "rolling_power_mean": "(event_id % 17 - 8) / 25D"})
+    raw = entries({"inverters[0].power": "value * 10", "inverters[0].temp": "k * 0.5D + 20", "inverters[0].alarm_code": "k % 4",
+                   "meters[0].pf": "k * 0.01D", "sensors[0].ambient_temp": "event_id % 40"})
+    return keyed_events(spark, folder).selectExpr(
+        "event_id AS prediction_id", "user_id AS inverter_id", "ts", "k / 100D AS risk_score",
+        "CASE WHEN k / 100D >= 0.8D THEN 'shutdown_risk' WHEN k / 100D >= 0.4D THEN 'degradation_risk' ELSE 'no_risk' END "
+        "AS risk_class", f"{weights} AS shap", f"{raw} AS raw")
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """Model replies of three tasks built around conversation text: plain, JSON, fenced or broken."""
-    key = F.col("conv_id") + F.col("turn")
-    quote = F.lit('"')
-    text = F.translate(F.col("text"), '"\\\n\r\t', "     ")
-    risk = _pick(key % 3, config.CLASS_NAMES)
-    urgency = _pick(key % 5, ["immediate", "Within_24h ", "scheduled", "routine", "later"])
-    body = F.concat(
-        F.lit('{"summary": "'), text, F.lit('", "key_factors": [{"feature": "'),
-        _pick(key % 2, ["power", "inverters[9].temp"]), F.lit('"}], "recommended_actions": ["check inverters['),
-        (key % 4).cast("string"), F.lit('].temp now at '), (key % 60 + 20).cast("string"), F.lit('.5 °C"]'),
-        F.when(key % 4 != 3, F.concat(F.lit(', "urgency": "'), urgency, quote)).otherwise(""),
-        F.when(key % 2 == 0, ', "title": "Risk", "priority": "P2-High", "description": "see the summary text"')
-        .otherwise(""), F.lit("}"))
-    reply = (F.when(key % 6 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\ndone")))
-             .when(key % 6 == 1, F.concat(F.lit("I'm sorry, inverters[1].temp is 40 °C. "), F.col("text")))
-             .when(key % 6 == 2, F.concat(body, F.lit(" trailing")))
-             .when(key % 6 == 3, F.concat(F.lit("Error: risk 0.5, you should inspect. "), F.col("text")))
-             .otherwise(body))
-    return table(spark, folder, "conversations").select(
-        "conv_id", "turn", _pick(key % 3, ["explanation", "ticket", "chat"]).alias("task"),
-        _pick(F.col("conv_id") % 3, ["model-a", "model-b", "model-c"]).alias("model"), risk.alias("risk_class"),
-        reply.alias("response"), (F.length("text") / F.lit(100.0)).alias("latency_seconds"),
-        (F.length("text") % 50).cast("int").alias("input_tokens"),
-        F.when(F.col("turn") % 4 != 3, F.length("text")).cast("int").alias("output_tokens"),
-        F.when(key % 10 == 9, F.lit("timeout")).alias("error"),
-        F.array(F.struct(F.lit("inverters[0].temp").alias("feature"), (F.lit(30.0) + key % 40).alias("value")),
-                F.struct(F.lit("inverters[1].temp").alias("feature"), F.lit(39.8).alias("value")),
-                F.struct(F.lit("meters[0].pf").alias("feature"), F.lit(0.9).alias("value"))).alias("raw"))
+    parts = table(spark, folder, "conversations").withColumn(
+        "plain", F.translate("text", '"\\\n\r\t', "     ")).selectExpr("*", "cast(conv_id + turn AS int) AS key")
+    body = parts.selectExpr("*", """concat('{"summary": "', plain, '", "key_factors": [{"feature": "',
+        array('power', 'inverters[9].temp')[key % 2], '"}], "recommended_actions": ["check inverters[', key % 4,
+        '].temp now at ', key % 60 + 20, '.5 °C"]', CASE WHEN key % 4 <> 3 THEN concat(', "urgency": "',
+        array('immediate', 'Within_24h ', 'scheduled', 'routine', 'later')[key % 5], '"') ELSE '' END,
+        CASE WHEN key % 2 = 0 THEN ', "title": "Risk", "priority": "P2-High", "description": "see the summary text"'
+        ELSE '' END, '}') AS body""")
+    return body.selectExpr(
+        "conv_id", "turn", "array('explanation', 'ticket', 'chat')[key % 3] AS task",
+        "array('model-a', 'model-b', 'model-c')[cast(conv_id % 3 AS int)] AS model",
+        "array('no_risk', 'degradation_risk', 'shutdown_risk')[key % 3] AS risk_class",
+        """CASE key % 6 WHEN 0 THEN concat('Here it is:', chr(10), '```json', chr(10), body, chr(10), '```', chr(10), 'done')
+        WHEN 1 THEN concat("I'm sorry, inverters[1].temp is 40 °C. ", text) WHEN 2 THEN concat(body, ' trailing')
+        WHEN 3 THEN concat('Error: risk 0.5, you should inspect. ', text) ELSE body END AS response""",
+        "length(text) / 100D AS latency_seconds", "length(text) % 50 AS input_tokens",
+        "CASE WHEN turn % 4 <> 3 THEN length(text) END AS output_tokens", "CASE WHEN key % 10 = 9 THEN 'timeout' END AS error",
+        "array(named_struct('feature', 'inverters[0].temp', 'value', 30D + key % 40), "
+        "named_struct('feature', 'inverters[1].temp', 'value', 39.8D), named_struct('feature', 'meters[0].pf', 'value', 0.9D)) AS raw")
