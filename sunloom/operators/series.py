@@ -26,6 +26,18 @@ def long_series(df: DataFrame, keys: list[str], limit: int | None = None) -> Dat
     return None if largest <= limit else sizes.where(F.col("__rows") > limit).select(*keys)
 
 
+def numbered_by(df: DataFrame, keys: list[str], bin_of: Column, order: list, out: str) -> DataFrame:
+    """Exact 0-based position when `bin_of` grows with `order`: counts of earlier bins plus the place in the bin."""
+    binned = df.withColumn("__bin", bin_of)
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__bin", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy(*order)
+    local = binned.withColumn("__local", F.row_number().over(inside) - 1)
+    return (local.join(offsets, [*keys, "__bin"])
+            .withColumn(out, F.col("__before") + F.col("__local")).drop("__bin", "__local", "__before"))
+
+
 def numbered(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos",
              bin_seconds: int | None = None) -> DataFrame:
     """Exact 0-based position by (ts, tie) without putting a series, or the whole table, into one task.
@@ -33,14 +45,7 @@ def numbered(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos"
     Rows are numbered inside short time bins; the counts of earlier bins, a small table, give the offset.
     """
     width = (bin_seconds or config.POSITION_BIN_SECONDS) * 1_000_000
-    binned = df.withColumn("__bin", F.floor(F.unix_micros(ts) / F.lit(width)))
-    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__bin", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*keys, "__bin").orderBy(ts, tie)
-    local = binned.withColumn("__local", F.row_number().over(inside) - 1)
-    return (local.join(offsets, [*keys, "__bin"])
-            .withColumn(out, F.col("__before") + F.col("__local")).drop("__bin", "__local", "__before"))
+    return numbered_by(df, keys, F.floor(F.unix_micros(ts) / F.lit(width)), [ts, tie], out)
 
 
 def positions(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos",

@@ -16,33 +16,27 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
+    # no call-site capture around every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A single-JVM session for tests and benches; clusters bring their own session."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("sunloom")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (builder.config("spark.sql.shuffle.partitions", str(partitions))
             .config("spark.driver.memory", memory).getOrCreate())
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: `spark.checkpoint.dir`; only a local run may make its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = os.path.join(tempfile.gettempdir(), "sunloom-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut_lineage(df):
-    """Materialise `df` in the shared folder so later steps survive the loss of an executor."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The folder every executor sees, as `spark.checkpoint.dir` names it; only a local run may fall back to its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return os.path.join(tempfile.gettempdir(), "sunloom-shared")
