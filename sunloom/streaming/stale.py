@@ -16,27 +16,37 @@ CHANGES = "inverter_id {kind}, last_data_at timestamp, status string"
 def connection_changes(readings: DataFrame, minutes: int = config.STALE_MINUTES, late: str = "1 minute") -> DataFrame:
     """`online` when a device is first heard or heard again, `offline` when the watermark passes its last data
     by more than `minutes`."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(last_us: int, status: str) -> pd.DataFrame:
-            return pd.DataFrame({"inverter_id": [key[0]], "last_data_at": [pd.Timestamp(last_us, unit="us")], "status": [status]})
+    silence = minutes * 60_000_000
+
+    def rows(key: tuple, found: list[tuple[int, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"inverter_id": [key[0]] * len(found), "status": [s for _, s in found],
+                             "last_data_at": [pd.Timestamp(t, unit="us") for t, _ in found]})[
+            ["inverter_id", "last_data_at", "status"]]
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, online = state.get if state.exists else (0, False)
         if state.hasTimedOut:
-            last, _ = state.get
             state.update((last, False))
-            yield row(last, "offline")
+            yield rows(key, [(last, "offline")])
             return
-        last, online = state.get if state.exists else (0, False)
-        newest = max(int(b["ts"].max().value // 1000) for b in batches)
-        last = max(last, newest)
-        due = last // 1000 + minutes * 60_000
-        if not online and due > state.getCurrentWatermarkMs():
-            yield row(last, "online")
-            online = True
+        found, passed = [], state.getCurrentWatermarkMs() * 1000
+        for moment in sorted(int(t) for b in batches for t in b["ts"].astype("datetime64[us]").astype("int64")):
+            if moment <= last:
+                continue
+            if online and moment - last > silence:  # a gap inside one micro-batch, before any timer could fire
+                found.append((last, "offline"))
+                online = False
+            if not online and moment + silence > passed:
+                found.append((moment, "online"))
+                online = True
+            last = moment
         state.update((last, online))
         if online:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((last + silence) // 1000, passed // 1000 + 1))
+        if found:
+            yield rows(key, found)
 
     kind = dict(readings.dtypes)["inverter_id"]
-    rows = readings.select("inverter_id", "ts").withWatermark("ts", late)
-    return rows.groupBy("inverter_id").applyInPandasWithState(
+    heard = readings.select("inverter_id", "ts").withWatermark("ts", late)
+    return heard.groupBy("inverter_id").applyInPandasWithState(
         step, CHANGES.format(kind=kind), "last_us bigint, online boolean", "append", GroupStateTimeout.EventTimeTimeout)
