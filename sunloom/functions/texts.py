@@ -71,17 +71,18 @@ def ranked_entries(entries: Column, k: int) -> Column:
 
 
 def as_map(entries: Column) -> Column:
-    """Lookup form of {feature, value} entries; the last spelling of a feature wins."""
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["feature"] == e["feature"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["feature"], e["value"])))
+    """Lookup form of {feature, value} entries with distinct names."""
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["feature"], e["value"])))
 
 
 def signed_lines(top: Column, raw: Column) -> Column:
-    """One line per factor: name, signed weight, raw value or N/A."""
+    """One line per factor: name, signed weight, raw value or N/A; `top` and `raw` are {feature, value} entries."""
+    def raw_value(name: Column) -> Column:
+        return F.get(F.filter(raw, lambda x: x["feature"] == name), F.lit(0))["value"]
+
     line = F.transform(top, lambda e: F.concat(
         F.lit("  • "), e["feature"], F.lit(": "), F.format_string("%+.4f", e["value"]), F.lit("  (raw value: "),
-        F.coalesce(F.try_element_at(raw, e["feature"]).cast("string"), F.lit("N/A")), F.lit(")")))
+        F.coalesce(raw_value(e["feature"]).cast("string"), F.lit("N/A")), F.lit(")")))
     return F.array_join(line, "\n")
 
 

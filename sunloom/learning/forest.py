@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sunloom import config
 from sunloom.operators.quantiles import exact_quantiles
+from sunloom.session import shared_folder
 
 EULER = 0.5772156649015329
 NODE = "tree int, node int, feature int, threshold double, left int, right int, depth_value double"
@@ -126,7 +129,11 @@ def add_isolation(df: DataFrame, key: str, columns: list[str] | None = None, con
         return df.withColumns({"iso_forest_score": F.lit(0.0), "iso_forest_anomaly": F.lit(0)})
     train = df if fit_on is None else fit_on
     model, constant = fit(train, columns, key, trees, size, seed)
-    raw = score(df.select(key, *columns), columns, model, constant).select(key, "__raw")
+    # the scores are needed twice, for the threshold and for the result: store them once
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), f"forest-{uuid.uuid4().hex}")
+    score(df.select(key, *columns), columns, model, constant).select(key, "__raw").write.parquet(path)
+    raw = spark.read.parquet(path)
     base = raw if fit_on is None else score(train.select(key, *columns), columns, model, constant)
     offset = exact_quantiles(base, ["__raw"], [contamination]).select("value").scalar()
     scored = raw.select(key, (F.col("__raw") - offset).alias("iso_forest_score"))

@@ -11,6 +11,7 @@ from sunloom.learning import attribution, forest, metrics, scale
 from sunloom.operators import ranking
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
+from sunloom.session import spread
 from sunloom.sources import bindings as b
 
 INPUTS = ["power", "temp", "pv1_current", "pf", "v_r"]
@@ -140,7 +141,7 @@ WEIGHTS = [0.8, -0.5, 0.3, 1.2, -0.05]
   unnest({WEIGHTS}::DOUBLE[]) AS w, unnest([{', '.join(f'({c} - {_mean(c)}) / {_std(c)}' for c in INPUTS)}]) AS z FROM tv)
   GROUP BY feature""", ("tv",))
 def global_importance(spark, folder):
-    rows = scale.scaled(b.telemetry(spark, folder).select("event_id", *INPUTS), _scaler(spark, folder, INPUTS), INPUTS)
+    rows = scale.scaled(spread(b.telemetry(spark, folder).select("event_id", *INPUTS)), _scaler(spark, folder, INPUTS), INPUTS)
     entries = rows.select(attribution.linear_entries(INPUTS, WEIGHTS).alias("entries"))
     return attribution.global_importance(entries).select("feature", r("importance").alias("importance"))
 
@@ -149,7 +150,7 @@ def global_importance(spark, folder):
   FROM (SELECT event_id, unnest({INPUTS}) AS feature, unnest({WEIGHTS}::DOUBLE[]) * unnest([{', '.join(
       f'({c} - {_mean(c)}) / {_std(c)}' for c in INPUTS)}]) AS v FROM tv) QUALIFY rank <= 3""", ("tv",))
 def linear_attribution(spark, folder):
-    rows = scale.scaled(b.telemetry(spark, folder).select("event_id", *INPUTS), _scaler(spark, folder, INPUTS), INPUTS)
+    rows = scale.scaled(spread(b.telemetry(spark, folder).select("event_id", *INPUTS)), _scaler(spark, folder, INPUTS), INPUTS)
     top = texts.top_by_size(attribution.linear_entries(INPUTS, WEIGHTS), 3)
     return rows.select("event_id", F.posexplode(top).alias("i", "e")).select(
         "event_id", F.col("e.feature").alias("feature"), r("e.value").alias("value"), (F.col("i") + 1).cast("bigint").alias("rank"))
@@ -223,6 +224,6 @@ FOREST = ["power", "temp", "pv1_current", "pf", "v_r"]
 @query()
 def isolation_forest(spark, folder):
     """Anomaly score and flag of every telemetry row; a published randomised method, so no SQL twin."""
-    rows = b.telemetry(spark, folder).select("event_id", *FOREST)
+    rows = spread(b.telemetry(spark, folder).select("event_id", *FOREST))
     return forest.add_isolation(rows, "event_id", FOREST, trees=50).select(
         "event_id", r("iso_forest_score", 6).alias("score"), F.col("iso_forest_anomaly").alias("anomaly"))

@@ -11,6 +11,7 @@ from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
 from sunloom.responses import evaluate, prompts, traces
 from sunloom.retrieval import chunks, search
+from sunloom.session import spread
 from sunloom.sources import bindings as b
 
 SPACE = chunks.SPACE
@@ -21,7 +22,7 @@ SPACE = chunks.SPACE
    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '') AS w FROM documents)))
   WHERE length(chunk) > 50""")
 def chunk_text(spark, folder):
-    docs = b.table(spark, folder, "documents")
+    docs = spread(b.table(spark, folder, "documents").select("doc_id", "text"))
     cut = chunks.chunk_table(docs, size=80, overlap=20)
     return cut.select("doc_id", "chunk_id", F.md5("chunk").alias("chunk"))
 
@@ -52,7 +53,7 @@ def cosine_topk(spark, folder):
 @query()
 def retrieved_context(spark, folder):
     """Chunks of all documents embedded by hashed terms; benchmark texts are the queries; context of the best three."""
-    docs = chunks.chunk_table(b.table(spark, folder, "documents"), size=200, overlap=50)
+    docs = chunks.chunk_table(spread(b.table(spark, folder, "documents").select("doc_id", "text")), size=200, overlap=50)
     docs = docs.withColumn("key", F.concat_ws("-", "doc_id", "chunk_id"))
     model = chunks.fit_embedder(docs)
     asked = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
@@ -85,7 +86,7 @@ def chat_log_page(spark, folder):
   feature) AS rank FROM shap QUALIFY rank <= 5""", ("shap",))
 def topk_attribution(spark, folder):
     top = texts.ranked_entries(F.col("shap"), 5)
-    return b.predictions(spark, folder).select("prediction_id", F.inline(top)).select(
+    return spread(b.predictions(spark, folder)).select("prediction_id", F.inline(top)).select(
         "prediction_id", "feature", r("value").alias("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -143,7 +144,7 @@ def _prompt_rows(rows):
 @query()
 def prompt_table(spark, folder):
     """Three prompts per prediction: explanation, ticket and chat."""
-    cases = prompts.test_cases(b.predictions(spark, folder))
+    cases = prompts.test_cases(spread(b.predictions(spark, folder)))
     rows = _prompt_rows(cases)
     text = F.when(F.col("task") == "chat", prompts.chat_line(rows)).otherwise(prompts.user_prompt(rows))
     return cases.select("prediction_id", "task", "system_prompt", text.alias("user_prompt"))
@@ -216,7 +217,7 @@ SCORED = f"""(SELECT *, round(0.25e0 * json_validity + 0.25e0 * hallucination +
 
 
 def _replies(spark, folder):
-    rows = b.replies(spark, folder)
+    rows = spread(b.replies(spark, folder))
     return rows.withColumn("known", F.transform("raw", lambda e: e["feature"]))
 
 

@@ -23,7 +23,7 @@ def user_prompt(rows: dict[str, Column]) -> Column:
     return F.concat_ws(
         "\n", F.concat(F.lit("Inverter: "), rows["inverter_id"]), F.concat(F.lit("Plant: "), rows["plant"]),
         F.format_string("Risk: %.4f (%s)", rows["risk_score"], rows["risk_class"]), F.lit("Factors:"),
-        texts.signed_lines(texts.top_by_size(rows["shap"], 10), texts.as_map(rows["raw"])), F.lit("Readings:"),
+        texts.signed_lines(texts.top_by_size(rows["shap"], 10), rows["raw"]), F.lit("Readings:"),
         texts.raw_lines(rows["raw"]), F.lit("Manual:"), rows["context"])
 
 
