@@ -18,7 +18,8 @@ def nonzero(entries: Column, least: float = 1e-6) -> Column:
 
 def global_importance(df: DataFrame, entries: str = "entries", by: list[str] | None = None) -> DataFrame:
     """Mean |value| per feature over rows and classes."""
-    return (df.select(*(by or []), F.inline(entries)).groupBy(*(by or []), "feature")
+    # outer: an inner generator would compute the entries a second time in a filter
+    return (df.select(*(by or []), F.inline_outer(entries)).where(F.col("feature").isNotNull()).groupBy(*(by or []), "feature")
             .agg(F.avg(F.abs("value")).alias("importance")))
 
 

@@ -26,20 +26,31 @@ def path_constant(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
+# Up to this many row-tree pairs every row draws for every tree.
+ALL_DRAWS = 2_000_000
+
+
 def tree_samples(df: DataFrame, columns: list[str], key: str, trees: int, size: int, seed: int, total: int) -> DataFrame:
-    """`size` rows per tree, or all rows when there are fewer, chosen by hash.
+    """`size` rows per tree, or all rows when there are fewer, chosen by hash: reruns and retries agree.
 
-    Each row draws which trees it may serve before anything is shuffled: per tree about three times the wanted
-    rows pass, then the smallest hashes win. Reruns and retries choose the same rows.
+    Small tables: every row draws for every tree and the smallest draws win. Large tables: a row gets just enough
+    draws, one when rows are plenty, for a tree of the draw's choice, and most rows drop out before the shuffle.
     """
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("draw")))
-    share = min(1.0, (3.0 * size + 100) / max(total, 1))
-    low = int(-(2 ** 63) + share * (2 ** 64 - 1)) if share < 1 else 2 ** 63 - 1
-    passed = F.filter(drawn, lambda d: d["draw"] <= F.lit(low).cast("bigint"))
-    rows = df.select(*columns, F.inline(passed))
+    row = F.col(key)
+    if total * trees <= ALL_DRAWS:
+        slots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.xxhash64(row, t, F.lit(seed)).alias("draw")))
+        drawn = df.select(key, *columns, F.inline(slots))
+    else:
+        wanted = 2.0 * size * trees
+        turns = math.ceil(wanted / total)
+        pick = F.pmod(F.xxhash64(row, F.col("__turn"), F.lit(seed), F.lit("tree")), F.lit(trees)).cast("int")
+        passed = F.pmod(F.col("draw"), F.lit(1 << 30)) < int((1 << 30) * wanted / (total * turns))
+        turned = df.withColumn("__turn", F.lit(0) if turns == 1 else F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        drawn = (turned.withColumn("draw", F.xxhash64(row, F.col("__turn"), F.lit(seed))).where(passed)
+                 .withColumn("tree", pick).drop("__turn").dropDuplicates(["tree", key]))
     order = Window.partitionBy("tree").orderBy("draw")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    return drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("tree", "draw", *columns)
 
 
 def grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:

@@ -153,11 +153,11 @@ def lags(df: DataFrame, part: list[str], order: list[str], signals: list[str] |
 
 def add_features(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp", tie: str = "row_id",
                  frames: dict[str, int] | None = None, periods: dict[str, int] | None = None,
-                 daily: str = "24h", limit: int | None = None) -> DataFrame:
+                 daily: str = "24h", limit: int | None = None, hot=series.MEASURE) -> DataFrame:
     """All features. One shuffle by device serves every window of the step."""
     keys = keys or config.SERIES_KEYS
     frames, periods = frames or config.FRAMES, periods or config.LAGS
-    hot = series.long_series(df, keys, limit)
+    hot = series.long_series(df, keys, limit) if hot is series.MEASURE else hot
 
     def step(frame: DataFrame, part: list[str]) -> DataFrame:
         order = [ts, tie]

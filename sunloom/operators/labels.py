@@ -43,7 +43,7 @@ def risk_label(shutdown_ahead: Column, degradation_ahead: Column) -> Column:
 
 def add_labels(df: DataFrame, keys: list[str] | None = None, ts: str = "timestamp", tie: str = "row_id",
                rows: int | None = None, daily: str = "24h", keep_events: bool = False,
-               limit: int | None = None) -> DataFrame:
+               limit: int | None = None, hot=series.MEASURE) -> DataFrame:
     """risk_label 2 / 1 / 0: a shutdown, else a degradation, in the coming `rows` samples."""
     keys, rows = keys or config.SERIES_KEYS, rows or config.LOOKAHEAD_ROWS
     marked = df.withColumns(events(df, daily))
@@ -54,7 +54,7 @@ def add_labels(df: DataFrame, keys: list[str] | None = None, ts: str = "timestam
         return (frame.withColumn("__back", here)
                 .withColumns({"shutdown_ahead": shutdown, "degradation_ahead": degradation}).drop("__back"))
 
-    ahead = series.over_series(marked, keys, ts, tie, step, ahead=rows - 1, limit=limit)
+    ahead = series.over_series(marked, keys, ts, tie, step, ahead=rows - 1, limit=limit, hot=hot)
     labelled = ahead.withColumn("risk_label", risk_label(F.col("shutdown_ahead"), F.col("degradation_ahead")))
     helpers = ["shutdown_event", "degradation_event", "shutdown_ahead", "degradation_ahead"]
     return labelled if keep_events else labelled.drop(*helpers)

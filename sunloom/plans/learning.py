@@ -152,7 +152,7 @@ def global_importance(spark, folder):
 def linear_attribution(spark, folder):
     rows = scale.scaled(spread(b.telemetry(spark, folder).select("event_id", *INPUTS)), _scaler(spark, folder, INPUTS), INPUTS)
     top = texts.top_by_size(attribution.linear_entries(INPUTS, WEIGHTS), 3)
-    return rows.select("event_id", F.posexplode(top).alias("i", "e")).select(
+    return rows.select("event_id", F.posexplode_outer(top).alias("i", "e")).where(F.col("e").isNotNull()).select(
         "event_id", F.col("e.feature").alias("feature"), r("e.value").alias("value"), (F.col("i") + 1).cast("bigint").alias("rank"))
 
 

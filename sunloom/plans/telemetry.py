@@ -19,8 +19,8 @@ ORDER = ["ts", "event_id"]
 W = "PARTITION BY plant_id, mac, inverter_id ORDER BY ts, event_id"
 
 
-def _series_step(df: DataFrame, step, behind: int = 0, ahead: int = 0) -> DataFrame:
-    return series.over_series(df, KEYS, "ts", "event_id", step, behind, ahead)
+def _series_step(df: DataFrame, step, behind: int = 0, ahead: int = 0, hot=series.MEASURE) -> DataFrame:
+    return series.over_series(df, KEYS, "ts", "event_id", step, behind, ahead, hot=hot)
 
 
 def _rolled(spark: SparkSession, folder: str, extremes: str | None, signals: list[str]) -> DataFrame:
@@ -111,9 +111,9 @@ FLAGGED = f"""SELECT *, CAST(coalesce(alarm_code IN (464, 534, 548, 549, 557, 55
   FROM (SELECT *, avg(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS usual FROM tv WINDOW w AS ({W}))"""
 
 
-def _marked(spark, folder) -> DataFrame:
+def _marked(spark, folder, hot=series.MEASURE) -> DataFrame:
     tv = bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", "power", "alarm_code", "op_state")
-    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"day": 48}, None), behind=48)
+    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"day": 48}, None), behind=48, hot=hot)
     return rolled.withColumn("is_daytime", time_encodings(F.col("ts"))["is_daytime"])
 
 
@@ -129,7 +129,8 @@ LABELLED = f"""SELECT *, CASE WHEN max(shutdown) OVER (w ROWS BETWEEN CURRENT RO
 
 
 def _labelled(spark, folder) -> DataFrame:
-    return labels.add_labels(_marked(spark, folder), KEYS, "ts", "event_id", rows=20, daily="day")
+    hot = series.long_series(bindings.telemetry(spark, folder), KEYS)
+    return labels.add_labels(_marked(spark, folder, hot), KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
 
 
 @query(f"SELECT event_id, risk_label FROM ({LABELLED})", ("tv",))
@@ -229,8 +230,9 @@ def downsample(spark, folder):
 def risk_profile(spark, folder):
     """Features to labels to a profile per plant: the whole telemetry chain in one plan."""
     tv = bindings.telemetry(spark, folder)
-    featured = features.add_features(tv, KEYS, "ts", "event_id", FRAMES, {"a": 12}, daily="day")
-    labelled = labels.add_labels(featured, KEYS, "ts", "event_id", rows=20, daily="day")
+    hot = series.long_series(tv, KEYS)
+    featured = features.add_features(tv, KEYS, "ts", "event_id", FRAMES, {"a": 12}, daily="day", hot=hot)
+    labelled = labels.add_labels(featured, KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
     return labelled.groupBy("plant_id", "risk_label").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("power_variability"), 3).alias("mean_variability"),
         r(F.max("power_rmean_day"), 3).alias("top_power_mean"))

@@ -86,7 +86,7 @@ def chat_log_page(spark, folder):
   feature) AS rank FROM shap QUALIFY rank <= 5""", ("shap",))
 def topk_attribution(spark, folder):
     top = texts.ranked_entries(F.col("shap"), 5)
-    return spread(b.predictions(spark, folder)).select("prediction_id", F.inline(top)).select(
+    return spread(b.predictions(spark, folder)).select("prediction_id", F.inline_outer(top)).where(F.col("feature").isNotNull()).select(
         "prediction_id", "feature", r("value").alias("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 

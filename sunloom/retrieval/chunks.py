@@ -32,9 +32,14 @@ def word_windows(every: Column, size: int = config.CHUNK_WORDS, overlap: int = c
 
 
 def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows (key, chunk_id, chunk) over whole texts."""
+    """Rows (key, chunk_id, chunk) over whole texts.
+
+    The outer form of the generator: the inner one would have the optimiser test the array in a filter of its
+    own first, so every text would be cut twice.
+    """
     split = docs.select(key, words(F.col(text)).alias("__words"))
-    return split.select(key, F.posexplode(word_windows(F.col("__words"), **options)).alias("chunk_id", "chunk"))
+    cut = split.select(key, F.posexplode_outer(word_windows(F.col("__words"), **options)).alias("chunk_id", "chunk"))
+    return cut.where(F.col("chunk").isNotNull())
 
 
 def fit_embedder(texts: DataFrame, column: str = "chunk", size: int = 256) -> PipelineModel:

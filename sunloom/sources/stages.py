@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,14 @@ def read_quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataF
     return raw.where(F.col("_bad").isNull()).drop("_bad"), raw.where(F.col("_bad").isNotNull())
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Study results, one JSON document per model so no writer holds the whole study."""
-    nested = results.groupBy("model", "display_name", "provider", "model_id").agg(
+def write_results(results: DataFrame, path: str, per_document: int = 1000) -> None:
+    """Study results as nested JSON documents keyed by model.
+
+    A model with many responses gets several documents, so that no group grows with the data.
+    """
+    largest = results.groupBy("model").count().agg(F.max("count")).first()[0] or 1
+    part = F.pmod(F.xxhash64("response", "task", "scenario_name", "latency_seconds"), F.lit(math.ceil(largest / per_document)))
+    nested = results.groupBy("model", "display_name", "provider", "model_id", part.alias("part")).agg(
         F.collect_list(F.struct("task", "scenario_name", "risk_class", "response", "latency_seconds", "input_tokens",
                                 "output_tokens", "error", "evaluation")).alias("results"))
     doc = F.to_json(F.create_map("model", F.struct("display_name", "provider", "model_id", "results")))

@@ -19,12 +19,18 @@ def current_rows(scored: DataFrame) -> DataFrame:
     return upsert_latest(rows, rows.limit(0), ["inverter_id"], "ts", "reading_id")
 
 
-def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot, or the newest of a batch earlier than `before`."""
+def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        found = spark.read.parquet(folder)
+        return spark.read.parquet(path)
     except AnalysisException:
         return None
+
+
+def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete snapshot, or the newest of a batch earlier than `before`."""
+    found = _snapshot(spark, folder)
+    if found is None:
+        return None
     versions = found.select("version").distinct() if before is None else found.where(F.col("version") < before).select(
         "version").distinct()
     newest = versions.agg(F.max("version")).first()[0]
@@ -35,6 +41,8 @@ def merge_batch(scored: DataFrame, batch: int, folder: str) -> None:
     """Write the snapshot of this batch from the one before; running a batch again writes the same snapshot."""
     spark = scored.sparkSession
     fresh = current_rows(scored)
-    stored = read_state(spark, folder, before=batch)
+    stored = _snapshot(spark, os.path.join(folder, f"version={batch - 1}")) if batch else None
+    if stored is None:
+        stored = read_state(spark, folder, before=batch)
     merged = fresh if stored is None else upsert_latest(stored.select(*fresh.columns), fresh, ["inverter_id"], "ts", "reading_id")
     merged.write.mode("overwrite").parquet(os.path.join(folder, f"version={batch}"))
