@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sunloom import config
 from sunloom.functions import grading, texts
 from sunloom.functions.numeric import js_round
-from sunloom.learning import attribution, forest, metrics, scale
+from sunloom.learning import attribution, boosting, forest, metrics, scale, smote
 from sunloom.operators import ranking
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -227,3 +227,46 @@ def isolation_forest(spark, folder):
     rows = spread(b.telemetry(spark, folder).select("event_id", *FOREST))
     return forest.add_isolation(rows, "event_id", FOREST, trees=50).select(
         "event_id", r("iso_forest_score", 6).alias("score"), F.col("iso_forest_anomaly").alias("anomaly"))
+
+
+LABEL = "CASE WHEN alarm_code IN (464, 559) THEN 2 WHEN alarm_code <> 0 OR op_state NOT IN (0, 5120) THEN 1 ELSE 0 END"
+MODEL = ["power", "temp", "pf"]
+
+
+def _labelled(spark, folder):
+    """Scaled inputs with a label from the row's own codes."""
+    tv = b.telemetry(spark, folder).select("event_id", "ts", *MODEL, F.expr(LABEL).alias("label"))
+    return scale.scaled(tv, scale.fit_scaler(tv, MODEL), MODEL)
+
+
+@query(f"""WITH c AS (SELECT {LABEL} AS label, count(*) AS n FROM tv GROUP BY 1) SELECT label, 'real' AS kind, n FROM c
+  UNION ALL SELECT label, 'synthetic', (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""", ("tv",))
+def smote_balance(spark, folder):
+    """Rows per class after balancing; the rows themselves are checked against brute force in the tests."""
+    out = smote.balance(_labelled(spark, folder), "label", MODEL, "event_id")
+    kind = F.when(F.col("is_synthetic"), "synthetic").otherwise("real")
+    return out.groupBy("label", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def boosted_report(spark, folder):
+    """Boosted trees on the first four fifths of the time line, metrics on both parts."""
+    rows = ranking.chronological(_labelled(spark, folder), "ts", "event_id", bin_seconds=3600)
+    cut = ranking.train_rows(rows.count())
+    train, test = rows.where(F.col("pos") < cut), rows.where(F.col("pos") >= cut)
+    params = {"max_depth": 3, "learning_rate": 0.3, "n_estimators": 3, "subsample": 1.0, "colsample_bytree": 1.0,
+              "min_child_weight": 1, "gamma": 0.0}
+    model = boosting.fit(train, "label", MODEL, params)
+    parts = [boosting.report(boosting.predict(model, part, MODEL), "label").select(F.lit(name).alias("part"), "*")
+             for name, part in (("train", train), ("test", test))]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def tree_attribution(spark, folder):
+    """Per class and row: bias and path credits of boosted trees, summed to mean sizes per feature."""
+    rows = _labelled(spark, folder)
+    params = {"max_depth": 3, "learning_rate": 0.3, "n_estimators": 2, "subsample": 1.0, "colsample_bytree": 1.0,
+              "min_child_weight": 1, "gamma": 0.0}
+    credits = boosting.tree_attribution(boosting.fit(rows, "label", MODEL, params), rows, MODEL, "event_id")
+    return attribution.global_importance(credits, by=["class"])

@@ -39,9 +39,16 @@ ALARM = ("CASE WHEN event_type <> 'error' THEN 0 WHEN k % 4 = 0 THEN 464 WHEN k
          "WHEN k % 4 = 2 THEN 8 ELSE 39 END")
 
 
-def keyed_events(spark: SparkSession, folder: str) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream of files."""
+    return (spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+def keyed_events(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Events with the number `k` out of their JSON properties."""
-    return table(spark, folder, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", K)
+    rows = table(spark, folder, "events") if events is None else events
+    return rows.selectExpr("event_id", "ts", "user_id", "event_type", "value", K)
 
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,9 +64,9 @@ def telemetry(spark: SparkSession, folder: str) -> DataFrame:
         "AS op_state", f"{GRADE} AS category")
 
 
-def readings(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored readings: the fact table of the dashboards."""
-    return keyed_events(spark, folder).selectExpr("*", f"{GRADE} AS category").selectExpr(
+def readings(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """Scored readings: the fact table of the dashboards, or a stream of them."""
+    return keyed_events(spark, folder, events).selectExpr("*", f"{GRADE} AS category").selectExpr(
         "event_id AS reading_id", "user_id AS inverter_id", "ts", "category", "k / 100D AS confidence",
         "category IN ('C', 'D', 'E') AS is_faulty",
         "CASE WHEN category IN ('C', 'D', 'E') THEN concat('Fault ', category) END AS fault_type",

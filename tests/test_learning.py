@@ -179,3 +179,13 @@ def test_search_prefers_the_better_model(spark, trained):
     best, results = boosting.search(folds, "y", COLUMNS, trials=2, space=space)
     assert len(results) == 2 and best in [p for p, _ in results]
     assert max(s for _, s in results) == dict((str(p), s) for p, s in results)[str(best)]
+
+
+def test_samples_of_large_tables(spark, monkeypatch):
+    """The large-table draw gives full samples without repeats."""
+    monkeypatch.setattr(forest, "ALL_DRAWS", 10)
+    df = spark.range(3000).select("id", F.rand(1).alias("a"))
+    sample = forest.tree_samples(df, ["a"], "id", 40, 64, 1, 3000).cache()
+    sizes = [r["count"] for r in sample.groupBy("tree").count().collect()]
+    assert len(sizes) == 40 and min(sizes) == 64 and max(sizes) == 64
+    assert sample.dropDuplicates(["tree", "a"]).count() == sample.count()
