@@ -45,7 +45,7 @@ def tree_samples(df: DataFrame, columns: list[str], key: str, trees: int, size:
         wanted = 2.0 * size * trees
         turns = math.ceil(wanted / total)
         # a row's turns serve different trees, so no tree meets a row twice
-        pick = F.pmod(F.xxhash64(row, F.lit(seed), F.lit("tree")) + F.col("__turn"), F.lit(trees)).cast("int")
+        pick = F.pmod(F.pmod(F.xxhash64(row, F.lit(seed), F.lit("tree")), F.lit(trees)) + F.col("__turn"), F.lit(trees)).cast("int")
         passed = F.pmod(F.col("draw"), F.lit(1 << 30)) < int((1 << 30) * wanted / (total * turns))
         turned = df.withColumn("__turn", F.lit(0) if turns == 1 else F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
         drawn = (turned.withColumn("draw", F.xxhash64(row, F.col("__turn"), F.lit(seed))).where(passed)

@@ -36,7 +36,7 @@ def label_index(df: DataFrame, label: str, out: str = "label_index") -> DataFram
     """Labels numbered 0.. in sorted order."""
     known = df.select(label).distinct()
     ranks = known.withColumn(out, F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(label)) - 1)
-    return df.join(F.broadcast(ranks), label)  # one row per class
+    return df.join(ranks, label)
 
 
 def add_missing_classes(df: DataFrame, label: str, features: list[str], classes: int = len(config.CLASS_NAMES)) -> DataFrame:

@@ -15,7 +15,8 @@ AS_OF = "(SELECT max(ts) FROM rd)"
 
 
 def _as_of(readings):
-    return readings.agg(F.max("ts")).scalar()
+    """The newest time as a literal: time filters against it reach the scan."""
+    return F.lit(readings.agg(F.max("ts")).first()[0])
 
 
 def _dims(spark, folder):

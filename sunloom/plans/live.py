@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sunloom.plans.registry import query
 from sunloom.session import shared_folder
 from sunloom.sources import bindings as b
-from sunloom.streaming import alerts, live, stale, state
+from sunloom.streaming import live, stale, state
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -32,12 +32,21 @@ def _drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _lived(spark: SparkSession, folder: str) -> str:
+    """The live loop run over the events files; returns its folder of facts, alerts and state."""
+    root = _scratch(spark)
+    out = os.path.join(root, "live")
+    live.run_live(_readings(spark, folder), out, os.path.join(root, "checkpoint"), {"availableNow": True}).awaitTermination()
+    return out
+
+
 @query("""SELECT inverter_id, reading_id, prev AS category_from, category AS category_to, type FROM (SELECT *, CASE
   WHEN category = 'E' AND prev <> 'E' THEN 'critical' WHEN category = 'D' AND prev <> 'D' THEN 'warning'
   WHEN category = 'C' AND prev NOT IN ('C', 'D', 'E') THEN 'info' END AS type FROM (SELECT *, lag(category, 1, 'A')
   OVER (PARTITION BY inverter_id ORDER BY ts, reading_id) AS prev FROM rd)) WHERE type IS NOT NULL""", ("rd",))
 def stream_alerts(spark, folder):
-    return _drained(alerts.alerts(_readings(spark, folder))).select(
+    out = _lived(spark, folder)
+    return spark.read.parquet(os.path.join(out, "alerts")).select(
         "inverter_id", "reading_id", "category_from", "category_to", "type")
 
 
@@ -45,9 +54,7 @@ def stream_alerts(spark, folder):
   OVER (PARTITION BY inverter_id ORDER BY ts DESC, reading_id DESC) AS rn FROM rd) WHERE rn = 1""", ("rd",))
 def stream_state(spark, folder):
     """Facts appended and device state merged per micro-batch; the state at the end."""
-    root = _scratch(spark)
-    out = os.path.join(root, "live")
-    live.run_live(_readings(spark, folder), out, os.path.join(root, "checkpoint"), {"availableNow": True}).awaitTermination()
+    out = _lived(spark, folder)
     return state.read_state(spark, os.path.join(out, "state")).select("inverter_id", "reading_id", "category", "is_online")
 
 

@@ -1,43 +1,39 @@
-"""Alerts from changes of grade, with the last grade of every device as state."""
+"""Alerts from changes of grade. The last grade of every device is the state kept between micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sunloom.functions.grading import alert_message, alert_type
-
-CHANGES = "inverter_id {kind}, reading_id bigint, ts timestamp, category_from string, category_to string"
+from sunloom.operators import series
 
 
-def grade_changes(readings: DataFrame) -> DataFrame:
-    """Rows whose grade differs from the device's grade before; a new device starts at A.
+def grade_changes(readings: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Rows whose grade differs from the device's grade before.
 
-    Rows of one micro-batch are taken in event time. A row older than the state is late: it is compared with the
-    state as it is now, so alerts depend on arrival; the batch query over the full history is the correction.
+    Inside a micro-batch the grade before comes from the row before in event time; a device that fills most of a
+    batch is cut into slices like any long series. A device's first row of the batch meets its stored state, a new
+    device starts at A. A late row therefore meets the state as it is now: alerts depend on arrival, and the same
+    function over the full history is the correction.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "reading_id"])
-        last = state.get[0] if state.exists else "A"
-        rows["category_from"] = [last, *rows["category"].iloc[:-1]]
-        state.update((rows["category"].iloc[-1],))
-        changed = rows[rows["category_from"] != rows["category"]]
-        yield changed.rename(columns={"category": "category_to"})[
-            ["inverter_id", "reading_id", "ts", "category_from", "category_to"]]
-
-    kind = dict(readings.dtypes)["inverter_id"]
-    rows = readings.select("inverter_id", "reading_id", "ts", "category")
-    return rows.groupBy("inverter_id").applyInPandasWithState(
-        step, CHANGES.format(kind=kind), "category string", "append", GroupStateTimeout.NoTimeout)
+    def step(frame: DataFrame, part: list[str]) -> DataFrame:
+        return frame.withColumn("before", F.lag("category").over(Window.partitionBy(*part).orderBy("ts", "reading_id")))
 
-
-def alerts(readings: DataFrame) -> DataFrame:
-    """Alert rows; the rule itself is the same column expression the batch query uses."""
+    rows = readings.select("inverter_id", "reading_id", "ts", "category")
+    moved = series.over_series(rows, ["inverter_id"], "ts", "reading_id", step, behind=1)
+    if state is None:
+        known = moved.withColumn("category_from", F.coalesce("before", F.lit("A")))
+    else:
+        last = state.select("inverter_id", F.col("category").alias("stored"))
+        known = moved.join(last, "inverter_id", "left").withColumn("category_from", F.coalesce("before", "stored", F.lit("A")))
+    return known.where(F.col("category_from") != F.col("category")).select(
+        "inverter_id", "reading_id", "ts", "category_from", F.col("category").alias("category_to"))
+
+
+def alerts(readings: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Alert rows by the rule the batch query uses."""
     kind = alert_type(F.col("category_from"), F.col("category_to"))
     device = F.concat(F.lit("INV-"), F.col("inverter_id").cast("string"))
-    changes = grade_changes(readings).withColumn("type", kind).where(F.col("type").isNotNull())
+    changes = grade_changes(readings, state).withColumn("type", kind).where(F.col("type").isNotNull())
     return changes.withColumn("message", alert_message(F.col("type"), F.lit(None).cast("string"), device))

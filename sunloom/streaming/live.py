@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sunloom.functions import grading
-from sunloom.streaming.state import merge_batch
+from sunloom.streaming.alerts import alerts
+from sunloom.streaming.state import merge_batch, state_before
 
 READING = ["module_temp", "irradiation", "dc_voltage", "dc_current", "ac_power", "alarm_code"]
 
@@ -49,15 +50,18 @@ def counters(stream: DataFrame) -> DataFrame:
 
 
 def run_live(scored_stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Per micro-batch: write the facts under their batch number, then the state snapshot.
+    """Per micro-batch: write the facts, the alerts against the state so far, then the new state snapshot.
 
-    Both writes replace the batch's own directory, so a batch that runs again after a failure leaves one copy.
+    Each write replaces the batch's own directory, so a batch that runs again after a failure leaves one copy.
     """
     def write(batch: DataFrame, number: int) -> None:
         facts = os.path.join(folder, "facts", f"batch={number}")
         batch.write.mode("overwrite").parquet(facts)
         stored = batch.sparkSession.read.schema(batch.schema).parquet(facts)
-        merge_batch(stored, number, os.path.join(folder, "state"))
+        states = os.path.join(folder, "state")
+        raised = alerts(stored, state_before(batch.sparkSession, states, number))
+        raised.write.mode("overwrite").parquet(os.path.join(folder, "alerts", f"batch={number}"))
+        merge_batch(stored, number, states)
 
     return (scored_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "15 seconds"})).start())

@@ -30,7 +30,15 @@ def connection_changes(readings: DataFrame, minutes: int = config.STALE_MINUTES,
             yield rows(key, [(last, "offline")])
             return
         found, passed = [], state.getCurrentWatermarkMs() * 1000
-        for moment in sorted(int(t) for b in batches for t in b["ts"].astype("datetime64[us]").astype("int64")):
+        # Gaps longer than the silence lie between buckets of that width: first and last time of each are enough,
+        # so memory follows the time covered and not the number of rows.
+        edges: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            times = batch["ts"].astype("datetime64[us]").astype("int64")
+            for bucket, low, high in times.groupby(times // silence).agg(["min", "max"]).itertuples():
+                first, end = edges.get(bucket, (low, high))
+                edges[bucket] = (min(first, low), max(end, high))
+        for moment in (int(t) for bucket in sorted(edges) for t in edges[bucket]):
             if moment <= last:
                 continue
             if online and moment - last > silence:  # a gap inside one micro-batch, before any timer could fire

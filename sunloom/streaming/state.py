@@ -37,12 +37,15 @@ def read_state(spark: SparkSession, folder: str, before: int | None = None) -> D
     return None if newest is None else found.where(F.col("version") == newest).drop("version")
 
 
+def state_before(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
+    """The snapshot this batch starts from: normally the batch before, else the newest earlier one."""
+    stored = _snapshot(spark, os.path.join(folder, f"version={batch - 1}")) if batch else None
+    return read_state(spark, folder, before=batch) if stored is None else stored
+
+
 def merge_batch(scored: DataFrame, batch: int, folder: str) -> None:
     """Write the snapshot of this batch from the one before; running a batch again writes the same snapshot."""
-    spark = scored.sparkSession
     fresh = current_rows(scored)
-    stored = _snapshot(spark, os.path.join(folder, f"version={batch - 1}")) if batch else None
-    if stored is None:
-        stored = read_state(spark, folder, before=batch)
+    stored = state_before(scored.sparkSession, folder, batch)
     merged = fresh if stored is None else upsert_latest(stored.select(*fresh.columns), fresh, ["inverter_id"], "ts", "reading_id")
     merged.write.mode("overwrite").parquet(os.path.join(folder, f"version={batch}"))

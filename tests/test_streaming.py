@@ -35,14 +35,17 @@ def drain(stream, name, tmp_path, mode="append"):
 
 
 def test_alerts_equal_batch(spark, readings, tmp_path):
-    folder = tmp_path / "in"
+    folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
-    got = drain(alerts.alerts(feed(spark, readings, str(folder))), "alerts", tmp_path)
+    live.run_live(feed(spark, readings, str(folder)), out, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(300)
+    got = spark.read.parquet(os.path.join(out, "alerts"))
+    assert got.select("batch").distinct().count() == 4
     before = F.lag("category", 1, "A").over(Window.partitionBy("inverter_id").orderBy("ts", "reading_id"))
     batch = (readings.withColumn("category_from", before).withColumn("type", alert_type(F.col("category_from"), F.col("category")))
              .where("type is not null"))
     columns = ["inverter_id", "reading_id", "category_from", "type"]
     assert sorted(got.select(columns).collect()) == sorted(batch.select(columns).collect())
+    assert sorted(alerts.alerts(readings).select(columns).collect()) == sorted(batch.select(columns).collect())
     assert got.count() > 0
 
 
