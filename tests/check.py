@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle  # noqa: E402
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 import __spark_entry__ as entry  # noqa: E402
 from sunloom.session import local_session  # noqa: E402
 
@@ -19,7 +21,9 @@ from sunloom.session import local_session  # noqa: E402
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = local_session(8)
+    # PLAIN=1: Spark's defaults instead of the package's session settings
+    spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate() \
+        if os.environ.get("PLAIN") else local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle.connect(folder)
     plans, sql = entry.queries(), entry.oracle_sql()
