@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from sunloom import config
@@ -11,8 +14,9 @@ from sunloom.learning import attribution, boosting, forest, metrics, scale, smot
 from sunloom.operators import ranking
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
-from sunloom.session import spread
+from sunloom.session import shared_folder, spread
 from sunloom.sources import bindings as b
+from sunloom.sources import stages
 
 INPUTS = ["power", "temp", "pv1_current", "pf", "v_r"]
 
@@ -251,7 +255,9 @@ def smote_balance(spark, folder):
 @query()
 def boosted_report(spark, folder):
     """Boosted trees on the first four fifths of the time line, metrics on both parts."""
-    rows = ranking.chronological(_labelled(spark, folder), "ts", "event_id", bin_seconds=3600)
+    # boosting reads its input many times: train from a stored table
+    placed = ranking.chronological(_labelled(spark, folder), "ts", "event_id", bin_seconds=3600)
+    rows = stages.save_stage(placed, os.path.join(shared_folder(spark), f"boosted-{uuid.uuid4().hex}"), "rows")
     cut = ranking.train_rows(rows.count())
     train, test = rows.where(F.col("pos") < cut), rows.where(F.col("pos") >= cut)
     params = {"max_depth": 3, "learning_rate": 0.3, "n_estimators": 3, "subsample": 1.0, "colsample_bytree": 1.0,
@@ -265,7 +271,7 @@ def boosted_report(spark, folder):
 @query()
 def tree_attribution(spark, folder):
     """Per class and row: bias and path credits of boosted trees, summed to mean sizes per feature."""
-    rows = _labelled(spark, folder)
+    rows = stages.save_stage(_labelled(spark, folder), os.path.join(shared_folder(spark), f"trees-{uuid.uuid4().hex}"), "rows")
     params = {"max_depth": 3, "learning_rate": 0.3, "n_estimators": 2, "subsample": 1.0, "colsample_bytree": 1.0,
               "min_child_weight": 1, "gamma": 0.0}
     credits = boosting.tree_attribution(boosting.fit(rows, "label", MODEL, params), rows, MODEL, "event_id")
