@@ -114,7 +114,8 @@ def factor_sentence(entry: Column) -> Column:
     """Main contributor in words."""
     side = F.when(entry["value"] > 0, "value is significantly above normal range").otherwise(
         "value is below expected range")
-    return F.format_string("%s (%.0f%% impact) — %s", entry["feature"], F.abs(entry["value"]) * 100, side)
+    percent = F.floor(F.abs(entry["value"]) * 100 + F.lit(0.5))
+    return F.format_string("%s (%d%% impact) — %s", entry["feature"], percent, side)
 
 
 def disclaimer(risk: Column) -> Column:

@@ -97,12 +97,15 @@ def fit(df: DataFrame, columns: list[str], key: str, trees: int = config.FOREST_
     return grown.toPandas().sort_values(["tree", "node"]).to_numpy("float64"), path_constant(psi)
 
 
-def path_scores(x: np.ndarray, model: np.ndarray, constant: float) -> np.ndarray:
+def by_tree(model: np.ndarray) -> list[np.ndarray]:
+    """The node table cut into trees; its rows are ordered by tree and node."""
+    return np.split(model, np.flatnonzero(np.diff(model[:, 0])) + 1)
+
+
+def path_scores(x: np.ndarray, trees: list[np.ndarray], constant: float) -> np.ndarray:
     """-2^(-mean depth / c): the lower, the easier a row is isolated."""
     depth = np.zeros(len(x))
-    trees = np.unique(model[:, 0])
-    for tree in trees:
-        nodes = model[model[:, 0] == tree]
+    for nodes in trees:
         feature, cut = nodes[:, 2].astype(int), nodes[:, 3]
         left, right, value = nodes[:, 4].astype(int), nodes[:, 5].astype(int), nodes[:, 6]
         at = np.zeros(len(x), dtype=int)
@@ -121,7 +124,7 @@ def score(df: DataFrame, columns: list[str], model: np.ndarray, constant: float)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __raw double"
 
     def run(batches):
-        nodes, c = shared.value
+        nodes, c = by_tree(shared.value[0]), shared.value[1]
         for batch in batches:
             x = batch[columns].astype("float64").fillna(0.0).to_numpy()
             yield batch.assign(__raw=path_scores(x, nodes, c))

@@ -56,7 +56,7 @@ def retrieved_context(spark, folder):
     docs = chunks.chunk_table(spread(b.table(spark, folder, "documents").select("doc_id", "text")), size=200, overlap=50)
     docs = docs.withColumn("key", F.concat_ws("-", "doc_id", "chunk_id"))
     model = chunks.fit_embedder(docs)
-    asked = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
+    asked = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
     hits = search.top_k(chunks.embed(docs, model).select("key", "vector"), chunks.embed(asked, model), 5, key="key",
                         vector="vector")
     return search.context_text(hits.join(docs.select("key", "chunk"), "key"), "query_id", queries=asked)
@@ -113,14 +113,12 @@ def troubleshooting_query(spark, folder):
 @query("""SELECT prediction_id, concat(feature, ' (', CAST(floor(abs(weight) * 100 + 0.5) AS INT), '% impact) — ',
   CASE WHEN weight > 0 THEN 'value is significantly above normal range' ELSE 'value is below expected range' END) AS sentence FROM
   (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY abs(weight) DESC, feature) AS rank FROM shap) WHERE rank = 1
-  AND risk_class <> 'no_risk' AND abs(abs(weight) * 100 - floor(abs(weight) * 100) - 0.5) > 0.01""", ("shap",))
+  AND risk_class <> 'no_risk'""", ("shap",))
 def factor_sentence(spark, folder):
-    """Only for risky predictions; weights that sit on a half percent are left to the unit tests."""
+    """Shown for risky predictions only."""
     top = F.get(texts.top_by_size(F.col("shap"), 1), F.lit(0))
-    part = F.abs(F.col("top.value")) * 100
     rows = b.predictions(spark, folder).where(F.col("risk_class") != "no_risk").withColumn("top", top)
-    return rows.where(F.abs(part - F.floor(part) - 0.5) > 0.01).select(
-        "prediction_id", texts.factor_sentence(F.col("top")).alias("sentence"))
+    return rows.select("prediction_id", texts.factor_sentence(F.col("top")).alias("sentence"))
 
 
 @query("""SELECT prediction_id, concat('Inverter: INV-', inverter_id, chr(10), 'Factors:', chr(10), string_agg(concat('  • ', feature, ': ',

@@ -24,6 +24,7 @@ SETTINGS = {
 
 # Small local tables: keep all cores busy although partitions are far below the usual sizes.
 LOCAL_SETTINGS = {
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 

@@ -128,7 +128,7 @@ def test_forest_constants_and_paths():
     # one tree: x <= 5 ends at depth 1, others pass a second node
     model = np.array([[0, 0, 0, 5.0, 1, 2, 0], [0, 1, -1, 0, -1, -1, 1.0], [0, 2, 0, 9.0, 3, 4, 0],
                       [0, 3, -1, 0, -1, -1, 2.0], [0, 4, -1, 0, -1, -1, 2.0]])
-    assert np.allclose(forest.path_scores(np.array([[4.0], [6.0], [10.0]]), model, 2.0), [-2 ** -0.5, -0.5, -0.5])
+    assert np.allclose(forest.path_scores(np.array([[4.0], [6.0], [10.0]]), forest.by_tree(model), 2.0), [-2 ** -0.5, -0.5, -0.5])
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from sunloom import config
 
 PLANS, SQL = entry.queries(), entry.oracle_sql()
 
@@ -26,3 +27,14 @@ def test_runs(spark, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+LONG = ["roll_mean", "roll_std", "roll_minmax", "power_variability", "ffill", "counter_delta", "lag_features", "alarm_streak",
+        "event_indicators", "lookahead_label", "zscore_flags", "category_transitions", "downsample", "risk_profile", "stream_alerts"]
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_series_match_sql(spark, small, con, name, monkeypatch):
+    """The same queries when many devices are too long for a task and are cut into slices."""
+    monkeypatch.setattr(config, "SERIES_ROWS_PER_TASK", 62)
+    test_matches_sql(spark, small, con, name)
