@@ -128,7 +128,10 @@ def state_flags(df: DataFrame) -> dict[str, Column]:
 def alarm_streak(df: DataFrame, keys: list[str], ts: str, tie: str, limit: int | None = None,
                  hot=series.MEASURE) -> DataFrame:
     """Length so far of the current run of alarm rows; 0 outside alarms."""
-    hot = series.long_series(df, keys, limit) if hot is series.MEASURE else hot
+    return series.chained(df, keys, lambda frame, h: _streaks(frame, keys, ts, tie, limit, h), limit, hot)
+
+
+def _streaks(df: DataFrame, keys: list[str], ts: str, tie: str, limit: int | None, hot) -> DataFrame:
     placed = series.positions(df, keys, ts, tie, "__at", limit, hot)
 
     def starts(frame: DataFrame, part: list[str]) -> DataFrame:
@@ -157,7 +160,6 @@ def add_features(df: DataFrame, keys: list[str] | None = None, ts: str = "timest
     """All features. One shuffle by device serves every window of the step."""
     keys = keys or config.SERIES_KEYS
     frames, periods = frames or config.FRAMES, periods or config.LAGS
-    hot = series.long_series(df, keys, limit) if hot is series.MEASURE else hot
 
     def step(frame: DataFrame, part: list[str]) -> DataFrame:
         order = [ts, tie]
@@ -168,5 +170,9 @@ def add_features(df: DataFrame, keys: list[str] | None = None, ts: str = "timest
         return frame.withColumns(lags(frame, part, order, periods=periods))
 
     behind = max(frames.values()) + max(periods.values())
-    featured = series.over_series(df, keys, ts, tie, step, behind=behind, limit=limit, hot=hot)
-    return alarm_streak(featured, keys, ts, tie, limit, hot).withColumns(time_encodings(F.col(ts)))
+
+    def chain(frame: DataFrame, long) -> DataFrame:
+        featured = series.over_series(frame, keys, ts, tie, step, behind=behind, limit=limit, hot=long)
+        return _streaks(featured, keys, ts, tie, limit, long)
+
+    return series.chained(df, keys, chain, limit, hot).withColumns(time_encodings(F.col(ts)))

@@ -16,6 +16,7 @@ from sunloom import config
 
 Step = Callable[[DataFrame, list[str]], DataFrame]
 MEASURE = object()  # default of `hot`: measure the series; pass the result of long_series to measure only once
+ALL = object()  # value of `hot`: every series of the frame is long, so nothing is split off
 
 
 def long_series(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
@@ -48,6 +49,18 @@ def numbered(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos"
     return numbered_by(df, keys, F.floor(F.unix_micros(ts) / F.lit(width)), [ts, tie], out)
 
 
+def chained(df: DataFrame, keys: list[str], chain: Callable[[DataFrame, object], DataFrame], limit: int | None = None,
+            hot=MEASURE) -> DataFrame:
+    """Run several steps with one split: `chain(frame, hot)` sees the short series, then the long ones.
+
+    Splitting inside every step instead would double the plan with each step.
+    """
+    hot = long_series(df, keys, limit) if hot is MEASURE else hot
+    if hot is None or hot is ALL:
+        return chain(df, hot)
+    return chain(df.join(hot, keys, "left_anti"), None).unionByName(chain(df.join(hot, keys, "left_semi"), ALL))
+
+
 def positions(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos",
               limit: int | None = None, hot=MEASURE) -> DataFrame:
     """0-based position in each series; the plain window while every series fits a task."""
@@ -55,6 +68,8 @@ def positions(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos
         return frame.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(ts, tie)) - 1)
 
     hot = long_series(df, keys, limit) if hot is MEASURE else hot
+    if hot is ALL:
+        return numbered(df, keys, ts, tie, out)
     if hot is None:
         return plain(df)
     return plain(df.join(hot, keys, "left_anti")).unionByName(
@@ -70,7 +85,7 @@ def over_series(df: DataFrame, keys: list[str], ts: str, tie: str, step: Step, b
     hot = long_series(df, keys, limit) if hot is MEASURE else hot
     if hot is None:
         return step(df, keys)
-    big = numbered(df.join(hot, keys, "left_semi"), keys, ts, tie, "__pos")
+    big = numbered(df if hot is ALL else df.join(hot, keys, "left_semi"), keys, ts, tie, "__pos")
     home = F.floor(F.col("__pos") / F.lit(limit))
     inside = F.col("__pos") % F.lit(limit)
     copies = F.array_compact(F.array(
@@ -78,7 +93,7 @@ def over_series(df: DataFrame, keys: list[str], ts: str, tie: str, step: Step, b
     sliced = big.withColumn("__home", home).withColumn("__slice", F.explode(copies))
     done = (step(sliced, [*keys, "__slice"]).where(F.col("__home") == F.col("__slice"))
             .drop("__pos", "__home", "__slice"))
-    return step(df.join(hot, keys, "left_anti"), keys).unionByName(done)
+    return done if hot is ALL else step(df.join(hot, keys, "left_anti"), keys).unionByName(done)
 
 
 def fill_forward(df: DataFrame, keys: list[str], ts: str, tie: str, columns: dict[str, Column] | list[str],
@@ -99,7 +114,7 @@ def fill_forward(df: DataFrame, keys: list[str], ts: str, tie: str, columns: dic
     hot = long_series(df, keys, limit) if hot is MEASURE else hot
     if hot is None:
         return plain(df)
-    big = (numbered(df.join(hot, keys, "left_semi"), keys, ts, tie, "__pos")
+    big = (numbered(df if hot is ALL else df.join(hot, keys, "left_semi"), keys, ts, tie, "__pos")
            .withColumn("__slice", F.floor(F.col("__pos") / F.lit(limit)))
            .withColumns({f"__v_{n}": c for n, c in columns.items()}))
     slices = big.groupBy(*keys, "__slice").agg(*[
@@ -113,7 +128,8 @@ def fill_forward(df: DataFrame, keys: list[str], ts: str, tie: str, columns: dic
               .join(carried, [*keys, "__slice"])
               .withColumns({n: F.coalesce(f"__v_{n}", f"__c_{n}") for n in columns}))
     extra = [f"__v_{n}" for n in columns] + [f"__c_{n}" for n in columns]
-    return plain(df.join(hot, keys, "left_anti")).unionByName(filled.drop("__pos", "__slice", *extra))
+    filled = filled.drop("__pos", "__slice", *extra)
+    return filled if hot is ALL else plain(df.join(hot, keys, "left_anti")).unionByName(filled)
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:

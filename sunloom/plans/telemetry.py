@@ -111,15 +111,18 @@ FLAGGED = f"""SELECT *, CAST(coalesce(alarm_code IN (464, 534, 548, 549, 557, 55
   FROM (SELECT *, avg(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS usual FROM tv WINDOW w AS ({W}))"""
 
 
-def _marked(spark, folder, hot=series.MEASURE) -> DataFrame:
-    tv = bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", "power", "alarm_code", "op_state")
+def _coded(spark, folder) -> DataFrame:
+    return bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", "power", "alarm_code", "op_state")
+
+
+def _marked(tv: DataFrame, hot=series.MEASURE) -> DataFrame:
     rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"day": 48}, None), behind=48, hot=hot)
     return rolled.withColumn("is_daytime", time_encodings(F.col("ts"))["is_daytime"])
 
 
 @query(f"SELECT event_id, shutdown AS shutdown_event, degraded AS degradation_event FROM ({FLAGGED})", ("tv",))
 def event_indicators(spark, folder):
-    marked = _marked(spark, folder)
+    marked = _marked(_coded(spark, folder))
     return marked.withColumns(labels.events(marked, "day")).select("event_id", "shutdown_event", "degradation_event")
 
 
@@ -129,8 +132,10 @@ LABELLED = f"""SELECT *, CASE WHEN max(shutdown) OVER (w ROWS BETWEEN CURRENT RO
 
 
 def _labelled(spark, folder) -> DataFrame:
-    hot = series.long_series(bindings.telemetry(spark, folder), KEYS)
-    return labels.add_labels(_marked(spark, folder, hot), KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
+    def chain(frame, hot):
+        return labels.add_labels(_marked(frame, hot), KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
+
+    return series.chained(_coded(spark, folder), KEYS, chain)
 
 
 @query(f"SELECT event_id, risk_label FROM ({LABELLED})", ("tv",))
@@ -230,9 +235,12 @@ def downsample(spark, folder):
 def risk_profile(spark, folder):
     """Features to labels to a profile per plant: the whole telemetry chain in one plan."""
     tv = bindings.telemetry(spark, folder)
-    hot = series.long_series(tv, KEYS)
-    featured = features.add_features(tv, KEYS, "ts", "event_id", FRAMES, {"a": 12}, daily="day", hot=hot)
-    labelled = labels.add_labels(featured, KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
+
+    def chain(frame, hot):
+        featured = features.add_features(frame, KEYS, "ts", "event_id", FRAMES, {"a": 12}, daily="day", hot=hot)
+        return labels.add_labels(featured, KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
+
+    labelled = series.chained(tv, KEYS, chain)
     return labelled.groupBy("plant_id", "risk_label").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("power_variability"), 3).alias("mean_variability"),
         r(F.max("power_rmean_day"), 3).alias("top_power_mean"))
