@@ -5,8 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from sunloom import config
-
-PLANS, SQL = entry.queries(), entry.oracle_sql()
+from sunloom.plans import ORACLES as SQL
+from sunloom.plans import PLANS
 
 
 @pytest.fixture(scope="module")
