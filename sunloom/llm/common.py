@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sunloom.session import shared_folder
 
@@ -60,6 +61,11 @@ def extended(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
 
+def output_schema(schema: T.StructType) -> pa.Schema:
+    """The Arrow schema Spark expects back for `schema`."""
+    return to_arrow_schema(schema)
+
+
 def with_arrays(batch: pa.RecordBatch, schema: pa.Schema, arrays: list) -> pa.RecordBatch:
     """`batch` plus further columns, under the Arrow schema of the output."""
     extra = [pa.array(a, schema.field(i + batch.num_columns).type) if not isinstance(a, pa.Array) else a for i, a in enumerate(arrays)]

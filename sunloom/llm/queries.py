@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe
+from sunloom.llm import bpe, exact
 from sunloom.llm.common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,12 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(documents(spark, folder).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     back = bpe.decode(coded.drop("text"), ranks)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+    FROM texts WINDOW same AS (PARTITION BY text)""")
+def op2_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.marked(documents(spark, folder).select("doc_id", "text"), keep="largest")
