@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sunloom.llm.common import extended, with_arrays
+from sunloom.llm.common import extended, once, output_schema, slices, with_arrays
 
 #: Entries of the younger half of a worker's cache of encoded chunks; both halves take about 150 MB when full.
 CACHE_ENTRIES = 400_000
@@ -33,7 +33,21 @@ CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
 
 _BITS = 256
-_SPACE = r"\t-\r \x85\xa0  -     　"  # Unicode White_Space
+#: Fixed value: the characters of Unicode's White_Space.
+_SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Code points that are letters or numbers only since Unicode 17. The matched library follows Unicode 16,
+#: where they are neither; they are split as the private-use character U+E000 is.
+_LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F))
+_NEW = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER) + "]")
 #: White space and what follows up to the next white space. No match of a split pattern for byte-level BPE holds white
 #: space after something else, so texts can be cut here before the pattern is applied.
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -138,10 +152,15 @@ class Chunks(dict):
                 self.pieces[text] = ids
         return ids
 
+    def split_as_before(self, chunk: str) -> list[str]:
+        ends = np.cumsum([len(x) for x in self.split(_NEW.sub("\ue000", chunk))]).tolist()
+        return [chunk[a:b] for a, b in zip([0, *ends], ends)]
+
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            ids = b"".join(map(self.piece, self.split(chunk)))
+            pieces = self.split(chunk) if chunk.isascii() or not _NEW.search(chunk) else self.split_as_before(chunk)
+            ids = b"".join(map(self.piece, pieces))
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)
@@ -153,16 +172,6 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, _CHUNK.findall(text))) if text else b""
 
 
-_LOADED: dict[tuple, object] = {}
-
-
-def _once(key: tuple, make):
-    """One object per worker process and key."""
-    if key not in _LOADED:
-        _LOADED[key] = make()
-    return _LOADED[key]
-
-
 def rank_file(path: str, most: int = 64 << 20) -> bytes:
     """A vocabulary file, read on the driver; it is sent to the tasks, so its size is checked."""
     with open(path, "rb") as f:
@@ -181,11 +190,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _once(key, lambda: Chunks(parse_ranks(sent.value), pattern))
+        chunks = once(key, lambda: Chunks(parse_ranks(sent.value), pattern))
         for batch in batches:
             for part in slices(batch, at):
                 found = [chunks.encode(x) for x in part.column(at).to_pylist()]
-                yield with_arrays(part, arrow_schema(schema), [found, [len(x) // 4 for x in found]])
+                yield with_arrays(part, output_schema(schema), [found, [len(x) // 4 for x in found]])
 
     return docs.mapInArrow(run, schema)
 
@@ -199,27 +208,10 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _once(key, lambda: {i: t for t, i in parse_ranks(sent.value).items()}).__getitem__
+        token = once(key, lambda: {i: t for t, i in parse_ranks(sent.value).items()}).__getitem__
         for batch in batches:
             for part in slices(batch, at):
                 found = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.column(at).to_pylist()]
-                yield with_arrays(part, arrow_schema(schema), [found])
+                yield with_arrays(part, output_schema(schema), [found])
 
     return rows.mapInArrow(run, schema)
-
-
-def arrow_schema(schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
-
-
-def slices(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """`batch` in runs of rows whose texts have about `most` bytes, so a batch of long texts is not copied whole."""
-    rows = batch.num_rows
-    if batch.column(at).nbytes <= most or rows < 2:
-        if rows:
-            yield batch
-        return
-    half = rows // 2
-    yield from slices(batch.slice(0, half), at, most)
-    yield from slices(batch.slice(half), at, most)

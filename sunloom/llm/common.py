@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("item_id bigint, text string").parquet(f"{folder.rstrip('/')}/benchmark.parquet")
+
+
 def run_folder(spark: SparkSession, what: str) -> str:
     """A fresh folder below the shared one, for the tables of one call."""
     return f"{shared_folder(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
@@ -70,3 +75,24 @@ def with_arrays(batch: pa.RecordBatch, schema: pa.Schema, arrays: list) -> pa.Re
     """`batch` plus further columns, under the Arrow schema of the output."""
     extra = [pa.array(a, schema.field(i + batch.num_columns).type) if not isinstance(a, pa.Array) else a for i, a in enumerate(arrays)]
     return pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(batch.columns)] + extra, schema=schema)
+
+
+_LOADED: dict[tuple, object] = {}
+
+
+def once(key: tuple, make):
+    """One object per worker process and key."""
+    if key not in _LOADED:
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """`batch` in runs of rows whose column `at` has about `most` bytes, so that long texts are not copied all at once."""
+    rows = batch.num_rows
+    if batch.column(at).nbytes <= most or rows < 2:
+        if rows:
+            yield batch
+        return
+    yield from slices(batch.slice(0, rows // 2), at, most)
+    yield from slices(batch.slice(rows // 2), at, most)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, exact
-from sunloom.llm.common import documents
+from sunloom.llm import bpe, decontaminate, exact
+from sunloom.llm.common import benchmark, documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,33 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     FROM texts WINDOW same AS (PARTITION BY text)""")
 def op2_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.marked(documents(spark, folder).select("doc_id", "text"), keep="largest")
+
+
+@query(r"""
+    WITH docs AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM documents),
+    items AS (
+        SELECT cast(item_id AS varchar) AS item_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+               x -> x <> '') AS words FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(len(words), 10) AS width, list_slice(words, pos, pos + least(len(words), 10) - 1) AS win
+        FROM items, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS t(pos) WHERE len(words) > 0),
+    widths AS (SELECT DISTINCT width FROM windows),
+    places AS (
+        SELECT doc_id, width, pos, list_slice(words, pos, pos + width - 1) AS win
+        FROM docs, widths, unnest(range(1, len(words) - width + 2)) AS t(pos)),
+    hits AS (SELECT doc_id, p.width, pos, item_id FROM places p JOIN windows w ON p.width = w.width AND p.win = w.win),
+    covered AS (
+        SELECT doc_id, count(DISTINCT word) AS n_hit FROM hits, unnest(range(pos, pos + width)) AS t(word) GROUP BY doc_id),
+    held AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+             FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+    SELECT doc_id, cast(len(words) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)""")
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.scanned(documents(spark, folder).select("doc_id", "text"), benchmark(spark, folder))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
