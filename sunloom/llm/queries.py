@@ -43,12 +43,11 @@ def op2_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""
     WITH docs AS (
-        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM documents),
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
     items AS (
-        SELECT cast(item_id AS varchar) AS item_id, list_filter(regexp_split_to_array(
-               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
-               x -> x <> '') AS words FROM benchmark),
+        SELECT cast(item_id AS varchar) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
     windows AS (
         SELECT DISTINCT item_id, least(len(words), 10) AS width, list_slice(words, pos, pos + least(len(words), 10) - 1) AS win
         FROM items, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS t(pos) WHERE len(words) > 0),
