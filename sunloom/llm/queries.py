@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, decontaminate, exact
+from sunloom.llm import bpe, decontaminate, exact, near
 from sunloom.llm.common import benchmark, documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
                         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
+
+
+@query()
+def op7_near(spark: SparkSession, folder: str) -> DataFrame:
+    found = near.grouped(documents(spark, folder).select("doc_id", "text"), size=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
