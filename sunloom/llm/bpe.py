@@ -50,7 +50,7 @@ _LATER = (
 _NEW = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER) + "]")
 #: White space and what follows up to the next white space. No match of a split pattern for byte-level BPE holds white
 #: space after something else, so texts can be cut here before the pattern is applied.
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 class RankQueue:
@@ -169,7 +169,7 @@ class Chunks(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text))) if text else b""
+        return b"".join(map(self.__getitem__, CHUNK.findall(text))) if text else b""
 
 
 def rank_file(path: str, most: int = 64 << 20) -> bytes:

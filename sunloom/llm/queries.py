@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, decontaminate, exact, near
-from sunloom.llm.common import benchmark, documents
+from sunloom.llm import bpe, decontaminate, exact, near, tokenbin, warc
+from sunloom.llm.common import benchmark, documents, run_folder
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op2_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.marked(documents(spark, folder).select("doc_id", "text"), keep="largest")
 
 
+@query()
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer, to = public_tokenizers.path("byte_bpe_50k.json"), run_folder(spark, "tokens")
+    size = tokenbin.vocabulary_size(bpe.rank_file(tokenizer))
+    tokenbin.write(tokenbin.encode(documents(spark, folder), tokenizer, 0, to), size, to)
+    return tokenbin.read(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query(r"""
     WITH docs AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -74,3 +82,17 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near(spark: SparkSession, folder: str) -> DataFrame:
     found = near.grouped(documents(spark, folder).select("doc_id", "text"), size=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("""
+    WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    firsts AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM rows)
+    SELECT page_id, cast(n AS bigint) AS payload_bytes, sha256(html) AS payload_digest,
+           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM firsts""")
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.schema("page_id bigint, url string, html string").parquet(f"{folder.rstrip('/')}/pages.parquet")
+    to = run_folder(spark, "warc")
+    warc.write(warc.records(pages, to), f"{to}/archives")
+    return warc.resolved(warc.read(spark, f"{to}/archives"))
