@@ -19,7 +19,7 @@ def connect(folder: str):
 
 
 def normal(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, float) and math.isnan(value):
         return None
