@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, decontaminate, exact, near, tokenbin, warc
+from sunloom.llm import bpe, brown, decontaminate, exact, near, tokenbin, warc
 from sunloom.llm.common import benchmark, documents, run_folder
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def op7_near(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query()
+def op9_brown(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.scored(documents(spark, folder), run_folder(spark, "brown")).withColumnRenamed("id", "doc_id")
+
+
 @query("""
     WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     firsts AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM rows)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunloom.llm import near
+from sunloom.llm import words as hashed
 from sunloom.llm.components import components
 from sunloom.llm.queries import PLANS
 
@@ -112,9 +113,9 @@ def test_empty(spark):
 
 def test_words_and_sets():
     for text in ["A b\tB  c", "x" * 5000 + " y", "É\u2003é z", "\x0b\x0cq"]:
-        assert len(near.word_hashes(text)) == len(words(text))
-        assert len(near.shingle_set(text, 2)) == len(shingles(text, 2))
-    assert list(near.word_hashes("a b a")[[0]]) == list(near.word_hashes("z q A")[[2]])
+        assert len(hashed.word_hashes(text)) == len(words(text))
+        assert len(hashed.shingle_set(text, 2)) == len(shingles(text, 2))
+    assert list(hashed.word_hashes("a b a")[[0]]) == list(hashed.word_hashes("z q A")[[2]])
 
 
 def test_sketches_merge_and_estimate():
