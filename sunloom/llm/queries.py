@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, brown, decontaminate, exact, near, tokenbin, warc
+from sunloom.llm import bpe, brown, decontaminate, exact, near, tokenbin, toxicity, warc
 from sunloom.llm.common import benchmark, documents, run_folder
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,15 @@ def op2_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.marked(documents(spark, folder).select("doc_id", "text"), keep="largest")
 
 
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.schema("doc_id bigint, toxic int").parquet(f"{folder.rstrip('/')}/labels.parquet")
+    found = toxicity.scored(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query()
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer, to = public_tokenizers.path("byte_bpe_50k.json"), run_folder(spark, "tokens")
