@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, brown, decontaminate, exact, near, tokenbin, toxicity, warc
+from sunloom.llm import bpe, brown, decontaminate, exact, near, pii, tokenbin, toxicity, warc
 from sunloom.llm.common import benchmark, documents, run_folder
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,15 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenbin.read(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.pseudonymised(documents(spark, folder).select("doc_id", "text"), key="demonstration key")
+    kinds = F.transform("replaced", lambda f: f["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
+    counts = [(F.size("replaced") - n).cast("bigint").alias(f"n_{k}") for k, n in zip(pii.KINDS, counts)]
+    return found.select("doc_id", "text", F.size("replaced").cast("bigint").alias("n_found"), *counts)
+
+
 @query(r"""
     WITH docs AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
