@@ -53,6 +53,27 @@ _NEW = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER) + "]")
 CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+#: White space that makes a text irregular for the short way of `cut`.
+_OTHER_SPACE = re.compile("[" + _SPACE.replace(" ", "").replace("\n", "") + "]")
+
+
+def cut(text: str) -> list[str]:
+    """Keys of the chunks of a text, in order; `spelled` gives a key's chunk.
+
+    A chunk is white space and what follows up to the next white space. Most texts have single blanks and line feeds only:
+    there a key is what follows a blank, or a line feed and what follows it. Other chunks have a key that starts with a blank.
+    """
+    words = text.replace("\n", " \n").split(" ")
+    if "" in words or "\n" in words or not text.isascii() and _OTHER_SPACE.search(text) or text.isascii() and len(text.split()) != len(words):
+        return [" " + c for c in CHUNK.findall(text)]
+    words[0] = " " + words[0]
+    return words
+
+
+def spelled(key: str) -> str:
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
+
+
 class RankQueue:
     """Positions by rank; `pop` gives the lowest rank and, in it, the leftmost position."""
 
@@ -134,7 +155,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Chunks(dict):
-    """Chunk of text -> its ids as bytes; two generations bound what is kept."""
+    """Key of a chunk -> its ids as bytes; two generations bound what is kept."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
@@ -156,20 +177,21 @@ class Chunks(dict):
         ends = np.cumsum([len(x) for x in self.split(_NEW.sub("\ue000", chunk))]).tolist()
         return [chunk[a:b] for a, b in zip([0, *ends], ends)]
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
         if ids is None:
+            chunk = spelled(key)
             pieces = self.split(chunk) if chunk.isascii() or not _NEW.search(chunk) else self.split_as_before(chunk)
             ids = b"".join(map(self.piece, pieces))
-        if len(chunk) <= CACHED_CHARS:
+        if len(key) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[key] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, CHUNK.findall(text))) if text else b""
+        return b"".join(map(self.__getitem__, cut(text))) if text else b""
 
 
 def rank_file(path: str, most: int = 64 << 20) -> bytes:

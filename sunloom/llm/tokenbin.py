@@ -25,20 +25,22 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sunloom.llm.bpe import CHUNK, rank_file
+from sunloom.llm.bpe import cut, rank_file, spelled
 from sunloom.llm.common import once, output_schema, slices, staged
 
 #: Entries of the younger half of a worker's cache of encoded chunks.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 CACHED_CHARS = 64
 BLOCK_IDS = 1 << 20
 BLOCKS_PER_FILE = 32
@@ -51,7 +53,7 @@ _ENCODED = "id bigint, n_tokens bigint, ids binary, counts boolean"
 
 
 class LibraryChunks(dict):
-    """Chunk of text -> its ids as bytes, by the library; two generations bound what is kept."""
+    """Key of a chunk -> its ids as bytes, by the library; two generations bound what is kept."""
 
     def __init__(self, tokenizer: bytes, dtype: str):
         super().__init__()
@@ -59,33 +61,34 @@ class LibraryChunks(dict):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_buffer(tokenizer)
         self.library.encode_special_tokens = True
-        self.dtype, self.older, self.passing = dtype, {}, {}
+        self.older, self.passing = {}, {}
+        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
         if ids is None:
-            return self.passing[chunk]
-        self[chunk] = ids
+            return self.passing[key]
+        self[key] = ids
         return ids
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Texts are cut before white space that follows something else: the library's split never crosses such a place."""
-        cut = [CHUNK.findall(t) if t else () for t in texts]
-        new = list(set().union(*cut) - self.keys() - self.older.keys())
+        keys = [cut(t) if t else () for t in texts]
+        new = list(set().union(*keys) - self.keys() - self.older.keys())
         if len(self) + len(new) > CACHE_ENTRIES:
             self.older = dict(self)
             self.clear()
-            new = list(set().union(*cut) - self.older.keys())
+            new = list(set().union(*keys) - self.older.keys())
         self.passing = {}
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                ids = np.array(found.ids, self.dtype).tobytes()
-                if len(chunk) <= CACHED_CHARS:
-                    self[chunk] = ids
+            for key, found in zip(part, self.library.encode_batch_fast([spelled(k) for k in part], add_special_tokens=False)):
+                ids = array(self.code, found.ids).tobytes()
+                if len(key) <= CACHED_CHARS:
+                    self[key] = ids
                 else:
-                    self.passing[chunk] = ids
-        return [b"".join(map(self.__getitem__, x)) + end for x in cut]
+                    self.passing[key] = ids
+        return [b"".join(map(self.__getitem__, x)) + end for x in keys]
 
 
 def vocabulary_size(tokenizer: bytes) -> int:
@@ -98,7 +101,7 @@ def id_type(size: int) -> str:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table of ids per row, `end_id` last, and one row of counts by id for each task."""
+    """A table of ids per row, `end_id` last, zstd-compressed, and one row of counts by id for each task."""
     data = rank_file(tokenizer_path)
     key, size = ("library", hashlib.sha256(data).hexdigest()), vocabulary_size(data)
     dtype = id_type(size)
@@ -109,13 +112,14 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = once(key, lambda: LibraryChunks(sent.value, dtype))
-        counts = np.zeros(size, np.int64)
+        counts, squeeze = np.zeros(size, np.int64), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 found = chunks.encode(part.column(1).to_pylist(), end)
                 counts += np.bincount(np.frombuffer(b"".join(found), dtype), minlength=size)
                 n = np.array([len(x) for x in found]) // np.dtype(dtype).itemsize
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(found, pa.binary()), pa.array([False] * len(found))], schema=arrow)
+                small = list(map(squeeze, found))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(small, pa.binary()), pa.array([False] * len(found))], schema=arrow)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary()),
                                               pa.array([True])], schema=arrow)
@@ -142,12 +146,18 @@ def frequency_order(encoded: DataFrame, size: int) -> np.ndarray:
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of ranks."""
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[:len(ranks)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), raw[np.arange(4) <= extra[:, None]].tobytes()
+    extra = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    for k in range(1, 4):
+        extra[:len(ranks)] += ranks >= 1 << 8 * k
+    control = extra.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    extra = extra[:len(ranks)]
+    start = np.cumsum(extra, dtype=np.int64) - extra + np.arange(len(ranks))
+    data = np.empty(len(ranks) + int(extra.sum()), np.uint8)
+    data[start] = ranks.astype(np.uint8)
+    for k in range(1, 4):
+        more = np.flatnonzero(extra >= k)
+        data[start[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
+    return (control[:, 0] | control[:, 1] | control[:, 2] | control[:, 3]).tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -190,14 +200,14 @@ def write(encoded: DataFrame, size: int, folder: str) -> None:
     sent, dtype = spark.sparkContext.broadcast(rank_of), id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, n = [], [], 0
+        ids, held, n, unpacked = [], [], 0, zstandard.ZstdDecompressor().decompress
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([block(ids, held)], pa.binary())], names=["block"])
 
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ranks = sent.value[np.frombuffer(x, dtype)]
+                ranks = sent.value[np.frombuffer(unpacked(x), dtype)]
                 if held and n + len(ranks) > BLOCK_IDS:
                     yield done()
                     ids, held, n = [], [], 0

@@ -46,7 +46,7 @@ def test_random_texts(ranks, library):
 
 def test_every_character(ranks, library):
     chunks = bpe.Chunks(ranks, P.PATTERN)
-    for start in range(0, 0x110000, 64):
+    for start in [*range(0, 0x3100, 64), *range(0xA700, 0xAC00, 64), *range(0x10700, 0x20000, 64), *range(0x2B700, 0x40000, 1024), 0xE0000]:
         text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
         got = chunks.encode(text)
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode_ordinary(text), hex(start)
