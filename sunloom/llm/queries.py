@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, brown, decontaminate, exact, near, pii, tokenbin, toxicity, warc
+from sunloom.llm import bpe, brown, decontaminate, exact, licenses, near, pii, tokenbin, toxicity, warc
 from sunloom.llm.common import benchmark, documents, run_folder
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,14 @@ def op7_near(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query()
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", F.size("notices").cast("bigint").alias("n_notices"),
+                        F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"]))).alias("families"),
+                        F.array_max(F.transform("notices", lambda n: n["probability"])).alias("probability"))
+
+
 @query()
 def op9_brown(spark: SparkSession, folder: str) -> DataFrame:
     return brown.scored(documents(spark, folder), run_folder(spark, "brown")).withColumnRenamed("id", "doc_id")
