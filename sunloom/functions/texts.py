@@ -86,9 +86,14 @@ def signed_lines(top: Column, raw: Column) -> Column:
     return F.array_join(line, "\n")
 
 
-def raw_lines(entries: Column, k: int = 15) -> Column:
+def first_raw(entries: Column, k: int = 15) -> Column:
     """The first k raw values in their given order."""
-    line = F.transform(F.slice(entries, 1, k), lambda e: F.concat(
+    return F.slice(entries, 1, k)
+
+
+def raw_lines(entries: Column, k: int = 15) -> Column:
+    """A line for each of the first k raw values."""
+    line = F.transform(first_raw(entries, k), lambda e: F.concat(
         F.lit("  • "), e["feature"], F.lit(": "), e["value"].cast("string")))
     return F.array_join(line, "\n")
 

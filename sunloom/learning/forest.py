@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from sunloom import config
 from sunloom.operators.quantiles import exact_quantiles
@@ -26,30 +28,20 @@ def path_constant(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-# Up to this many row-tree pairs every row draws for every tree.
-ALL_DRAWS = 2_000_000
-
-
 def tree_samples(df: DataFrame, columns: list[str], key: str, trees: int, size: int, seed: int, total: int) -> DataFrame:
     """`size` rows per tree, or all rows when there are fewer, chosen by hash: reruns and retries agree.
 
-    Small tables: every row draws for every tree and the smallest draws win. Large tables: a row gets just enough
-    draws, one when rows are plenty, for a tree of the draw's choice, and most rows drop out before the shuffle.
+    One scheme for tables of any size: a row gets `turns` draws for as many different trees, as many as twice the wanted
+    rows need and at most one per tree; draws over the wanted share drop out before the shuffle, and the smallest draws
+    of a tree win.
     """
-    row = F.col(key)
-    if total * trees <= ALL_DRAWS:
-        slots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-            t.alias("tree"), F.xxhash64(row, t, F.lit(seed)).alias("draw")))
-        drawn = df.select(key, *columns, F.inline(slots))
-    else:
-        wanted = 2.0 * size * trees
-        turns = math.ceil(wanted / total)
-        # a row's turns serve different trees, so no tree meets a row twice
-        pick = F.pmod(F.pmod(F.xxhash64(row, F.lit(seed), F.lit("tree")), F.lit(trees)) + F.col("__turn"), F.lit(trees)).cast("int")
-        passed = F.pmod(F.col("draw"), F.lit(1 << 30)) < int((1 << 30) * wanted / (total * turns))
-        turned = df.withColumn("__turn", F.lit(0) if turns == 1 else F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        drawn = (turned.withColumn("draw", F.xxhash64(row, F.col("__turn"), F.lit(seed))).where(passed)
-                 .withColumn("tree", pick).drop("__turn"))
+    wanted = 2.0 * size * trees
+    turns = max(1, min(trees, math.ceil(wanted / max(total, 1))))
+    share = min(1.0, wanted / (max(total, 1) * turns))
+    first = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("tree")), F.lit(trees))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: F.struct(
+        F.pmod(first + t, F.lit(trees)).cast("int").alias("tree"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("draw")))
+    drawn = df.select(key, *columns, F.inline(slots)).where(F.pmod(F.col("draw"), F.lit(1 << 30)) < int((1 << 30) * share))
     order = Window.partitionBy("tree").orderBy("draw")
     return drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("tree", "draw", *columns)
 
@@ -119,17 +111,16 @@ def path_scores(x: np.ndarray, trees: list[np.ndarray], constant: float) -> np.n
 
 
 def score(df: DataFrame, columns: list[str], model: np.ndarray, constant: float) -> DataFrame:
-    """Adds `__raw`, the isolation score, batch by batch."""
+    """Adds `__raw`, the isolation score; only the inputs travel to Python, in batches."""
     shared = df.sparkSession.sparkContext.broadcast((model, constant))
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __raw double"
 
-    def run(batches):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         nodes, c = by_tree(shared.value[0]), shared.value[1]
         for batch in batches:
-            x = batch[columns].astype("float64").fillna(0.0).to_numpy()
-            yield batch.assign(__raw=path_scores(x, nodes, c))
+            yield pd.Series(path_scores(np.column_stack([x.to_numpy("float64") for x in batch]), nodes, c))
 
-    return df.mapInPandas(run, schema)
+    inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    return df.withColumn("__raw", F.pandas_udf(run, "double", PandasUDFType.SCALAR_ITER)(*inputs))
 
 
 def add_isolation(df: DataFrame, key: str, columns: list[str] | None = None, contamination: float = config.FOREST_CONTAMINATION,
@@ -137,19 +128,19 @@ def add_isolation(df: DataFrame, key: str, columns: list[str] | None = None, con
                   fit_on: DataFrame | None = None) -> DataFrame:
     """iso_forest_score (lower is more anomalous) and a flag for the lowest `contamination` share.
 
-    Only the key and the inputs travel through Python; the scores are joined back by key.
+    The scored table is stored once, for the threshold and for the result. `key` only drives the draws of the samples;
+    nothing is joined.
     """
     columns = [c for c in columns or config.FOREST_SIGNALS if c in df.columns]
     if not columns:
         return df.withColumns({"iso_forest_score": F.lit(0.0), "iso_forest_anomaly": F.lit(0)})
     train = df if fit_on is None else fit_on
     model, constant = fit(train, columns, key, trees, size, seed)
-    # the scores are needed twice, for the threshold and for the result: store them once
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"forest-{uuid.uuid4().hex}")
-    score(df.select(key, *columns), columns, model, constant).select(key, "__raw").write.parquet(path)
-    raw = spark.read.parquet(path)
-    base = raw if fit_on is None else score(train.select(key, *columns), columns, model, constant)
+    score(df, columns, model, constant).write.parquet(path)
+    stored = spark.read.parquet(path)
+    base = stored if fit_on is None else score(train.select(*columns), columns, model, constant)
     offset = exact_quantiles(base, ["__raw"], [contamination]).select("value").scalar()
-    scored = raw.select(key, (F.col("__raw") - offset).alias("iso_forest_score"))
-    return df.join(scored, key).withColumn("iso_forest_anomaly", F.when(F.col("iso_forest_score") < 0, 1).otherwise(0))
+    scored = stored.withColumn("iso_forest_score", F.col("__raw") - offset).drop("__raw")
+    return scored.withColumn("iso_forest_anomaly", F.when(F.col("iso_forest_score") < 0, 1).otherwise(0))

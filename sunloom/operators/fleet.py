@@ -41,6 +41,13 @@ def page(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0,
     return df.orderBy(*order).offset(offset).limit(limit if cap is None else min(limit, cap))
 
 
+def grid(devices: DataFrame, by: str = "severity") -> DataFrame:
+    """All devices in the order a dashboard shows them: worst grade first, by id, or latest data first (`last_us`)."""
+    newest, device = F.desc_nulls_last("last_us"), F.col("inverter_id")
+    orders = {"severity": [category_order(F.col("current_category")).desc(), newest, device], "id": [device], "updated": [newest, device]}
+    return devices.orderBy(*orders[by])
+
+
 def status_counts(inverters: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Totals by health; offline also counts devices that are graded but not online."""
     grade, online = F.col("current_category"), F.col("is_online")

@@ -9,9 +9,13 @@ from sunloom import config
 from sunloom.operators import series
 
 
-def chronological(df: DataFrame, ts: str, tie: str, out: str = "pos", bin_seconds: int | None = None) -> DataFrame:
-    """0-based position in time over the whole table, numbered per time bin; no task sees the whole table."""
-    return series.numbered(df, [], ts, tie, out, bin_seconds)
+def chronological(df: DataFrame, ts: str, tie: str, out: str = "pos") -> DataFrame:
+    """0-based position in time over the whole table; no task sees the whole table.
+
+    Rows are dealt into ranges of (ts, tie), so that a busy hour, or one time stamp that many rows share, fills several
+    ranges. Rows are numbered inside their range; the counts of earlier ranges, one row each, give the offset.
+    """
+    return series.numbered_by(series.ranged(df, [ts, tie], "order"), [], F.col("__part"), [ts, tie], out).drop("__part")
 
 
 def train_rows(n: int, test_share: float = config.TEST_SHARE) -> int:

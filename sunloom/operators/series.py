@@ -7,12 +7,15 @@ number of rows, and every slice gets the few neighbouring rows its frames reach.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunloom import config
+from sunloom.session import shared_folder
 
 Step = Callable[[DataFrame, list[str]], DataFrame]
 MEASURE = object()  # default of `hot`: measure the series; pass the result of long_series to measure only once
@@ -49,6 +52,18 @@ def numbered(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "pos"
     return numbered_by(df, keys, F.floor(F.unix_micros(ts) / F.lit(width)), [ts, tie], out)
 
 
+def ranged(df: DataFrame, order: list, name: str) -> DataFrame:
+    """`df` dealt into sampled ranges of `order`, stored, with the number of the range in `__part`.
+
+    Ranges hold about equal numbers of rows wherever the values crowd. The table is stored because ranges are sampled anew
+    each time a plan runs.
+    """
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def chained(df: DataFrame, keys: list[str], chain: Callable[[DataFrame, object], DataFrame], limit: int | None = None,
             hot=MEASURE) -> DataFrame:
     """Run several steps with one split: `chain(frame, hot)` sees the short series, then the long ones.
@@ -145,9 +160,9 @@ def latest_with_ties(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return df.join(newest, [*keys, ts], "left_semi")
 
 
-def keep_last(df: DataFrame, keys: list[str], ts: str, n: int, out: str = "rank") -> DataFrame:
-    """The newest n rows per key; Spark trims each partition to n rows per key before the shuffle."""
-    series = Window.partitionBy(*keys).orderBy(F.desc(ts))
+def keep_last(df: DataFrame, keys: list[str], ts: str, n: int, out: str = "rank", tie: str | None = None) -> DataFrame:
+    """The newest n rows per key, equal times by `tie`; Spark trims each partition to n rows per key before the shuffle."""
+    series = Window.partitionBy(*keys).orderBy(F.desc(ts), *([F.desc(tie)] if tie else []))
     return df.withColumn(out, F.row_number().over(series)).where(F.col(out) <= n)
 
 

@@ -282,13 +282,13 @@ def band_range_join(spark, folder):
 
 
 # ------------------------------------------------------------------ KPIs
-WINDOWED = f"(SELECT r.*, i.capacity_kw FROM rd r LEFT JOIN inverters i USING (inverter_id) WHERE ts >= {AS_OF} - INTERVAL 20 DAY)"
+WINDOWED = f"(SELECT r.*, i.capacity_kw FROM rd r LEFT JOIN inverters i USING (inverter_id) WHERE ts >= {AS_OF} - INTERVAL 30 DAY)"
 STEP = "(5 / 3600e0)"
 
 
 def _kpis(spark, folder, by=None):
     rd = b.readings(spark, folder)
-    return kpi.fleet_kpis(rd, b.inverters(spark, folder), _as_of(rd), days=20, by=by)
+    return kpi.fleet_kpis(rd, b.inverters(spark, folder), _as_of(rd), by=by)
 
 
 @query(f"""SELECT {R(f'sum(greatest(ac_power, 0)) * {STEP} * 0.71e0 / 1000')} AS vcoy,
@@ -326,7 +326,7 @@ def kpi_sue(spark, folder):
        ("rd", "inverters", "blocks"))
 def kpi_ppr(spark, folder):
     rd, inv = b.readings(spark, folder), b.inverters(spark, folder).join(b.blocks(spark, folder), "block_id")
-    return (kpi.fleet_kpis(rd, inv, _as_of(rd), days=20, by=["plant_id"]).where(F.col("plant_id").isNotNull())
+    return (kpi.fleet_kpis(rd, inv, _as_of(rd), by=["plant_id"]).where(F.col("plant_id").isNotNull())
             .select("plant_id", r("ppr").alias("ppr")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sunloom import config
 from sunloom.functions import grading, texts
 from sunloom.functions.numeric import js_round
-from sunloom.learning import attribution, boosting, forest, metrics, scale, smote
+from sunloom.learning import attribution, boosting, forest, metrics, scale, serving, smote
 from sunloom.operators import ranking
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -23,7 +23,7 @@ INPUTS = ["power", "temp", "pv1_current", "pf", "v_r"]
 
 def _timed(spark, folder, *extra):
     tv = b.telemetry(spark, folder).select("event_id", "ts", *extra)
-    return ranking.chronological(tv, "ts", "event_id", bin_seconds=3600), tv.count()
+    return ranking.chronological(tv, "ts", "event_id"), tv.count()
 
 
 @query("""SELECT event_id, pos, CASE WHEN pos < CAST(floor(n * 0.8e0) AS BIGINT) THEN 'train' ELSE 'test' END AS part FROM
@@ -78,6 +78,42 @@ def manual_vector(spark, folder):
     return rows.select("reading_id", *[r(c).alias(c) for c in MANUAL])
 
 
+#: A linear stand-in for a trained model: class weights per input of MANUAL, and class biases.
+LINEAR = [[-0.9, -0.7, 0.4, 0.1], [0.2, 0.5, -0.1, 0.0], [0.7, 0.9, -0.6, -0.2]]
+BIAS = [0.6, -0.1, -0.5]
+Z = [f'(ac_power - {_mean("power")}) / {_std("power")}', f'(module_temp - {_mean("temp")}) / {_std("temp")}',
+     f'(dc_voltage - {_mean("pv1_voltage")}) / {_std("pv1_voltage")}', "0e0"]
+MARGIN = [" + ".join([f"{bias}e0", *[f"z{i} * {w}e0" for i, w in enumerate(row)]]) for row, bias in zip(LINEAR, BIAS)]
+FAULT = """CASE category WHEN 'E' THEN CASE WHEN module_temp > 70 THEN 'Overheating — Thermal Shutdown Risk'
+   WHEN irradiation < 300 THEN 'Grid Fault — Frequency Deviation'
+   WHEN dc_voltage = 0 AND dc_current = 0 THEN 'Inverter Shutdown — Critical' ELSE 'Ground Fault — Insulation Failure' END
+  WHEN 'D' THEN CASE WHEN dc_current < 5 THEN 'String Degradation' WHEN alarm_code <> 0 THEN
+   concat('Alarm Code ', alarm_code, ' — Operational Fault') ELSE 'String Degradation' END
+  WHEN 'C' THEN CASE WHEN ac_power < 5 THEN 'Low Power Output — String Issue' WHEN dc_voltage < 32 THEN
+   'Partial Shading — Performance Loss' WHEN alarm_code <> 0 THEN concat('Communication Issue — Alarm Code ', alarm_code)
+   ELSE 'Low Power Output — String Issue' END END"""
+
+
+@query(f"""WITH z AS (SELECT * EXCLUDE (category), {', '.join(f'{e} AS z{i}' for i, e in enumerate(Z))} FROM rd),
+  m AS (SELECT *, {', '.join(f'{e} AS m{i}' for i, e in enumerate(MARGIN))} FROM z),
+  p AS (SELECT *, exp(m0 - greatest(m0, m1, m2)) AS e0, exp(m1 - greatest(m0, m1, m2)) AS e1, exp(m2 - greatest(m0, m1, m2)) AS e2 FROM m),
+  c AS (SELECT *, [e0 / (e0 + e1 + e2), e1 / (e0 + e1 + e2), e2 / (e0 + e1 + e2)] AS p FROM p),
+  g AS (SELECT *, list_position(p, list_max(p)) AS best, list_max(p) AS most FROM c),
+  k AS (SELECT *, CASE WHEN best = 3 THEN 'E' WHEN best = 2 THEN CASE WHEN most >= 0.7e0 THEN 'D' ELSE 'C' END WHEN most >= 0.9e0 THEN 'A'
+   WHEN most >= 0.7e0 THEN 'B' ELSE 'C' END AS category FROM g)
+  SELECT reading_id, (['no_risk', 'degradation_risk', 'shutdown_risk'])[best] AS predicted_class, round(most, 4) AS confidence, category,
+  {FAULT} AS fault, round(p[1], 4) AS p_no_risk, round(p[2], 4) AS p_degradation, round(p[3], 4) AS p_shutdown FROM k""", ("tv", "rd"))
+def batch_predict(spark, folder):
+    """Readings scored with a stored model: model, scaler and inputs are written, read back and applied."""
+    path = os.path.join(shared_folder(spark), f"model-{uuid.uuid4().hex}")
+    serving.save_model(serving.RiskModel(serving.LinearModel(LINEAR, BIAS), _scaler(spark, folder, MANUAL), MANUAL, {}), path)
+    bundle = serving.load_model(spark, path)
+    scored = serving.score_readings(b.readings(spark, folder), bundle)
+    p = F.col("probabilities")
+    return scored.select("reading_id", "predicted_class", "confidence", "category", F.col("fault_type").alias("fault"),
+                         p[0].alias("p_no_risk"), p[1].alias("p_degradation"), p[2].alias("p_shutdown"))
+
+
 @query(f"""SELECT event_id, {R(f'(power - {_mean("power")}) / {_std("power")}')} AS power,
   {R(f'(coalesce(kwh_total, 0) - {_mean("coalesce(kwh_total, 0)")}) / {_std("coalesce(kwh_total, 0)")}')} AS kwh_total FROM tv""", ("tv",))
 def full_vector(spark, folder):
@@ -229,25 +265,28 @@ FOREST = ["power", "temp", "pv1_current", "pf", "v_r"]
 def isolation_forest(spark, folder):
     """Anomaly score and flag of every telemetry row; a published randomised method, so no SQL twin."""
     rows = spread(b.telemetry(spark, folder).select("event_id", *FOREST))
-    return forest.add_isolation(rows, "event_id", FOREST, trees=50).select(
+    return forest.add_isolation(rows, "event_id", FOREST).select(
         "event_id", r("iso_forest_score", 6).alias("score"), F.col("iso_forest_anomaly").alias("anomaly"))
 
 
 LABEL = "CASE WHEN alarm_code IN (464, 559) THEN 2 WHEN alarm_code <> 0 OR op_state NOT IN (0, 5120) THEN 1 ELSE 0 END"
-MODEL = ["power", "temp", "pf"]
+MODEL = INPUTS
 
 
 def _labelled(spark, folder):
-    """Scaled inputs with a label from the row's own codes."""
-    tv = b.telemetry(spark, folder).select("event_id", "ts", *MODEL, F.expr(LABEL).alias("label"))
-    return scale.scaled(tv, scale.fit_scaler(tv, MODEL), MODEL)
+    """Inputs with a label from the row's own codes."""
+    return b.telemetry(spark, folder).select("event_id", "ts", *MODEL, F.expr(LABEL).alias("label"))
+
+
+def _scaled(rows):
+    return scale.scaled(rows, scale.fit_scaler(rows, MODEL), MODEL)
 
 
 @query(f"""WITH c AS (SELECT {LABEL} AS label, count(*) AS n FROM tv GROUP BY 1) SELECT label, 'real' AS kind, n FROM c
   UNION ALL SELECT label, 'synthetic', (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""", ("tv",))
 def smote_balance(spark, folder):
     """Rows per class after balancing; the rows themselves are checked against brute force in the tests."""
-    out = smote.balance(_labelled(spark, folder), "label", MODEL, "event_id")
+    out = smote.balance(_scaled(_labelled(spark, folder)), "label", MODEL, "event_id")
     kind = F.when(F.col("is_synthetic"), "synthetic").otherwise("real")
     return out.groupBy("label", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -256,9 +295,10 @@ def smote_balance(spark, folder):
 def boosted_report(spark, folder):
     """Boosted trees on the first four fifths of the time line, metrics on both parts."""
     # boosting reads its input many times: train from a stored table
-    placed = ranking.chronological(_labelled(spark, folder), "ts", "event_id", bin_seconds=3600)
-    rows = stages.save_stage(placed, os.path.join(shared_folder(spark), f"boosted-{uuid.uuid4().hex}"), "rows")
-    cut = ranking.train_rows(rows.count())
+    placed = ranking.chronological(_labelled(spark, folder), "ts", "event_id")
+    cut = ranking.train_rows(placed.count())
+    rows = scale.scaled(placed, scale.fit_scaler(placed.where(F.col("pos") < cut), MODEL), MODEL)
+    rows = stages.save_stage(rows, os.path.join(shared_folder(spark), f"boosted-{uuid.uuid4().hex}"), "rows")
     train, test = rows.where(F.col("pos") < cut), rows.where(F.col("pos") >= cut)
     params = {"max_depth": 3, "learning_rate": 0.3, "n_estimators": 3, "subsample": 1.0, "colsample_bytree": 1.0,
               "min_child_weight": 1, "gamma": 0.0}
@@ -271,7 +311,7 @@ def boosted_report(spark, folder):
 @query()
 def tree_attribution(spark, folder):
     """Per class and row: bias and path credits of boosted trees, summed to mean sizes per feature."""
-    rows = stages.save_stage(_labelled(spark, folder), os.path.join(shared_folder(spark), f"trees-{uuid.uuid4().hex}"), "rows")
+    rows = stages.save_stage(_scaled(_labelled(spark, folder)), os.path.join(shared_folder(spark), f"trees-{uuid.uuid4().hex}"), "rows")
     params = {"max_depth": 3, "learning_rate": 0.3, "n_estimators": 2, "subsample": 1.0, "colsample_bytree": 1.0,
               "min_child_weight": 1, "gamma": 0.0}
     credits = boosting.tree_attribution(boosting.fit(rows, "label", MODEL, params), rows, MODEL, "event_id")

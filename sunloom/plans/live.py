@@ -40,14 +40,16 @@ def _lived(spark: SparkSession, folder: str) -> str:
     return out
 
 
-@query("""SELECT inverter_id, reading_id, prev AS category_from, category AS category_to, type FROM (SELECT *, CASE
+@query("""SELECT inverter_id, reading_id, prev AS category_from, category AS category_to, type, CASE type WHEN 'info' THEN
+  concat('Performance warning: ', coalesce(fault_type, 'Minor deviation'), ' on INV-', inverter_id)
+  ELSE concat(coalesce(fault_type, 'Fault'), ' detected on INV-', inverter_id) END AS message FROM (SELECT *, CASE
   WHEN category = 'E' AND prev <> 'E' THEN 'critical' WHEN category = 'D' AND prev <> 'D' THEN 'warning'
   WHEN category = 'C' AND prev NOT IN ('C', 'D', 'E') THEN 'info' END AS type FROM (SELECT *, lag(category, 1, 'A')
   OVER (PARTITION BY inverter_id ORDER BY ts, reading_id) AS prev FROM rd)) WHERE type IS NOT NULL""", ("rd",))
 def stream_alerts(spark, folder):
     out = _lived(spark, folder)
     return spark.read.parquet(os.path.join(out, "alerts")).select(
-        "inverter_id", "reading_id", "category_from", "category_to", "type")
+        "inverter_id", "reading_id", "category_from", "category_to", "type", "message")
 
 
 @query("""SELECT inverter_id, reading_id, category, category <> 'offline' AND op_state <> 0 AS is_online FROM (SELECT *, row_number()

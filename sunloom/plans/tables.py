@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sunloom.functions.grading import category_order
+from sunloom.functions import texts
 from sunloom.learning import attribution, scale
 from sunloom.operators import clean, fleet
 from sunloom.plans.learning import INPUTS, WEIGHTS, _mean, _scaler, _std
@@ -80,10 +81,10 @@ def study_results(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"), r(F.avg("latency_seconds"), 3).alias("latency"))
 
 
-@query()
+@query("SELECT event_id, power FROM tv WHERE substr(md5(concat('42|', event_id)), 1, 8) < '33333333'", ("tv",))
 def sampled_rows(spark, folder):
-    """A seeded sample without replacement; Spark's sample size is approximate."""
-    return b.telemetry(spark, folder).sample(False, 0.2, 42).select("event_id", "power")
+    """A seeded sample without replacement: rows whose hash falls below the share, whatever the file splits."""
+    return b.telemetry(spark, folder).where(ingest.in_sample([F.col("event_id")], 0.2, 42)).select("event_id", "power")
 
 
 @query("""SELECT column_name FROM (VALUES ('alarm_code'), ('event_id'), ('kwh_total'), ('limit_percent'), ('op_state'), ('pf'), ('power'),
@@ -100,23 +101,44 @@ def feature_names(spark, folder):
 
 @query(f"""SELECT feature, {R('avg(abs(z * w))')} AS importance FROM (SELECT unnest({INPUTS}) AS feature, unnest({WEIGHTS}::DOUBLE[]) AS w,
   unnest([{', '.join(f'({c} - {_mean(c)}) / {_std(c)}' for c in INPUTS)}]) AS z FROM tv) GROUP BY feature ORDER BY importance DESC, feature
-  LIMIT 3""", ("tv",))
+  LIMIT 5""", ("tv",))
 def top_features(spark, folder):
     rows = scale.scaled(b.telemetry(spark, folder).select("event_id", *INPUTS), _scaler(spark, folder, INPUTS), INPUTS)
     entries = rows.select(attribution.linear_entries(INPUTS, WEIGHTS).alias("entries"))
-    return attribution.top_features(attribution.global_importance(entries), 3).select("feature", r("importance").alias("importance"))
+    return attribution.top_features(attribution.global_importance(entries)).select("feature", r("importance").alias("importance"))
 
 
 @query("""SELECT inverter_id, current_category, last_us FROM (SELECT i.inverter_id, current_category, epoch_us(m) AS last_us, CASE
   current_category WHEN 'offline' THEN 6 ELSE ascii(current_category) - 64 END AS severity FROM inverters i LEFT JOIN (SELECT inverter_id,
-  max(ts) AS m FROM rd GROUP BY inverter_id) USING (inverter_id)) ORDER BY severity DESC, last_us DESC NULLS LAST, inverter_id LIMIT 30""",
+  max(ts) AS m FROM rd GROUP BY inverter_id) USING (inverter_id)) ORDER BY severity DESC, last_us DESC NULLS LAST, inverter_id""",
        ("inverters", "rd"))
 def grid_order(spark, folder):
-    """Worst grade first, then the latest data."""
+    """Worst grade first, then the latest data; the whole grid."""
     last = b.readings(spark, folder).groupBy("inverter_id").agg(F.max(F.unix_micros("ts")).alias("last_us"))
     rows = b.inverters(spark, folder).join(last, "inverter_id", "left")
-    order = [category_order(F.col("current_category")).desc(), F.desc_nulls_last("last_us"), F.col("inverter_id")]
-    return fleet.page(rows, order, 30).select("inverter_id", "current_category", "last_us")
+    return fleet.grid(rows, "severity").select("inverter_id", "current_category", "last_us")
+
+
+LAST_DATA = """SELECT inverter_id, epoch_us(m) AS last_us, row_number() OVER (ORDER BY {order}) AS place FROM inverters LEFT JOIN (SELECT
+  inverter_id, max(ts) AS m FROM rd GROUP BY inverter_id) USING (inverter_id) QUALIFY place <= 20"""
+
+
+def _first_of_grid(spark, folder, by):
+    """The first screen of the grid with its places; the twenty rows left are numbered in one task."""
+    last = b.readings(spark, folder).groupBy("inverter_id").agg(F.max(F.unix_micros("ts")).alias("last_us"))
+    first = fleet.grid(b.inverters(spark, folder).join(last, "inverter_id", "left"), by).limit(20)
+    order = [F.col("inverter_id")] if by == "id" else [F.desc_nulls_last("last_us"), F.col("inverter_id")]
+    return first.select("inverter_id", "last_us", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
+
+
+@query(LAST_DATA.format(order="inverter_id"), ("inverters", "rd"))
+def grid_by_id(spark, folder):
+    return _first_of_grid(spark, folder, "id")
+
+
+@query(LAST_DATA.format(order="m DESC NULLS LAST, inverter_id"), ("inverters", "rd"))
+def grid_by_update(spark, folder):
+    return _first_of_grid(spark, folder, "updated")
 
 
 @query("""SELECT inverter_id, type, n FROM (SELECT inverter_id, type, count(*) AS n FROM alerts WHERE NOT acknowledged GROUP BY ALL)
@@ -127,9 +149,9 @@ def pending_alerts(spark, folder):
 
 
 @query("""SELECT prediction_id, string_agg(concat(feature, '=', CAST(floor(raw * 100 + 0.4871e0) AS BIGINT)), ',' ORDER BY pos) AS head FROM raws
-  WHERE pos <= 3 GROUP BY prediction_id""", ("raws",))
+  WHERE pos <= 15 GROUP BY prediction_id""", ("raws",))
 def first_raw_values(spark, folder):
-    """The first raw values in their given order."""
-    whole = F.transform(F.slice("raw", 1, 3), lambda e: F.concat(
+    """The first fifteen raw values in their given order."""
+    whole = F.transform(texts.first_raw(F.col("raw")), lambda e: F.concat(
         e["feature"], F.lit("="), F.floor(e["value"] * 100 + F.lit(0.4871)).cast("string")))
     return b.predictions(spark, folder).select("prediction_id", F.array_join(whole, ",").alias("head"))

@@ -49,10 +49,10 @@ def percentiles(timed_traces: DataFrame, by: list[str] | None = None) -> DataFra
                               F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95_s"))
 
 
-def with_children(traces: DataFrame, keep: int = 50) -> DataFrame:
-    """Root runs with the nested list of their steps, at most `keep` per run as the listing shows."""
+def with_children(traces: DataFrame, keep: int | None = None) -> DataFrame:
+    """Root runs with the nested list of their steps; `keep` limits the list of a run to its first steps, for a listing."""
     steps = traces.where(F.col("parent_id").isNotNull()).select("parent_id", F.struct("run_id", "name", "status").alias("step"))
-    first = top_per(steps, ["parent_id"], [F.col("step.run_id")], keep)
+    first = steps if keep is None else top_per(steps, ["parent_id"], [F.col("step.run_id")], keep)
     lists = first.groupBy("parent_id").agg(F.sort_array(F.collect_list("step")).alias("children"))
     return traces.where("is_root").join(lists.withColumnRenamed("parent_id", "run_id"), "run_id", "left")
 

@@ -81,6 +81,12 @@ def plant_files(spark: SparkSession, root: str) -> list[str]:
     return sorted(r.path for r in listing.select("path").collect())
 
 
+def in_sample(key: list[Column], share: float, seed: int) -> Column:
+    """True for about `share` of all keys: a hash decides, so reruns and other file splits give the same rows."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 8)
+    return digits < F.lit(f"{int(share * 2**32):08x}")
+
+
 def ingest(spark: SparkSession, root: str, share: float = 1.0, seed: int = config.SEED) -> DataFrame:
     """All plant files as one long table; files with equal headers are read together.
 
@@ -105,7 +111,7 @@ def ingest(spark: SparkSession, root: str, share: float = 1.0, seed: int = confi
         folder = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"/(Plant [^/]*)/[^/]+$", 1)
         wide = wide.select("*", folder.alias("plant_id"))
         if 0 < share < 1:
-            wide = wide.sample(False, share, seed)
+            wide = wide.where(in_sample([F.col("plant_id"), *map(quoted, names)], share, seed))
         frames.append(melt(wide, keep=["plant_id"]))
     union = frames[0]
     for frame in frames[1:]:

@@ -20,7 +20,8 @@ def grade_changes(readings: DataFrame, state: DataFrame | None = None) -> DataFr
     def step(frame: DataFrame, part: list[str]) -> DataFrame:
         return frame.withColumn("before", F.lag("category").over(Window.partitionBy(*part).orderBy("ts", "reading_id")))
 
-    rows = readings.select("inverter_id", "reading_id", "ts", "category")
+    fault = F.col("fault_type") if "fault_type" in readings.columns else F.lit(None).cast("string").alias("fault_type")
+    rows = readings.select("inverter_id", "reading_id", "ts", "category", fault)
     moved = series.over_series(rows, ["inverter_id"], "ts", "reading_id", step, behind=1)
     if state is None:
         known = moved.withColumn("category_from", F.coalesce("before", F.lit("A")))
@@ -28,7 +29,7 @@ def grade_changes(readings: DataFrame, state: DataFrame | None = None) -> DataFr
         last = state.select("inverter_id", F.col("category").alias("stored"))
         known = moved.join(last, "inverter_id", "left").withColumn("category_from", F.coalesce("before", "stored", F.lit("A")))
     return known.where(F.col("category_from") != F.col("category")).select(
-        "inverter_id", "reading_id", "ts", "category_from", F.col("category").alias("category_to"))
+        "inverter_id", "reading_id", "ts", "category_from", F.col("category").alias("category_to"), "fault_type")
 
 
 def alerts(readings: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -36,4 +37,4 @@ def alerts(readings: DataFrame, state: DataFrame | None = None) -> DataFrame:
     kind = alert_type(F.col("category_from"), F.col("category_to"))
     device = F.concat(F.lit("INV-"), F.col("inverter_id").cast("string"))
     changes = grade_changes(readings, state).withColumn("type", kind).where(F.col("type").isNotNull())
-    return changes.withColumn("message", alert_message(F.col("type"), F.lit(None).cast("string"), device))
+    return changes.withColumn("message", alert_message(F.col("type"), F.col("fault_type"), device)).drop("fault_type")

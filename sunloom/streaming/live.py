@@ -9,29 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sunloom.functions import grading
+from sunloom.learning import serving
 from sunloom.streaming.alerts import alerts
 from sunloom.streaming.state import merge_batch, state_before
 
-READING = ["module_temp", "irradiation", "dc_voltage", "dc_current", "ac_power", "alarm_code"]
-
 
 def unique_readings(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One row per device and time within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["inverter_id", "ts"])
 
 
-def score_columns(probabilities: Column) -> dict[str, Column]:
-    """Class, confidence and grade from a probability array column."""
-    index = grading.best_class(probabilities)
-    return {"predicted_class": grading.class_name(index), "confidence": F.round(F.array_max(probabilities), 4),
-            "category": grading.grade(index, probabilities)}
-
-
 def scored(readings: DataFrame, probabilities: Column) -> DataFrame:
     """Grade, fault wording and flags of every reading; works on streams and on tables."""
-    graded = readings.withColumns(score_columns(probabilities))
-    fault = grading.fault_text(F.col("category"), {n: F.col(n) for n in READING if n in readings.columns})
-    return graded.withColumns({"fault_type": fault, "is_faulty": grading.is_faulty(F.col("category"))})
+    return serving.graded(readings, probabilities)
 
 
 def tickets(scored_rows: DataFrame) -> DataFrame:
@@ -49,19 +39,23 @@ def counters(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("category") == "E").alias("critical"))
 
 
-def run_live(scored_stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Per micro-batch: write the facts, the alerts against the state so far, then the new state snapshot.
+def run_live(stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None,
+             model: serving.RiskModel | None = None) -> StreamingQuery:
+    """Per micro-batch: score the readings, write the facts, the alerts against the state so far, the new state snapshot.
+
+    Without a `model` the stream must be scored already.
 
     Each write replaces the batch's own directory, so a batch that runs again after a failure leaves one copy.
     """
     def write(batch: DataFrame, number: int) -> None:
         facts = os.path.join(folder, "facts", f"batch={number}")
-        batch.write.mode("overwrite").parquet(facts)
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(facts)
+        rows = batch if model is None else serving.score_readings(batch, model)
+        rows.write.mode("overwrite").parquet(facts)
+        stored = batch.sparkSession.read.schema(rows.schema).parquet(facts)
         states = os.path.join(folder, "state")
         raised = alerts(stored, state_before(batch.sparkSession, states, number))
         raised.write.mode("overwrite").parquet(os.path.join(folder, "alerts", f"batch={number}"))
         merge_batch(stored, number, states)
 
-    return (scored_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "15 seconds"})).start())

@@ -22,7 +22,9 @@ def current_rows(scored: DataFrame) -> DataFrame:
 def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

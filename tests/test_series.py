@@ -86,7 +86,7 @@ def test_thin_out_in_slices(rows):
 
 
 def test_global_positions(rows):
-    pos = ranking.chronological(rows, "ts", "id", bin_seconds=300)
+    pos = ranking.chronological(rows, "ts", "id")
     assert [r[0] for r in pos.orderBy("ts", "id").select("pos").collect()] == list(range(1500))
 
 
