@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,13 @@ def plant_files(spark: SparkSession, root: str) -> list[str]:
     return sorted(r.path for r in listing.select("path").collect())
 
 
+def headers(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, ...]]:
+    """The column names of each file: one job reads the first block of every file and keeps its first line."""
+    lines = spark.read.text(files).select("value", F.monotonically_increasing_id().alias("at"), "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.where(F.col("file_block_start") == 0).groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    return {unquote(r.file_path): tuple(next(csv.reader([r.line.lstrip("\ufeff")]))) for r in first.sort("file_path").collect()}
+
+
 def in_sample(key: list[Column], share: float, seed: int) -> Column:
     """True for about `share` of all keys: a hash decides, so reruns and other file splits give the same rows."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 8)
@@ -96,13 +104,8 @@ def ingest(spark: SparkSession, root: str, share: float = 1.0, seed: int = confi
     if not files:
         raise FileNotFoundError(f"no 'Plant *' folder with CSV files under {root}")
 
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", True).csv(path).columns)
-
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(header, files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, names in zip(files, headers):
+    for path, names in headers(spark, files).items():
         groups.setdefault(names, []).append(path)
     frames = []
     for names, paths in groups.items():

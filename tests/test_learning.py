@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunloom.learning import attribution, boosting, forest, metrics, neighbours, scale, smote
+from sunloom.learning import attribution, boosting, forest, metrics, neighbours, scale, serving, smote
 from sunloom.operators import ranking
 
 COLUMNS = ["a", "b"]
@@ -39,8 +39,11 @@ def test_auc_equals_pair_counting(spark):
         return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
 
     expected = sum(auc(c) for c in range(3)) / 3
-    for bins in (1, 7, 10_000):
-        assert abs(metrics.macro_auc(df, "s", 3, bins=bins).first()["auc"] - expected) < 1e-12
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for ranges in (1, 7, int(before)):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        assert abs(metrics.macro_auc(df, "s", 3).first()["auc"] - expected) < 1e-12
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert metrics.macro_auc(df.where("label < 2"), "s", 3).first()["auc"] is None
 
 
@@ -122,6 +125,48 @@ def test_forest_finds_planted_outliers(spark):
     assert {r["id"] for r in lowest} == {5000 + i for i in range(6)}
 
 
+def test_forest_plan_and_small_samples(spark):
+    df = spark.range(100).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
+    plan = forest.add_isolation(df, "id", COLUMNS, trees=7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan  # the rows meet only the one-row bracket of the threshold
+    sample = forest.tree_samples(df, COLUMNS, "id", 7, 256, 1, 100).groupBy("tree").agg(F.countDistinct("draw").alias("n"))
+    assert [r["n"] for r in sample.collect()] == [100] * 7  # fewer rows than the sample: each tree gets all
+
+
+def test_auc_of_crowded_scores(spark):
+    rng = random.Random(6)
+    rows = [(int(rng.random() < 0.4), 0.99995 + rng.randrange(3000) * 1e-8) for _ in range(3000)]
+    rows = [(y, s + y * 4e-6) for y, s in rows]
+    df = spark.createDataFrame([(y, [1 - s, s]) for y, s in rows], "label int, p array<double>")
+    up, down = [s for y, s in rows if y], np.sort([s for y, s in rows if not y])
+    won = sum(np.searchsorted(down, s) + (np.searchsorted(down, s, "right") - np.searchsorted(down, s)) / 2 for s in up)
+    assert metrics.macro_auc(df, "p", 2).first()[0] == pytest.approx(won / len(up) / len(down), abs=1e-9)
+
+
+def test_stored_models(spark, trained, tmp_path):
+    rows, _, model = trained
+    readings = spark.createDataFrame([(i, 40.0 + i, 500.0, 20.0 + i, 3.0, 10.0 * i, 0) for i in range(12)],
+                                     "reading_id int, module_temp double, irradiation double, dc_voltage double, dc_current double, ac_power double, alarm_code int")
+    stats = spark.createDataFrame([(((50.0, 20.0), (45.0, 5.0)),)], "scaler struct<power: struct<mean: double, std: double>, temp: struct<mean: double, std: double>>")
+    linear = serving.LinearModel([[1.0, -0.5], [0.0, 0.2], [-1.0, 0.7]], [0.1, 0.0, -0.1])
+    path = str(tmp_path / "linear")
+    serving.save_model(serving.RiskModel(linear, stats, ["power", "temp"], {"a": 1}), path)
+    back = serving.load_model(spark, path)
+    assert back.params == {"a": 1} and back.columns == ["power", "temp"]
+    for r in serving.score_readings(readings, back).collect():
+        z = np.array([(r["ac_power"] - 50) / 20, (r["module_temp"] - 45) / 5])
+        p = np.exp(np.array(linear.weights) @ z + linear.biases)
+        p /= p.sum()
+        assert r["probabilities"] == pytest.approx(list(p), abs=6e-5) and r["confidence"] == pytest.approx(p.max(), abs=6e-5)
+        assert r["predicted_class"] == ["no_risk", "degradation_risk", "shutdown_risk"][int(p.argmax())]
+    boosted = str(tmp_path / "boosted")
+    stats = spark.createDataFrame([(((0.0, 1.0), (0.0, 1.0)),)], "scaler struct<a: struct<mean: double, std: double>, b: struct<mean: double, std: double>>")
+    serving.save_model(serving.RiskModel(model, stats, COLUMNS, {}), boosted)
+    direct = boosting.predict(model, rows, COLUMNS).select("id", "probabilities").collect()
+    again = {r["id"]: r for r in serving.score_readings(rows, serving.load_model(spark, boosted), "full").collect()}
+    assert all(again[r["id"]]["probabilities"] == pytest.approx(r["probabilities"], abs=6e-5) for r in direct)
+
+
 def test_forest_constants_and_paths():
     assert forest.path_constant(1) == 0 and forest.path_constant(2) == 1
     assert abs(forest.path_constant(256) - (2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)) < 1e-9

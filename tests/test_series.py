@@ -90,6 +90,16 @@ def test_global_positions(rows):
     assert [r[0] for r in pos.orderBy("ts", "id").select("pos").collect()] == list(range(1500))
 
 
+def test_global_positions_of_crowded_times(spark):
+    """All rows in one second, half of them at the same time: ranges still share them out."""
+    start = 1_704_067_200_000_000
+    rows = spark.range(4000).select("id", F.timestamp_micros(F.lit(start) + F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))).alias("ts"))
+    pos = ranking.chronological(rows.repartition(3), "ts", "id")
+    assert [r[0] for r in pos.orderBy("ts", "id").select("pos").collect()] == list(range(4000))
+    dealt = series.ranged(rows, ["ts", "id"], "t").groupBy("__part").count().agg(F.max("count"), F.count("*")).first()
+    assert dealt[0] <= 2 * 4000 / dealt[1]
+
+
 @pytest.mark.parametrize("accuracy", [20, 200, 10_000])
 def test_quantiles_are_exact(rows, accuracy):
     pdf = rows.where("v is not null").toPandas()

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sunloom.functions.grading import alert_type
+from sunloom.learning import serving
 from sunloom.sources import bindings
 from sunloom.streaming import alerts, live, stale, state
 
@@ -87,6 +88,21 @@ def test_scored_stream_and_tickets(spark, readings, tmp_path):
     assert total["processed"] == with_score.count() and total["critical"] == got.where("category = 'E'").count()
 
 
+def test_model_in_the_stream(spark, readings, tmp_path):
+    """Raw readings are scored inside the live loop, as the same model scores them in a batch."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    stats = spark.createDataFrame([(((50.0, 20.0), (45.0, 5.0)),)], "scaler struct<power: struct<mean: double, std: double>, temp: struct<mean: double, std: double>>")
+    model = serving.RiskModel(serving.LinearModel([[1.0, -0.5], [0.0, 0.2], [-1.0, 0.7]], [0.1, 0.0, -0.1]), stats, ["power", "temp"], {})
+    raw = readings.drop("category", "confidence", "is_faulty", "fault_type")
+    live.run_live(feed(spark, raw, str(folder)), out, str(tmp_path / "cp"), {"availableNow": True}, model).awaitTermination(300)
+    columns = ["reading_id", "category", "confidence", "fault_type"]
+    got = spark.read.parquet(os.path.join(out, "facts")).select(columns).collect()
+    assert sorted(got, key=lambda r: r[0]) == sorted(serving.score_readings(raw, model).select(columns).collect(), key=lambda r: r[0])
+    messages = spark.read.parquet(os.path.join(out, "alerts")).where("type = 'critical'").select("message").collect()
+    assert messages and all(" detected on INV-" in m[0] and not m[0].startswith("Fault detected") for m in messages)
+
+
 def test_duplicates_in_stream(spark, readings, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
