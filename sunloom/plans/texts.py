@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from sunloom import config
@@ -11,7 +14,7 @@ from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
 from sunloom.responses import evaluate, prompts, traces
 from sunloom.retrieval import chunks, search
-from sunloom.session import spread
+from sunloom.session import shared_folder, spread
 from sunloom.sources import bindings as b
 
 SPACE = chunks.SPACE
@@ -52,13 +55,14 @@ def cosine_topk(spark, folder):
 
 @query()
 def retrieved_context(spark, folder):
-    """Chunks of all documents embedded by hashed terms; benchmark texts are the queries; context of the best three."""
+    """Chunks of all documents embedded by hashed terms and stored; benchmark texts are the queries; context of the best three."""
     docs = chunks.chunk_table(spread(b.table(spark, folder, "documents").select("doc_id", "text")), size=200, overlap=50)
     docs = docs.withColumn("key", F.concat_ws("-", "doc_id", "chunk_id"))
-    model = chunks.fit_embedder(docs)
+    fitted, store = chunks.fit_embedder(docs), os.path.join(shared_folder(spark), f"store-{uuid.uuid4().hex}")
+    chunks.save_store(chunks.embed(docs, fitted).select("key", "chunk", "vector"), fitted, store)
+    docs, model = chunks.load_store(spark, store)
     asked = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
-    hits = search.top_k(chunks.embed(docs, model).select("key", "vector"), chunks.embed(asked, model), 5, key="key",
-                        vector="vector")
+    hits = search.top_k(docs.select("key", "vector"), chunks.embed(asked, model), 5, key="key", vector="vector")
     return search.context_text(hits.join(docs.select("key", "chunk"), "key"), "query_id", queries=asked)
 
 
@@ -157,7 +161,7 @@ def test_cases(spark, folder):
   printf('%+.4f', weight)), ', ' ORDER BY abs(weight) DESC, feature) AS factors FROM (SELECT *, concat('Plant ', inverter_id % 3 + 1) AS plant,
   row_number() OVER (PARTITION BY prediction_id ORDER BY abs(weight) DESC, feature) AS rank, row_number() OVER (PARTITION BY inverter_id, pos
   ORDER BY ts DESC, prediction_id DESC) AS newest FROM shap) WHERE rank <= 5 AND newest = 1 GROUP BY ALL""", ("shap",))
-def plant_risk_report(spark, folder):
+def plant_risk_factors(spark, folder):
     """The newest prediction of every inverter with its five main factors, per plant."""
     newest = series.latest(b.predictions(spark, folder), ["inverter_id"], "ts", "prediction_id")
     return newest.select(F.concat(F.lit("Plant "), (F.col("inverter_id") % 3 + 1).cast("string")).alias("plant"), "inverter_id",
@@ -302,6 +306,36 @@ def reply_fallback(spark, folder):
         "conv_id", "turn", "p.is_fallback", F.md5("p.summary").alias("summary"), "p.urgency")
 
 
+@query(f"""SELECT plant, inverter_id, risk_class, floor(risk_score * 1e4 + 0.4871e0) / 1e4 AS risk_score,
+  {R('max(raw) FILTER (pos = 1)', 2)} AS power, {R('max(raw) FILTER (pos = 2)', 2)} AS temp FROM (SELECT *,
+  concat('Plant ', inverter_id % 3 + 1) AS plant FROM preds QUALIFY row_number() OVER (PARTITION BY inverter_id ORDER BY ts DESC,
+  prediction_id DESC) = 1) JOIN raws USING (prediction_id) GROUP BY ALL""", ("preds", "raws"))
+def plant_risk_report(spark, folder):
+    """The newest prediction of every inverter with its power and temperature, per plant; the first device that has a value counts."""
+    newest = series.latest(b.predictions(spark, folder), ["inverter_id"], "ts", "prediction_id")
+    raw = texts.as_map(F.col("raw"))
+
+    def first(name):
+        return F.coalesce(*[F.try_element_at(raw, F.lit(f"inverters[{i}].{name}")) for i in (0, 1)])
+    return newest.select(F.concat(F.lit("Plant "), (F.col("inverter_id") % 3 + 1).cast("string")).alias("plant"), "inverter_id", "risk_class",
+                         r("risk_score").alias("risk_score"), r(first("power"), 2).alias("power"), r(first("temp"), 2).alias("temp"))
+
+
+@query(f"""SELECT conv_id, turn, j IS NULL AS is_fallback, CASE WHEN j IS NULL THEN concat('Risk Alert – INV-', conv_id) ELSE
+  coalesce(json_extract_string(j, '$.title'), '') END AS title, CASE WHEN j IS NULL THEN CASE WHEN key % 100 > 85 THEN 'P1-Critical'
+  WHEN key % 100 > 60 THEN 'P2-High' ELSE 'P3-Medium' END ELSE coalesce(json_extract_string(j, '$.priority'), '') END AS priority,
+  CASE WHEN j IS NULL THEN md5(left(response, 600)) END AS description, CASE WHEN j IS NULL THEN key % 100 > 80 END AS escalation_needed
+  FROM {PARSED}""", ("replies",))
+def ticket_fallback(spark, folder):
+    """Tickets from replies; what is no JSON object becomes a ticket by the score."""
+    rows = _replies(spark, folder).withColumn("fields", texts.json_fields(F.col("response")))
+    ticket = evaluate.ticket_or_fallback(F.col("response"), F.col("fields"), F.concat(F.lit("INV-"), F.col("conv_id").cast("string")),
+                                         ((F.col("conv_id") + F.col("turn")) % 100) / F.lit(100.0))
+    rows = rows.select("conv_id", "turn", ticket.alias("t"))
+    return rows.select("conv_id", "turn", "t.is_fallback", "t.title", "t.priority", F.when(F.col("t.is_fallback"), F.md5("t.description")).alias("description"),
+                       F.when(F.col("t.is_fallback"), F.col("t.escalation_needed")).alias("escalation_needed"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN risk_class = 'no_risk' THEN 0 ELSE 1 END AS asks_check FROM replies""", ("replies",))
 def disclaimer_kind(spark, folder):
     note = texts.disclaimer(F.col("risk_class"))

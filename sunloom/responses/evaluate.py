@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunloom import config
-from sunloom.functions import texts
+from sunloom.functions import grading, texts
 from sunloom.retrieval.chunks import words
 
 FALSY = ["", "false", "0", "0.0", "[]", "{}", "null"]
@@ -141,6 +141,24 @@ def parsed_or_fallback(reply: Column, fields: Column, chars: int = 500) -> Colum
         fields.isNull().alias("is_fallback"))
 
 
+def ticket_or_fallback(reply: Column, fields: Column, inverter: Column, score: Column, chars: int = 600) -> Column:
+    """The parsed maintenance ticket, or one made from the score that carries the start of the raw text."""
+    def get(name: str, default: Column) -> Column:
+        return F.when(fields.isNull(), default).otherwise(F.coalesce(F.try_element_at(fields, F.lit(name)), F.lit("")))
+
+    return F.struct(
+        get("title", F.concat(F.lit("Risk Alert – "), inverter)).alias("title"),
+        get("priority", grading.ticket_priority(score)).alias("priority"),
+        get("description", F.substring(reply, 1, chars)).alias("description"),
+        get("root_cause_analysis", F.lit("See description above.")).alias("root_cause_analysis"),
+        get("recommended_actions", F.lit('["Manual review required."]')).alias("recommended_actions"),
+        get("estimated_downtime", F.lit("TBD")).alias("estimated_downtime"), get("parts_needed", F.lit("[]")).alias("parts_needed"),
+        get("safety_notes", F.lit('["Follow standard safety procedures."]')).alias("safety_notes"),
+        F.when(fields.isNull(), score > 0.8).otherwise(
+            F.lower(F.coalesce(F.try_element_at(fields, F.lit("escalation_needed")), F.lit("false"))) == "true").alias("escalation_needed"),
+        fields.isNull().alias("is_fallback"))
+
+
 # --------------------------------------------------------------------------- study tables
 MEANS = {"avg_overall": "overall_score", "avg_json": "json_validity", "avg_hallucination": "hallucination",
          "avg_urgency": "urgency_accuracy", "avg_completeness": "completeness", "avg_quality": "response_quality",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom import config
@@ -50,6 +52,16 @@ def fit_embedder(texts: DataFrame, column: str = "chunk", size: int = 256) -> Pi
                             Normalizer(inputCol="weighted", outputCol="unit")]).fit(terms)
 
 
+def save_store(chunks: DataFrame, model: PipelineModel, folder: str) -> None:
+    """Chunks with their vectors, and the encoder that made them, for later searches."""
+    model.write().overwrite().save(os.path.join(folder, "encoder"))
+    chunks.write.mode("overwrite").parquet(os.path.join(folder, "chunks"))
+
+
+def load_store(spark: SparkSession, folder: str) -> tuple[DataFrame, PipelineModel]:
+    return spark.read.parquet(os.path.join(folder, "chunks")), PipelineModel.load(os.path.join(folder, "encoder"))
+
+
 def embed(texts: DataFrame, model: PipelineModel, column: str = "chunk", out: str = "vector") -> DataFrame:
     terms = texts.withColumn("terms", words(F.lower(column)))
     return model.transform(terms).withColumn(out, vector_to_array("unit")).drop("terms", "tf", "weighted", "unit")

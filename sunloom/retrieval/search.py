@@ -1,4 +1,4 @@
-"""Exact cosine top-k of few queries over many vectors, and the context text built from the hits."""
+"""Exact cosine top-k of queries over many vectors, and the context text built from the hits."""
 
 from __future__ import annotations
 
@@ -11,61 +11,95 @@ from pyspark.sql import functions as F
 
 from sunloom import config
 
-# Queries travel to the executors in blocks of at most this many bytes; more queries mean more blocks.
+# Queries of up to this many bytes travel to every task in one broadcast; more are cut into blocks of this size.
 BLOCK_BYTES = 32 * 1024 * 1024
+# Numbers in one score matrix, and bytes of vectors that meet a block of queries in one task.
+MATRIX_CELLS = 4_000_000
+BUCKET_BYTES = 64 * 1024 * 1024
 EPSILON = 1e-9
 
 
-def _block_hits(vectors: DataFrame, key: str, vector: str, ids: list, matrix: np.ndarray, k: int, query_type: str) -> DataFrame:
-    """k best candidates per query and partition; every vector is scored, only winners leave a task."""
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, np.linalg.norm(matrix, axis=1)))
+class _Best:
+    """The k best items per query of the vectors seen so far."""
 
-    def score(batches):
-        names, queries, norms = shared.value
-        best: list[pd.DataFrame | None] = [None] * len(names)
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.vstack(batch["vector"].to_numpy()).astype("float64")
-            cosine = np.round((x @ queries.T) / (np.linalg.norm(x, axis=1)[:, None] * norms + EPSILON), 12)
-            for q in range(len(names)):
-                found = pd.DataFrame({"item": batch["item"].to_numpy(), "score": cosine[:, q]})
-                if len(found) > 4 * k:
-                    cut = np.partition(cosine[:, q], len(found) - k)[len(found) - k]
-                    found = found[found["score"] >= cut]
-                pool = found if best[q] is None else pd.concat([best[q], found])
-                best[q] = pool.sort_values(["score", "item"], ascending=[False, True]).head(k)
-        for name, hits in zip(names, best):
+    def __init__(self, names: list, queries: np.ndarray, k: int):
+        self.names, self.queries, self.k = names, queries, k
+        self.norms, self.best = np.linalg.norm(queries, axis=1), [None] * len(names)
+
+    def add(self, items: np.ndarray, vectors: list) -> None:
+        """Score items in slices, so that a score matrix stays within its bound."""
+        step = max(1, MATRIX_CELLS // max(len(self.names), 1))
+        for at in range(0, len(items), step):
+            self._add(items[at:at + step], np.vstack(vectors[at:at + step]).astype("float64"))
+
+    def _add(self, items: np.ndarray, x: np.ndarray) -> None:
+        cosine = np.round((x @ self.queries.T) / (np.linalg.norm(x, axis=1)[:, None] * self.norms + EPSILON), 12)
+        for q in range(len(self.names)):
+            found = pd.DataFrame({"item": items, "score": cosine[:, q]})
+            if len(found) > 4 * self.k:
+                cut = np.partition(cosine[:, q], len(found) - self.k)[len(found) - self.k]
+                found = found[found["score"] >= cut]
+            pool = found if self.best[q] is None else pd.concat([self.best[q], found])
+            self.best[q] = pool.sort_values(["score", "item"], ascending=[False, True]).head(self.k)
+
+    def hits(self):
+        for name, hits in zip(self.names, self.best):
             if hits is not None:
                 yield hits.assign(query=name)[["query", "item", "score"]]
 
-    item_type = dict(vectors.dtypes)[key]
-    rows = vectors.select(F.col(key).alias("item"), F.col(vector).alias("vector"))
-    return rows.mapInPandas(score, f"query {query_type}, item {item_type}, score double")
+
+def _broadcast_hits(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
+    """All queries in one broadcast of checked size; every vector is scored, only winners leave a task."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def score(batches):
+        best = _Best(*shared.value, k)
+        for batch in batches:
+            if len(batch):
+                best.add(batch["item"].to_numpy(), batch["vector"].tolist())
+        yield from best.hits()
+
+    return rows.mapInPandas(score, schema)
+
+
+def _block_hits(rows: DataFrame, asked: DataFrame, blocks: int, width: int, k: int, schema: str) -> DataFrame:
+    """Blocks of queries meet buckets of vectors as groups of bounded size; queries stay distributed, vectors are read once."""
+    buckets = max(1, math.ceil(rows.count() * max(width, 1) * 8 / BUCKET_BYTES))
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = rows.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int")).withColumn("block", numbers(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("bucket", numbers(buckets))
+
+    def score(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query": [], "item": [], "score": []})
+        best = _Best(queries["query"].tolist(), np.vstack(queries["vector"].tolist()).astype("float64"), k)
+        best.add(vectors["item"].to_numpy(), vectors["vector"].tolist())
+        return pd.concat(list(best.hits()))
+
+    return left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInPandas(score, schema)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_K, key: str = "vec_id",
           vector: str = "embedding", query: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (query, item, score, rank): the k most similar vectors of each query, ties by item.
 
-    No pair table is built. The query side is measured; a large one is cut into blocks that are scored in turn.
+    No pair table is built. The query side is measured: a small one is broadcast, a large one is dealt in blocks.
     """
     size = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     blocks = max(1, math.ceil((size[0] or 0) * (size[1] or 0) * 8 / block_bytes))
-    kind = dict(queries.dtypes)[query]
-    parts = []
-    for i in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)
-        rows = mine.select(query, vector).collect()
-        if rows:
-            matrix = np.array([list(r[1]) for r in rows], dtype="float64")
-            parts.append(_block_hits(vectors, key, vector, [r[0] for r in rows], matrix, k, kind))
-    if not parts:
-        return vectors.sparkSession.createDataFrame(
-            [], f"{query} {kind}, {key} {dict(vectors.dtypes)[key]}, score double, rank int")
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    kind, item_kind = dict(queries.dtypes)[query], dict(vectors.dtypes)[key]
+    schema = f"query {kind}, item {item_kind}, score double"
+    rows = vectors.select(F.col(key).alias("item"), F.col(vector).alias("vector"))
+    asked = queries.select(F.col(query).alias("query"), F.col(vector).alias("vector"))
+    if blocks == 1:
+        held = asked.collect()
+        matrix = np.array([list(r["vector"]) for r in held], dtype="float64").reshape(len(held), -1)
+        hits = _broadcast_hits(rows, [r["query"] for r in held], matrix, k, schema) if held else vectors.sparkSession.createDataFrame([], schema)
+    else:
+        hits = _block_hits(rows, asked, blocks, size[1] or 0, k, schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("query").alias(query), F.col("item").alias(key), "score", "rank"))
