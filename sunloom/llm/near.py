@@ -44,7 +44,7 @@ REGISTERS = 128
 BASE, RATE, TOP = 1.001, 20.0, 65535
 MISS = 1e-6
 #: Nodes of a bucket that meet in one task, and nodes times shingles of a cluster.
-BUCKET_NODES = 8_192
+BUCKET_NODES = 1_024
 CLUSTER_WORK = 1_000_000_000
 CLUSTER_SHINGLES = 4_000_000
 #: Ids of documents whose sets are needed are broadcast up to this size, and joined by a shuffle beyond it.
