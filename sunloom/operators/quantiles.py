@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunloom.operators import series
+
 ACCURACY = 10_000
 
 
@@ -19,7 +21,10 @@ def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], by: list[str] | None = None,
                     method: str = "linear", accuracy: int = ACCURACY) -> DataFrame:
-    """Rows (by..., column, p, value). `linear` interpolates between ranks; `nearest` takes sorted[floor(n * p)]."""
+    """Rows (by..., column, p, value). `linear` interpolates between ranks; `nearest` takes sorted[floor(n * p)].
+
+    Groups with a NULL in `by` are left out.
+    """
     by = by or []
     keys = [*by, "column"]
     long = _long(df, columns, by)
@@ -39,7 +44,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         tight = F.when(dense, F.get("b", F.lit(i))).when(some, F.get("b", F.lit(i + 2)))
         return F.when(open_end, F.col(end)).otherwise(F.coalesce(tight, F.col(end)))
 
-    wanted = sketch.select(*keys, "n", "least", "most", F.inline(slots)).select(
+    wanted = sketch.dropna(subset=keys).select(*keys, "n", "least", "most", F.inline(slots)).select(
         *keys, "p", F.least(F.floor(rank), last).alias("rank"), (rank - F.floor(rank)).alias("part"),
         edge(0, "least", F.col("p") <= near).alias("low"), edge(1, "most", F.col("p") >= 1 - near).alias("high"))
     # Without groups there is one row per column and probability, whatever the data: safe to broadcast.
@@ -49,15 +54,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     merged = F.when(F.col("value") < F.col("low"), float("-inf")).otherwise(F.col("value"))
     counted = (bound.withColumn("value", merged).groupBy(*slot, "rank", "part", "value")
                .agg(F.count(F.lit(1)).alias("c")))
-    running = Window.partitionBy(*slot).orderBy("value")
-    inside = (counted.withColumn("to", F.sum("c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("next", F.lead("value").over(running)).withColumn("from", F.col("to") - F.col("c")))
+    # The values of a bracket are dealt into sampled ranges: positions inside a range, plus the counts of earlier ranges.
+    dealt = series.ranged(counted, [*slot, "value"], "quantiles")
+    along = Window.partitionBy(*slot).orderBy("__part")
+    ranges = dealt.groupBy(*slot, "__part").agg(F.sum("c").alias("__n"), F.min("value").alias("__first")).select(
+        *slot, "__part", F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.lead("__first").over(along).alias("__then"))
+    running = Window.partitionBy(*slot, "__part").orderBy("value")
+    inside = (dealt.withColumns({"__sum": F.sum("c").over(running.rowsBetween(Window.unboundedPreceding, 0)),
+                                 "__lead": F.lead("value").over(running)}).join(ranges, [*slot, "__part"])
+              .withColumns({"to": F.col("__before") + F.col("__sum"), "next": F.coalesce("__lead", "__then")})
+              .withColumn("from", F.col("to") - F.col("c")))
     hit = inside.where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
     if method == "nearest":
-        return hit.select(*slot, "value")
-    following = F.when(F.col("rank") + 1 < F.col("to"), F.col("value")).otherwise(
-        F.coalesce(F.col("next"), F.col("value")))
-    return hit.select(*slot, (F.col("value") + (following - F.col("value")) * F.col("part")).alias("value"))
+        found = hit.select(*slot, "value")
+    else:
+        following = F.when(F.col("rank") + 1 < F.col("to"), F.col("value")).otherwise(F.coalesce(F.col("next"), F.col("value")))
+        found = hit.select(*slot, (F.col("value") + (following - F.col("value")) * F.col("part")).alias("value"))
+    missed = F.raise_error(F.lit("a quantile bracket missed its rank"))
+    return wanted.select(*slot).join(found, slot, "left").withColumn("value", F.when(F.col("value").isNull(), missed).otherwise(F.col("value")))
 
 
 def approximate_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
