@@ -12,11 +12,11 @@ from sunloom.session import local_session
 
 HEADLINE = [
     "risk_profile", "roll_mean", "roll_std", "alarm_streak", "lookahead_label", "zscore_flags", "category_transitions",
-    "ffill", "lag_features", "downsample", "iqr_bounds", "winsorise", "chrono_split", "standardise", "manual_vector",
+    "ffill", "lag_features", "downsample", "iqr_bounds", "winsorise", "chrono_split", "standardise", "manual_vector", "batch_predict",
     "isolation_forest", "global_importance", "linear_attribution", "macro_metrics", "macro_auc", "fleet_status",
     "alerts_star", "paged_alerts", "latest_row_number", "operator_status", "kpi_eis", "green_report", "revenue_lost",
     "stale_inverters", "chunk_text", "cosine_topk", "topk_attribution", "prompt_table", "model_metrics", "trace_by_name",
-    "trace_percentiles", "high_risk_tickets",
+    "trace_percentiles", "high_risk_tickets", "retrieved_context", "stream_alerts", "smote_balance",
 ]
 
 
@@ -35,7 +35,7 @@ def main() -> None:
     rows = spark.read.parquet(f"{folder}/events.parquet").count()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
-                      "scored_rows_per_second": round(rows / times["manual_vector"]) if "manual_vector" in times else None}))
+                      "scored_rows_per_second": round(rows / times["batch_predict"]) if "batch_predict" in times else None}))
 
 
 if __name__ == "__main__":

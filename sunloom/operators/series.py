@@ -148,7 +148,7 @@ def fill_forward(df: DataFrame, keys: list[str], ts: str, tie: str, columns: dic
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
-    """One newest row per key as an aggregation: partial maxima are merged, no series is sorted."""
+    """One newest row per key as an aggregation: one row per key and task is shuffled. Spark sorts rows by key for it."""
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("__row")
     return df.groupBy(*keys).agg(newest).select(*keys, "__row.*")
