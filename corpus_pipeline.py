@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.llm import bpe, decontaminate, exact, near, toxicity
-from sunloom.llm.common import benchmark, documents, run_folder, staged
+from sunloom.llm.common import benchmark, documents, fresh, run_folder, staged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Some stages learn or are no relational operation: there is no SQL for the whole.
@@ -22,8 +22,8 @@ ORACLE_SQL = None
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier scores below its threshold; it learns from the labels that aren't held out."""
     labels = spark.read.schema("doc_id bigint, toxic int").parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    found = toxicity.scored(docs, toxicity.fit(docs, labels), out="_toxicity")
-    return found.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score = fresh(docs.columns, "toxicity")
+    return toxicity.scored(docs, toxicity.fit(docs, labels), out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

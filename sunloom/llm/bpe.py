@@ -9,7 +9,7 @@ made stale are skipped when they come up. Work is near-linear in the length, so
 
 Defined cases: null text encodes like empty text, to no ids (empty binary, n_tokens 0). Null or empty ids decode to empty
 bytes. Rows, their order inside a partition and every input column are kept, repeated rows included; an input column
-named like an output is an error. Ids outside the vocabulary are an error in `decode`.
+named like an output gives way to it. Ids outside the vocabulary are an error in `decode`.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sunloom.llm.common import extended, once, output_schema, slices, with_arrays
+from sunloom.llm.common import once, output_schema, replacing, slices, with_arrays
 
 #: Entries of the younger half of a worker's cache of encoded chunks; both halves take about 150 MB when full.
 CACHE_ENTRIES = 400_000
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     data = rank_file(ranks_path)
     key = ("encode", hashlib.sha256(data).hexdigest(), pattern)
     sent = docs.sparkSession.sparkContext.broadcast(data)
-    schema = extended(docs.schema, (ids, "binary"), (count, "bigint"))
+    docs, schema = replacing(docs, [(ids, "binary"), (count, "bigint")], text)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     data = rank_file(ranks_path)
     key = ("decode", hashlib.sha256(data).hexdigest())
     sent = rows.sparkSession.sparkContext.broadcast(data)
-    schema = extended(rows.schema, (out, "binary"))
+    rows, schema = replacing(rows, [(out, "binary")], ids)
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

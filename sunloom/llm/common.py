@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,13 +58,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def extended(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
-    """`schema` with further fields, given as names and types; a clash of names is an error that says so."""
-    taken = {n.lower() for n in schema.names}
-    clash = [n for n, _ in fields if n.lower() in taken]
-    if clash:
-        raise ValueError(f"the input already has columns named {clash}")
-    return T.StructType(schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+def replacing(df: DataFrame, outputs: list[tuple[str, str]], *reads: str) -> tuple[DataFrame, T.StructType]:
+    """`df` without the columns that are named like an output, and its schema with the outputs (names and types) behind.
+
+    A column that the operator reads can't be one that it writes.
+    """
+    names = {n.lower() for n, _ in outputs}
+    if names & {r.lower() for r in reads}:
+        raise ValueError(f"an output can't have the name of an input: {sorted(names)}")
+    kept = df.drop(*[c for c in df.columns if c.lower() in names])
+    return kept, T.StructType(kept.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs])
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or a name made from it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(columns: list[str]) -> Column:
+    """All columns as one, so that no name of a caller meets one of an operator; `packed.*` unpacks them."""
+    return (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))).alias("packed")
+
+
+def unpacked(columns: list[str]) -> list[str]:
+    return ["packed.*"] if columns else []
 
 
 def output_schema(schema: T.StructType) -> pa.Schema:
@@ -74,7 +95,13 @@ def output_schema(schema: T.StructType) -> pa.Schema:
 def with_arrays(batch: pa.RecordBatch, schema: pa.Schema, arrays: list) -> pa.RecordBatch:
     """`batch` plus further columns, under the Arrow schema of the output."""
     extra = [pa.array(a, schema.field(i + batch.num_columns).type) if not isinstance(a, pa.Array) else a for i, a in enumerate(arrays)]
-    return pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(batch.columns)] + extra, schema=schema)
+    return as_batch([*batch.columns, *extra], schema)
+
+
+def as_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of `columns` in the types of `schema`."""
+    typed = [c if c.type == schema.field(i).type else c.cast(schema.field(i).type) for i, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays(typed, schema=schema)
 
 
 _LOADED: dict[tuple, object] = {}

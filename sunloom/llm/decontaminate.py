@@ -9,7 +9,7 @@ an error that says so; split it and call once per part.
 
 Defined cases: null or empty texts have no words, so no hits. Null and empty items have no window; rows with one
 item id, as text, are one item. Items with the same window all count. Input columns are kept;
-one named like an output is an error. An empty benchmark hits nothing.
+one named like an output of `scanned` gives way to it, `clean` returns them all. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import ALNUM_WORDS, extended, lower_words, once, output_schema, slices, with_arrays
+from sunloom.llm.common import ALNUM_WORDS, as_batch, fresh, lower_words, once, output_schema, replacing, slices, with_arrays
 
 WIDTH = 10
 MOST_BYTES = 128 << 20
@@ -97,13 +97,14 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
     return [(str(i), t) for i, t in benchmark.select(item_id, text).collect()]
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", item_id: str = "item_id") -> DataFrame:
+def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", item_id: str = "item_id",
+            names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items")) -> DataFrame:
     """`docs` with n_words, hit_spans (first word, word after the last one, of every covered run) and hit_items (ids as text)."""
     items = benchmark_items(benchmark, item_id)
     key = ("windows", width, hashlib.sha256(repr(items).encode()).hexdigest())
     sent = docs.sparkSession.sparkContext.broadcast(items)
-    schema = extended(docs.schema, ("n_words", "bigint"), ("hit_spans", "array<struct<start: bigint, stop: bigint>>"),
-                      ("hit_items", "array<string>"))
+    kinds = ("bigint", "array<struct<start: bigint, stop: bigint>>", "array<string>")
+    docs, schema = replacing(docs, list(zip(names, kinds)), text)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +130,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, remove: str
 
     A removed span takes the characters from its first word to its last one; the rest of a text stays as it was.
     """
-    found = scanned(docs, benchmark, width, text, item_id)
+    names = tuple(fresh(docs.columns, n) for n in ("n_words", "hit_spans", "hit_items"))
+    found = scanned(docs, benchmark, width, text, item_id, names)
     if remove == "documents":
-        return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+        return found.where(F.size(names[1]) == 0).drop(*names)
     if remove != "spans":
         raise ValueError("remove is documents or spans")
     schema, at = docs.schema, docs.columns.index(text)
@@ -142,7 +144,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, remove: str
             texts = [_without(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist())]
             columns = list(batch.columns[:len(schema)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, output_schema(schema))], schema=output_schema(schema))
+            yield as_batch(columns, output_schema(schema))
 
     return found.mapInArrow(cut, schema)
 

@@ -14,7 +14,7 @@ equal texts one row stays.
 
 Defined cases: null text counts as empty text, which is a text like any other. A row without an id stays only if no equal
 row has one (`keep_id` is null then). Of rows that repeat in id and text exactly one stays. Carried columns named like an
-output are an error. An empty table gives an empty table.
+output give way to it, `deduplicated` returns all columns. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sunloom.llm.common import extended, output_schema, run_folder, staged
+from sunloom.llm.common import as_batch, output_schema, packed, run_folder, staged, unpacked
 
 PREFIX_BYTES = 64
 _RUN = "_run bigint, _edge boolean, _text binary"
@@ -72,7 +72,7 @@ def _runs(small: int, schema: pa.Schema):
                     texts[i - done] = border[i]
             columns = [*batch.columns[:-1], best.take(pa.array(of)), pa.array(size[of]), pa.array(at == start[of]), pa.array(of.astype("int64")),
                        pa.array((of == 0) | (of == final)), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
+            yield as_batch(columns, schema)
             done += len(at)
     return run
 
@@ -87,7 +87,7 @@ def _firsts(wide: int, schema: pa.Schema):
             edge = (numbers == 0) | is_last
             text = pa.array([t.as_py() if e else None for t, e in zip(part.column(wide), edge)], pa.binary())
             columns = [*part.columns[:wide], pa.array(numbers), pa.array(edge), text]
-            return pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
+            return as_batch(columns, schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -119,12 +119,12 @@ def _changes(text: pa.Array, before: bytes | None) -> np.ndarray:
     return new
 
 
-def _sorted(docs: DataFrame, id_col: str, text_col: str, normal: Column | None, keep: str) -> DataFrame:
-    """Rows by content, the one to keep first among equals, with _data, _sha and _id added."""
+def _sorted(docs: DataFrame, carry: list[str], id_col: str, text_col: str, normal: Column | None, keep: str) -> DataFrame:
+    """Rows by content, the one to keep first among equals: the columns `carry` as one, _data, _sha and _id."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     data = F.encode(F.coalesce(normal if normal is not None else F.col(text_col), F.lit("")), "UTF-8")
-    wanted = docs.withColumns({"_data": data, "_id": F.col(id_col).cast("bigint")}).withColumns(
+    wanted = docs.select(packed(carry), data.alias("_data"), F.col(id_col).cast("bigint").alias("_id")).withColumns(
         {"_sha": F.sha2("_data", 256), "_head": F.substring("_data", 1, PREFIX_BYTES)})
     order = ["_head", "_sha", F.asc_nulls_last("_id") if keep == "smallest" else F.desc_nulls_last("_id")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -152,28 +152,28 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
 
     `normal` is the text to compare, as a column expression; by default the text as it is. `keep` is smallest or largest.
     """
-    carry = (id_col,) if carry is None else carry
-    extended(docs.select(*carry).schema, *_OUT)
-    dealt = _sorted(docs.select(*dict.fromkeys((*carry, id_col, text_col))), id_col, text_col, normal, keep)
-    schema = T.StructType(docs.select(*carry).schema.fields + T._parse_datatype_string(
+    outputs = [n for n, _ in _OUT]
+    names = [c for c in ((id_col,) if carry is None else carry) if c.lower() not in outputs]
+    dealt = _sorted(docs, names, id_col, text_col, normal, keep)
+    schema = T.StructType([dealt.schema["packed"]] + T._parse_datatype_string(
         f"_sha string, _best bigint, _size bigint, _pick boolean, {_RUN}").fields)
-    found = dealt.select(*carry, "_sha", "_id", "_data").mapInArrow(_runs(len(carry) + 2, output_schema(schema)), schema)
+    found = dealt.select("packed", "_sha", "_id", "_data").mapInArrow(_runs(3, output_schema(schema)), schema)
     found = staged(found.withColumn("_part", F.spark_partition_id()), run_folder(docs.sparkSession, "exact"), "runs")
     chains = F.broadcast(_chains(found, "_best", "_size"))
-    inner = found.where("NOT _edge").select(*carry, F.col("_best").alias("keep_id"), F.col("_size").alias("group_size"),
+    inner = found.where("NOT _edge").select("packed", F.col("_best").alias("keep_id"), F.col("_size").alias("group_size"),
                                             F.col("_pick").alias("kept"), F.col("_sha").alias("text_sha256"))
-    return inner.unionByName(found.where("_edge").join(chains, ["_part", "_run"]).select(
-        *carry, F.col("_all_best").alias("keep_id"), F.col("_all_size").alias("group_size"),
-        (F.col("_pick") & F.col("_leads")).alias("kept"), F.col("_sha").alias("text_sha256")))
+    outer = found.where("_edge").join(chains, ["_part", "_run"]).select(
+        "packed", F.col("_all_best").alias("keep_id"), F.col("_all_size").alias("group_size"),
+        (F.col("_pick") & F.col("_leads")).alias("kept"), F.col("_sha").alias("text_sha256"))
+    return inner.unionByName(outer).select(*unpacked(names), *outputs)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal: Column | None = None,
                  keep: str = "smallest") -> DataFrame:
     """The rows of `docs` that stay, one of each text."""
-    names = docs.columns
-    dealt = _sorted(docs, id_col, text_col, normal, keep)
-    schema = T.StructType(docs.schema.fields + T._parse_datatype_string(_RUN).fields)
-    found = dealt.select(*names, "_data").mapInArrow(_firsts(len(names), output_schema(schema)), schema)
+    dealt = _sorted(docs, docs.columns, id_col, text_col, normal, keep)
+    schema = T.StructType([dealt.schema["packed"]] + T._parse_datatype_string(_RUN).fields)
+    found = dealt.select("packed", "_data").mapInArrow(_firsts(1, output_schema(schema)), schema)
     found = staged(found.withColumn("_part", F.spark_partition_id()), run_folder(docs.sparkSession, "exact"), "firsts")
     follows = F.broadcast(_chains(found).where("NOT _leads"))
-    return found.join(follows, ["_part", "_run"], "left_anti").select(*names)
+    return found.join(follows, ["_part", "_run"], "left_anti").select("packed.*")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunloom.llm.common import output_schema, run_folder, slices, staged
+from sunloom.llm.common import fresh, output_schema, run_folder, slices, staged
 from sunloom.llm.components import components
 from sunloom.llm.words import shingle_set
 
@@ -300,6 +300,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     gone = marks.join(first, "component").where("NOT (id <=> stays.id AND text_hash = stays.text_hash)").select("id", "text_hash").distinct()
     gone = staged(gone, folder, "gone")
     small = gone.count() * 16 <= BROADCAST_BYTES
-    gone = gone.toDF("_gone_id", "_gone_hash")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_hash"))
+    names = fresh(docs.columns, "gone_id"), fresh(docs.columns, "gone_hash")
+    gone = gone.toDF(*names)
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")

@@ -17,7 +17,7 @@ The network alternates over two halves that keep their sizes: each round adds to
 its range, a keyed hash (SHA-256) of the other half. Every round can be undone, so the whole is a permutation of the format.
 
 Defined cases: null text stays null, empty text empty, both without finds. Repeated rows get the same result. All input columns
-are kept; one named like the output is an error.
+are kept; one named like the output gives way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import extended
+from sunloom.llm.common import fresh, replacing
 
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
@@ -168,15 +168,15 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out: str = "replaced") -> DataFrame:
     """`docs` with pseudonyms in its texts, and `out`: an array of (kind, pseudonym) in order of the text."""
-    extended(docs.schema, (out, "string"))
-    text = F.col(text_col).cast("string")
+    docs, _ = replacing(docs, [(out, "string")], text_col)
+    text, seen = F.col(f"`{text_col}`").cast("string"), fresh([*docs.columns, out], "found")
     matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda m: F.struct(m.alias("match"), kind_of(m).alias("kind")))
-    named = F.transform(F.col("_found"), lambda f: F.struct(f["match"].alias("match"), f["kind"].alias("kind"), pseudonym(f["match"], f["kind"], key).alias("pseudonym")))
-    found = docs.withColumn("_found", F.when(text.rlike(PATTERN), matches))
+    named = F.transform(F.col(seen), lambda f: F.struct(f["match"].alias("match"), f["kind"].alias("kind"), pseudonym(f["match"], f["kind"], key).alias("pseudonym")))
+    found = docs.withColumn(seen, F.when(text.rlike(PATTERN), matches))
     # only texts with a match are cut up
-    found = found.withColumn("_found", F.when(F.col("_found").isNotNull(), named))
-    fills = F.concat(F.transform("_found", lambda f: F.coalesce(f["pseudonym"], f["match"])), F.array(F.lit("")))
+    found = found.withColumn(seen, F.when(F.col(seen).isNotNull(), named))
+    fills = F.concat(F.transform(seen, lambda f: F.coalesce(f["pseudonym"], f["match"])), F.array(F.lit("")))
     woven = F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), fills, lambda a, b: F.array(a, b))), "")
-    valid = F.transform(F.filter("_found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["pseudonym"].alias("pseudonym")))
-    return found.withColumns({text_col: F.when(F.col("_found").isNotNull(), woven).otherwise(text),
-                              out: F.coalesce(valid, F.array().cast("array<struct<kind: string, pseudonym: string>>"))}).drop("_found")
+    valid = F.transform(F.filter(seen, lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["pseudonym"].alias("pseudonym")))
+    return found.withColumns({text_col: F.when(F.col(seen).isNotNull(), woven).otherwise(text),
+                              out: F.coalesce(valid, F.array().cast("array<struct<kind: string, pseudonym: string>>"))}).drop(seen)

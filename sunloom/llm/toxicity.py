@@ -13,7 +13,7 @@ what bounds the label table that is broadcast and the one task that runs the reg
 
 Defined cases: null text is empty text, whose score is that of no features. Rows without a label (or with a null one) are not
 learned from, several labels of one id are several examples. Without training rows every score is 0.5, with one class only the
-share of that class, smoothed. Repeated rows are scored each; input columns are kept, one named like an output is an error.
+share of that class, smoothed. Repeated rows are scored each; input columns are kept, one named like the output gives way to it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import SPACED_WORDS, extended, output_schema, slices, with_arrays
+from sunloom.llm.common import SPACED_WORDS, output_schema, replacing, slices, with_arrays
 
 ORDERS = (3, 4, 5)
 FEATURES = 4_096
@@ -212,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the probability that a text is toxic."""
-    schema, at = extended(docs.schema, (out, "double")), docs.columns.index(text_col)
+    docs, schema = replacing(docs, [(out, "double")], text_col)
+    at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.adds, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,8 +95,10 @@ def test_odd_tables(spark):
     assert coded.columns == ["doc_id", "text", "part", "ids", "n_tokens"]
     empty = bpe.decode(bpe.encode(spark.createDataFrame([], schema), RANKS, P.PATTERN), RANKS)
     assert empty.count() == 0
-    with pytest.raises(ValueError, match="already has"):
-        bpe.encode(spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, ids int"), RANKS, P.PATTERN)
+    clash = bpe.encode(spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, ids int"), RANKS, P.PATTERN)
+    assert clash.columns == ["doc_id", "text", "ids", "n_tokens"] and clash.first().n_tokens == 1
+    with pytest.raises(ValueError, match="name of an input"):
+        bpe.encode(spark.createDataFrame([("a",)], "ids string"), RANKS, P.PATTERN, text="ids")
 
 
 def test_rank_file_lines():

@@ -62,6 +62,9 @@ def test_clean(spark):
     assert sorted(r.doc_id for r in dec.clean(docs, bench).collect()) == [2, 3]
     cut = {r.doc_id: r.text for r in dec.clean(docs, bench, remove="spans").collect()}
     assert cut == {1: "Before, ! After.", 2: "nothing here", 3: None, 4: ""}
+    odd = docs.withColumnsRenamed({"n_words_before": "n_words"})
+    assert dec.clean(odd, bench).columns == odd.columns and sorted(r.n_words for r in dec.clean(odd, bench).collect()) == [2, 3]
+    assert dec.scanned(odd, bench).columns == ["doc_id", "text", "n_words", "hit_spans", "hit_items"]
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dec.clean(docs, none).count() == 4
     assert dec.clean(spark.createDataFrame([], docs.schema), bench).count() == 0

@@ -50,8 +50,11 @@ def test_normal_form_and_clashes(spark):
     docs = spark.createDataFrame([(1, " A  b", "x"), (2, "a B ", "y")], SCHEMA)
     assert exact.marked(docs, normal=exact.trimmed_lower(F.col("text"))).where("kept").count() == 1
     assert exact.deduplicated(docs).columns == docs.columns
-    with pytest.raises(ValueError, match="already has"):
-        exact.marked(docs.withColumn("kept", F.lit(1)), carry=("kept",))
+    odd = docs.withColumns({n: F.lit(7) for n in ("kept", "packed", "_data", "_id", "_sha", "_part", "_run", "keep_id")})
+    got = exact.marked(odd, carry=("doc_id", "kept", "_data"))
+    assert got.columns == ["doc_id", "_data", "keep_id", "group_size", "kept", "text_sha256"] and got.where("kept").count() == 2
+    left = exact.deduplicated(odd)
+    assert left.columns == odd.columns and {tuple(r)[3:] for r in left.collect()} == {(7,) * 8}
     with pytest.raises(ValueError, match="smallest"):
         exact.marked(docs, keep="any")
 

@@ -88,7 +88,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
 
 def test_deduplicated(spark):
     rows = corpus(2)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, component string")
+    docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id bigint, text string, component string, gone_id int")
     stay = near.deduplicated(docs, 3, 85)
     assert stay.columns == docs.columns
     groups = brute(rows, 3, 85)
