@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from sunloom.llm.common import once, output_schema, replacing, slices, with_arra
 
 #: Entries of the younger half of a worker's cache of encoded chunks; both halves take about 150 MB when full.
 CACHE_ENTRIES = 400_000
+#: Entries that outlive a task.
+KEPT_ENTRIES = 50_000
 #: Longer chunks are encoded but not remembered.
 CACHED_CHARS = 64
 
@@ -193,6 +196,16 @@ class Chunks(dict):
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, cut(text))) if text else b""
 
+    def shrink(self) -> None:
+        """At the end of a task: keep the entries that came first, which are the frequent ones, and free the rest.
+
+        An idle worker may wait through stages that need its memory.
+        """
+        first = dict(islice(self.items(), KEPT_ENTRIES))
+        self.clear()
+        self.update(first)
+        self.older, self.pieces = {}, {}
+
 
 def rank_file(path: str, most: int = 64 << 20) -> bytes:
     """A vocabulary file, read on the driver; it is sent to the tasks, so its size is checked."""
@@ -217,6 +230,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
             for part in slices(batch, at):
                 found = [chunks.encode(x) for x in part.column(at).to_pylist()]
                 yield with_arrays(part, output_schema(schema), [found, [len(x) // 4 for x in found]])
+        chunks.shrink()
 
     return docs.mapInArrow(run, schema)
 

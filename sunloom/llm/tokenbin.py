@@ -26,6 +26,7 @@ import hashlib
 import os
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sunloom.llm.bpe import cut, rank_file, spelled
+from sunloom.llm.bpe import KEPT_ENTRIES, cut, rank_file, spelled
 from sunloom.llm.common import once, output_schema, slices, staged
 
 #: Entries of the younger half of a worker's cache of encoded chunks.
@@ -87,6 +88,13 @@ class LibraryChunks(dict):
         stops = (stops * size).tolist()
         return [data[x:y] for x, y in zip([0, *stops], stops)]
 
+    def shrink(self) -> None:
+        """At the end of a task: keep the entries that came first, free the rest."""
+        first = dict(islice(self.items(), KEPT_ENTRIES))
+        self.clear()
+        self.update(first)
+        self.older, self.passing = {}, {}
+
     def keep(self, keys: list[str], found: list[bytes]) -> None:
         for key, ids in zip(keys, found):
             (self if len(key) <= CACHED_CHARS else self.passing)[key] = ids
@@ -139,6 +147,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_co
                 n = np.array([len(x) for x in found]) // np.dtype(dtype).itemsize
                 small = list(map(squeeze, found))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(small, pa.binary()), pa.array([False] * len(found))], schema=arrow)
+        chunks.shrink()
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary()),
                                               pa.array([True])], schema=arrow)
