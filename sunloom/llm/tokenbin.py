@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,6 @@ from sunloom.llm.common import once, output_schema, slices, staged
 #: Entries of the younger half of a worker's cache of encoded chunks.
 CACHE_ENTRIES = 500_000
 CACHED_CHARS = 64
-#: Chunks that are encoded as one text.
-TOGETHER = 2_000
 BLOCK_IDS = 1 << 20
 BLOCKS_PER_FILE = 32
 #: Files whose first positions are broadcast; more are joined by a shuffle.
@@ -62,11 +61,8 @@ class LibraryChunks(dict):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_buffer(tokenizer)
         self.library.encode_special_tokens = True
-        self.older, self.passing, self.dtype = {}, {}, dtype
-        vocabulary = self.library.get_vocab()
-        #: bytes of each token: the byte-level alphabet has a character per byte
-        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.length[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.older, self.passing = {}, {}
+        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
 
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
@@ -75,22 +71,6 @@ class LibraryChunks(dict):
         self[key] = ids
         return ids
 
-    def together(self, keys: list[str]) -> list[bytes]:
-        """Ids of chunks in a row: the bytes that tokens stand for show where each chunk ends."""
-        chunks = [spelled(k) for k in keys]
-        ids = np.array(self.library.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
-        token_ends, chunk_ends = np.cumsum(self.length[ids]), np.cumsum([len(c.encode()) for c in chunks])
-        stops = np.searchsorted(token_ends, chunk_ends) + 1
-        if (token_ends[stops - 1] != chunk_ends).any():
-            raise ValueError("the tokenizer joins text over white space")
-        data, size = ids.tobytes(), ids.itemsize
-        stops = (stops * size).tolist()
-        return [data[x:y] for x, y in zip([0, *stops], stops)]
-
-    def keep(self, keys: list[str], found: list[bytes]) -> None:
-        for key, ids in zip(keys, found):
-            (self if len(key) <= CACHED_CHARS else self.passing)[key] = ids
-
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Texts are cut before white space that follows something else: the library's split never crosses such a place."""
         keys = [cut(t) if t else () for t in texts]
@@ -100,13 +80,14 @@ class LibraryChunks(dict):
             self.clear()
             new = list(set().union(*keys) - self.older.keys())
         self.passing = {}
-        # chunks that begin with white space can be encoded as one text, the others one by one
-        chained, alone = [k for k in new if k[0] != " "], [k for k in new if k[0] == " "]
-        for at in range(0, len(chained), TOGETHER):
-            self.keep(chained[at:at + TOGETHER], self.together(chained[at:at + TOGETHER]))
-        for at in range(0, len(alone), TOGETHER):
-            found = self.library.encode_batch_fast([spelled(k) for k in alone[at:at + TOGETHER]], add_special_tokens=False)
-            self.keep(alone[at:at + TOGETHER], [np.array(f.ids, self.dtype).tobytes() for f in found])
+        for at in range(0, len(new), 10_000):
+            part = new[at:at + 10_000]
+            for key, found in zip(part, self.library.encode_batch_fast([spelled(k) for k in part], add_special_tokens=False)):
+                ids = array(self.code, found.ids).tobytes()
+                if len(key) <= CACHED_CHARS:
+                    self[key] = ids
+                else:
+                    self.passing[key] = ids
         return [b"".join(map(self.__getitem__, x)) + end for x in keys]
 
 
