@@ -173,3 +173,25 @@ def test_empty(spark):
     odd = spark.createDataFrame([("a 4111111111111111", 1, 2)], "text string, replaced int, found int")
     got = pii.pseudonymised(odd, KEY)
     assert got.columns == ["text", "found", "replaced"] and got.first().found == 2 and got.first().replaced[0].kind == "card"
+
+
+CARD = "4111111111111111"
+
+
+def test_next_to_numbers(spark):
+    texts = [f"4111 1111 1111 1111 12/25", f"{CARD} 123", f"room 12 {CARD}", f"1 2 3 4 5 6 4111 1111 1111 1111 7 8", f"{CARD} {CARD}", "7 123-45-6789 2024-02-29 5",
+             "12/31/1999", "13/32/1999", "call 212-555-0123 now", "212.555.0124", "212 555 0125 12345", "1 2 3 4 5 6 7 8 9 1 2 3 4 5"]
+    kinds = [["card"], ["card"], ["card"], ["card"], ["card"] * 2, ["ssn", "date"], ["date"], [], ["phone"], ["phone"], ["phone"], []]
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), KEY).orderBy("doc_id").collect()
+    assert [[x.kind for x in r.replaced] for r in got] == kinds
+    want = pii.pseudonymised(spark.createDataFrame([(CARD,)], "text string"), KEY).first().text
+    for r, source in zip(got, texts):
+        assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", source) and (r.text == source) == (not r.replaced)
+    assert got[1].text == f"{want} 123" and got[2].text == f"room 12 {want}" and got[4].text == f"{want} {want}"
+    assert got[3].text.replace(" ", "") == f"123456{want}78"
+
+
+def test_late_days(spark):
+    days = spark.range(44321).select(pii._late_day(F.col("id")).alias("day"), "id")
+    back = days.select("id", F.date_format("day", "MM/dd/yyyy").alias("text")).select("id", "text", pii._late(F.col("text")).alias("back"))
+    assert back.where("back IS NULL OR back <> id").count() == 0 and back.select(F.countDistinct("text")).first()[0] == 44321
