@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunloom.llm import bpe, brown, decontaminate, exact, licenses, near, pii, tokenbin, toxicity, warc
-from sunloom.llm.common import benchmark, documents, run_folder
+from sunloom.llm import bpe, brown, decontaminate, exact, licenses, near, periodic, pii, token_counts, tokenbin, toxicity, turn_trie, warc
+from sunloom.llm.common import benchmark, documents, run_folder, staged
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +128,40 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     to = run_folder(spark, "warc")
     warc.write(warc.records(pages, to), f"{to}/archives")
     return warc.resolved(warc.read(spark, f"{to}/archives"))
+
+
+@query()
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op12_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.schema("conv_id bigint, turn bigint, role string, text string").parquet(f"{folder.rstrip('/')}/conversations.parquet")
+    to = run_folder(spark, "trie")
+    c = F.col("conv_id")
+    whole = staged(turn_trie.sequences(turns), to, "sequences")
+    return turn_trie.nodes(turn_trie.continued(whole, c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4), to)
+
+
+def repeated_from(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planted repetitions: of every tenth document, by a hash of its id, the words from a place on repeat."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query()
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.detected(documents(spark, folder), rewrite=repeated_from)
+    # longest first, then by start and period: the order of the runs themselves breaks ties
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.start")).alias("start"), "top.length", (-F.col("top.period")).alias("period"),
+        F.floor(F.col("top.length") * 1000 / -F.col("top.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
