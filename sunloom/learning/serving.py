@@ -6,7 +6,6 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.ml.classification import OneVsRestModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ class LinearModel:
 @dataclass
 class RiskModel:
     """All that scoring needs: a boosted or a linear model, the scaler's one row, the inputs in order, the parameters."""
-    model: OneVsRestModel | LinearModel
+    model: boosting.Boosted | LinearModel
     scaler: DataFrame
     columns: list[str]
     params: dict
@@ -53,14 +52,14 @@ def save_model(bundle: RiskModel, folder: str) -> None:
     if isinstance(bundle.model, LinearModel):
         about["linear"] = {"weights": bundle.model.weights, "biases": bundle.model.biases}
     else:
-        bundle.model.write().overwrite().save(os.path.join(folder, "model"))
+        boosting.save(bundle.model, spark, os.path.join(folder, "model"))
     line = spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1)
     line.write.mode("overwrite").text(os.path.join(folder, "about"))
 
 
 def load_model(spark: SparkSession, folder: str) -> RiskModel:
     about = json.loads(spark.read.text(os.path.join(folder, "about")).first()["value"])
-    model = LinearModel(**about["linear"]) if "linear" in about else OneVsRestModel.load(os.path.join(folder, "model"))
+    model = LinearModel(**about["linear"]) if "linear" in about else boosting.load(spark, os.path.join(folder, "model"))
     return RiskModel(model, spark.read.parquet(os.path.join(folder, "scaler")), about["columns"], about["params"])
 
 

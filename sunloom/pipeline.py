@@ -8,13 +8,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from sunloom import config
-from sunloom.learning import attribution, boosting, forest, serving
+from sunloom.learning import attribution, boosting, forest, serving, tree_values, tuning
 from sunloom.operators import anomaly, clean, features, labels
 from sunloom.sources import ingest, stages
 
 STAGES = ["ingest", "clean", "features", "labels", "anomaly", "train"]
-DEFAULT_PARAMS = {"max_depth": 5, "learning_rate": 0.1, "n_estimators": 100, "subsample": 0.8, "colsample_bytree": 0.8,
-                  "min_child_weight": 1, "gamma": 0.0}
+DEFAULT_PARAMS = boosting.PARAMS
 
 
 def run_stage(spark: SparkSession, name: str, source: str, folder: str, share: float = 1.0, **options) -> DataFrame:
@@ -44,14 +43,14 @@ def run_stage(spark: SparkSession, name: str, source: str, folder: str, share: f
 def train(spark: SparkSession, table: DataFrame, folder: str, params: dict | None = None, trials: int = 0, **options) -> DataFrame:
     """Folds, optional search, metric report, the stored model and the five most important features as CSV."""
     columns = [c for c in clean.feature_columns(table) if c != "row_id"]
-    prepared = boosting.prepare_folds(table, "risk_label", columns, "row_id", "timestamp", k=options.get("folds", config.FOLDS))
+    prepared = tuning.prepare_folds(table, "risk_label", columns, "row_id", "timestamp", k=options.get("folds", config.FOLDS))
     params = params or DEFAULT_PARAMS
     if trials:
-        params, _ = boosting.search(prepared["folds"], "risk_label", columns, trials, space=options.get("space", boosting.SEARCH_SPACE))
-    report = stages.save_stage(boosting.fold_report(prepared, "risk_label", columns, params), folder, "train")
+        params, _ = tuning.search(prepared["folds"], "risk_label", columns, trials, space=options.get("space", tuning.SEARCH_SPACE))
+    report = stages.save_stage(tuning.fold_report(prepared, "risk_label", columns, params), folder, "train")
     model = boosting.fit(prepared["train"], "risk_label", columns, params)
     serving.save_model(serving.RiskModel(model, prepared["scaler"], columns, params), os.path.join(folder, "model"))
-    credits = boosting.tree_attribution(model, prepared["test"], columns, "row_id")
+    credits = tree_values.attributions(model, prepared["test"], "row_id")
     stages.write_csv(attribution.top_features(attribution.global_importance(credits)), os.path.join(folder, "top_features"))
     return report
 

@@ -14,7 +14,9 @@ from sunloom.plans.views import r as R
 from sunloom.sources import bindings
 
 KEYS = config.SERIES_KEYS
-FRAMES = {"short": 12, "mid": 24, "day": 48}
+FRAMES, LAGS = config.FRAMES, config.LAGS
+DAY, AHEAD = FRAMES["24h"], config.LOOKAHEAD_ROWS
+BACK = f"ROWS BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW"
 ORDER = ["ts", "event_id"]
 W = "PARTITION BY plant_id, mac, inverter_id ORDER BY ts, event_id"
 
@@ -24,44 +26,42 @@ def _series_step(df: DataFrame, step, behind: int = 0, ahead: int = 0, hot=serie
 
 
 def _rolled(spark: SparkSession, folder: str, extremes: str | None, signals: list[str]) -> DataFrame:
-    tv = bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", *signals)
-    return _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, signals, FRAMES, extremes), behind=48)
+    tv = bindings.few_devices(spark, folder).select(*KEYS, "ts", "event_id", *signals)
+    return _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, signals, FRAMES, extremes), behind=DAY)
 
 
 SIGNALS = config.ROLLING_SIGNALS
 
 
 @query(f"""SELECT event_id, {', '.join(f"{R(f'avg({s}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)')} AS {s}_rmean_{l}"
-       for l, n in FRAMES.items() for s in SIGNALS)} FROM tv WINDOW w AS ({W})""", ("tv",))
+       for l, n in FRAMES.items() for s in SIGNALS)} FROM td WINDOW w AS ({W})""", ("td",))
 def roll_mean(spark, folder):
     names = [f"{s}_rmean_{l}" for l in FRAMES for s in SIGNALS]
     return _rolled(spark, folder, None, SIGNALS).select("event_id", *rounded(*names))
 
 
 @query(f"""SELECT event_id, {', '.join(f"{R(f'coalesce(stddev_samp({s}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0)')} AS {s}_rstd_{l}"
-       for l, n in FRAMES.items() for s in SIGNALS)} FROM tv WINDOW w AS ({W})""", ("tv",))
+       for l, n in FRAMES.items() for s in SIGNALS)} FROM td WINDOW w AS ({W})""", ("td",))
 def roll_std(spark, folder):
     names = [f"{s}_rstd_{l}" for l in FRAMES for s in SIGNALS]
     return _rolled(spark, folder, None, SIGNALS).select("event_id", *rounded(*names))
 
 
-@query(f"""SELECT event_id, {', '.join(f"{R(f'{g}({s}) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)')} AS {s}_r{g}_day"
-       for g in ('min', 'max') for s in SIGNALS)} FROM tv WINDOW w AS ({W})""", ("tv",))
+@query(f"""SELECT event_id, {', '.join(f"{R(f'{g}({s}) OVER (w {BACK})')} AS {s}_r{g}_24h"
+       for g in ('min', 'max') for s in SIGNALS)} FROM td WINDOW w AS ({W})""", ("td",))
 def roll_minmax(spark, folder):
-    names = [f"{s}_r{g}_day" for g in ("min", "max") for s in SIGNALS]
-    tv = bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", *SIGNALS)
-    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, SIGNALS, {"day": 48}, "day"), behind=48)
+    names = [f"{s}_r{g}_24h" for g in ("min", "max") for s in SIGNALS]
+    tv = bindings.few_devices(spark, folder).select(*KEYS, "ts", "event_id", *SIGNALS)
+    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, SIGNALS, {"24h": DAY}, "24h"), behind=DAY)
     return rolled.select("event_id", *rounded(*names))
 
 
 @query(f"""SELECT event_id, {R('CASE WHEN m > 0 THEN s / m ELSE 0 END')} AS power_variability FROM (SELECT event_id,
-  avg(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS m,
-  coalesce(stddev_samp(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW), 0) AS s FROM tv WINDOW w AS ({W}))""",
-       ("tv",))
+  avg(power) OVER (w {BACK}) AS m, coalesce(stddev_samp(power) OVER (w {BACK}), 0) AS s FROM td WINDOW w AS ({W}))""", ("td",))
 def power_variability(spark, folder):
-    tv = bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", "power")
-    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"day": 48}, None), behind=48)
-    return rolled.select("event_id", r(features.row_kpis(rolled, "day")["power_variability"]).alias("power_variability"))
+    tv = bindings.few_devices(spark, folder).select(*KEYS, "ts", "event_id", "power")
+    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"24h": DAY}, None), behind=DAY)
+    return rolled.select("event_id", r(features.row_kpis(rolled)["power_variability"]).alias("power_variability"))
 
 
 @query(f"""SELECT event_id, last_value(kwh_total IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS kwh_total,
@@ -82,15 +82,15 @@ def counter_delta(spark, folder):
 
 
 @query(f"""SELECT event_id, {', '.join(f"{R(f'coalesce(lag({s}, {n}) OVER w, 0)')} AS {s}_lag_{l}"
-       for l, n in (("a", 12), ("b", 24)) for s in ("power", "temp", "string_imbalance"))}
+       for l, n in LAGS.items() for s in ("power", "temp", "string_imbalance"))}
   FROM (SELECT *, greatest(pv1_current, pv2_current, pv3_current) - least(pv1_current, pv2_current, pv3_current)
-  AS string_imbalance FROM tv) WINDOW w AS ({W})""", ("tv",))
+  AS string_imbalance FROM td) WINDOW w AS ({W})""", ("td",))
 def lag_features(spark, folder):
-    signals, periods = ["power", "temp", "string_imbalance"], {"a": 12, "b": 24}
-    tv = bindings.telemetry(spark, folder)
+    signals = ["power", "temp", "string_imbalance"]
+    tv = bindings.few_devices(spark, folder)
     tv = tv.withColumn("string_imbalance", features.string_imbalance(tv))
-    lagged = _series_step(tv, lambda f, p: f.withColumns(features.lags(f, p, ORDER, signals, periods)), behind=24)
-    return lagged.select("event_id", *rounded(*[f"{s}_lag_{l}" for l in periods for s in signals]))
+    lagged = _series_step(tv, lambda f, p: f.withColumns(features.lags(f, p, ORDER, signals, LAGS)), behind=max(LAGS.values()))
+    return lagged.select("event_id", *rounded(*[f"{s}_lag_{l}" for l in LAGS for s in signals]))
 
 
 @query(f"""SELECT event_id, alarm_active, CAST(alarm_active * row_number() OVER (PARTITION BY plant_id, mac, inverter_id, run
@@ -108,61 +108,61 @@ FLAGGED = f"""SELECT *, CAST(coalesce(alarm_code IN (464, 534, 548, 549, 557, 55
   CAST(hour(ts) >= 6 AND hour(ts) < 18 AND (op_state NOT IN (0, 5120) OR alarm_code IN (8, 10, 39)
    OR (usual > 100 AND (usual - power) / usual > 0.3::DOUBLE))
    AND NOT alarm_code IN (464, 534, 548, 549, 557, 558, 559, 563, 581) AS INT) AS degraded
-  FROM (SELECT *, avg(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS usual FROM tv WINDOW w AS ({W}))"""
+  FROM (SELECT *, avg(power) OVER (w {BACK}) AS usual FROM td WINDOW w AS ({W}))"""
 
 
 def _coded(spark, folder) -> DataFrame:
-    return bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", "power", "alarm_code", "op_state")
+    return bindings.few_devices(spark, folder).select(*KEYS, "ts", "event_id", "power", "alarm_code", "op_state")
 
 
 def _marked(tv: DataFrame, hot=series.MEASURE) -> DataFrame:
-    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"day": 48}, None), behind=48, hot=hot)
+    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power"], {"24h": DAY}, None), behind=DAY, hot=hot)
     return rolled.withColumn("is_daytime", time_encodings(F.col("ts"))["is_daytime"])
 
 
-@query(f"SELECT event_id, shutdown AS shutdown_event, degraded AS degradation_event FROM ({FLAGGED})", ("tv",))
+@query(f"SELECT event_id, shutdown AS shutdown_event, degraded AS degradation_event FROM ({FLAGGED})", ("td",))
 def event_indicators(spark, folder):
     marked = _marked(_coded(spark, folder))
-    return marked.withColumns(labels.events(marked, "day")).select("event_id", "shutdown_event", "degradation_event")
+    return marked.withColumns(labels.events(marked)).select("event_id", "shutdown_event", "degradation_event")
 
 
-LABELLED = f"""SELECT *, CASE WHEN max(shutdown) OVER (w ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) >= 1 THEN 2
-  WHEN max(degraded) OVER (w ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) >= 1 THEN 1 ELSE 0 END AS risk_label
+LABELLED = f"""SELECT *, CASE WHEN max(shutdown) OVER (w ROWS BETWEEN CURRENT ROW AND {AHEAD - 1} FOLLOWING) >= 1 THEN 2
+  WHEN max(degraded) OVER (w ROWS BETWEEN CURRENT ROW AND {AHEAD - 1} FOLLOWING) >= 1 THEN 1 ELSE 0 END AS risk_label
   FROM ({FLAGGED}) WINDOW w AS ({W})"""
 
 
 def _labelled(spark, folder) -> DataFrame:
     def chain(frame, hot):
-        return labels.add_labels(_marked(frame, hot), KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
+        return labels.add_labels(_marked(frame, hot), KEYS, "ts", "event_id", hot=hot)
 
     return series.chained(_coded(spark, folder), KEYS, chain)
 
 
-@query(f"SELECT event_id, risk_label FROM ({LABELLED})", ("tv",))
+@query(f"SELECT event_id, risk_label FROM ({LABELLED})", ("td",))
 def lookahead_label(spark, folder):
     return _labelled(spark, folder).select("event_id", "risk_label")
 
 
 @query(f"""SELECT plant_id, risk_label, count(*) AS n, {R('count(*) * 100e0 / sum(count(*)) OVER (PARTITION BY plant_id)')} AS share
-  FROM ({LABELLED}) GROUP BY plant_id, risk_label""", ("tv",))
+  FROM ({LABELLED}) GROUP BY plant_id, risk_label""", ("td",))
 def label_distribution(spark, folder):
     return labels.label_shares(_labelled(spark, folder), ["plant_id"]).select(
         "plant_id", "risk_label", "n", r("share").alias("share"))
 
 
 def _z(c):
-    m = f"avg({c}) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
-    s = f"coalesce(stddev_samp({c}) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW), 1)"
+    m = f"avg({c}) OVER (w {BACK})"
+    s = f"coalesce(stddev_samp({c}) OVER (w {BACK}), 1)"
     return f"abs(({c} - {m}) / CASE WHEN {s} = 0 THEN 1 ELSE {s} END)"
 
 
 @query(f"""SELECT event_id, {R('zp')} AS power_zscore, {R('zt')} AS temp_zscore, CAST(zp > 3 AS INT) AS power_zscore_flag,
   CAST(zt > 3 AS INT) AS temp_zscore_flag, CAST(zp > 3 OR zt > 3 AS INT) AS zscore_anomaly
-  FROM (SELECT event_id, {_z('power')} AS zp, {_z('temp')} AS zt FROM tv WINDOW w AS ({W}))""", ("tv",))
+  FROM (SELECT event_id, {_z('power')} AS zp, {_z('temp')} AS zt FROM td WINDOW w AS ({W}))""", ("td",))
 def zscore_flags(spark, folder):
-    tv = bindings.telemetry(spark, folder).select(*KEYS, "ts", "event_id", "power", "temp")
-    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power", "temp"], {"day": 48}, None), behind=48)
-    return anomaly.add_zscores(rolled, "day").select(
+    tv = bindings.few_devices(spark, folder).select(*KEYS, "ts", "event_id", "power", "temp")
+    rolled = _series_step(tv, lambda f, p: features.rolling(f, p, ORDER, ["power", "temp"], {"24h": DAY}, None), behind=DAY)
+    return anomaly.add_zscores(rolled, "24h").select(
         "event_id", *rounded("power_zscore", "temp_zscore"), "power_zscore_flag", "temp_zscore_flag", "zscore_anomaly")
 
 
@@ -182,7 +182,7 @@ def time_encoding(spark, folder):
   FROM tv""", ("tv",))
 def row_kpis(spark, folder):
     tv = bindings.telemetry(spark, folder)
-    kpis = {k: v for k, v in features.row_kpis(tv, "day").items() if k != "power_variability"}
+    kpis = {k: v for k, v in features.row_kpis(tv).items() if k != "power_variability"}
     return tv.withColumns({**kpis, **features.state_flags(tv)}).select(
         "event_id", "string_imbalance", "voltage_deviation", r("total_pv_power").alias("total_pv_power"),
         "alarm_active", "is_running", "is_off")
@@ -229,18 +229,15 @@ def downsample(spark, folder):
 
 
 @query(f"""SELECT plant_id, risk_label, count(*) AS n, {R('avg(CASE WHEN m > 0 THEN s / m ELSE 0 END)', 3)} AS mean_variability,
-  {R('max(m)', 3)} AS top_power_mean FROM (SELECT *, avg(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS m,
-  coalesce(stddev_samp(power) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW), 0) AS s FROM ({LABELLED}) WINDOW w AS ({W}))
-  GROUP BY plant_id, risk_label""", ("tv",))
+  {R('max(m)', 3)} AS top_power_mean FROM (SELECT *, avg(power) OVER (w {BACK}) AS m,
+  coalesce(stddev_samp(power) OVER (w {BACK}), 0) AS s FROM ({LABELLED}) WINDOW w AS ({W}))
+  GROUP BY plant_id, risk_label""", ("td",))
 def risk_profile(spark, folder):
     """Features to labels to a profile per plant: the whole telemetry chain in one plan."""
-    tv = bindings.telemetry(spark, folder)
-
     def chain(frame, hot):
-        featured = features.add_features(frame, KEYS, "ts", "event_id", FRAMES, {"a": 12}, daily="day", hot=hot)
-        return labels.add_labels(featured, KEYS, "ts", "event_id", rows=20, daily="day", hot=hot)
+        return labels.add_labels(features.add_features(frame, KEYS, "ts", "event_id", hot=hot), KEYS, "ts", "event_id", hot=hot)
 
-    labelled = series.chained(tv, KEYS, chain)
+    labelled = series.chained(bindings.few_devices(spark, folder), KEYS, chain)
     return labelled.groupBy("plant_id", "risk_label").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("power_variability"), 3).alias("mean_variability"),
-        r(F.max("power_rmean_day"), 3).alias("top_power_mean"))
+        r(F.max("power_rmean_24h"), 3).alias("top_power_mean"))

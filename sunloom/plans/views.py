@@ -87,7 +87,9 @@ VIEWS = {
    CASE WHEN key % 2 = 0 THEN ', "title": "Risk", "priority": "P2-High", "description": "see the summary text"'
     ELSE '' END, '}') AS body FROM (SELECT *, conv_id + turn AS key FROM conversations))""",
 }
-NEEDS = {"tv": ["ek"], "rd": ["ek"], "traces": ["ek"], "preds": ["ek"], "shap": ["preds"], "raws": ["preds"]}
+# the telemetry of few devices, with long series
+VIEWS["td"] = VIEWS["tv"].replace("user_id", "(user_id % 4)")
+NEEDS = {"tv": ["ek"], "td": ["ek"], "rd": ["ek"], "traces": ["ek"], "preds": ["ek"], "shap": ["preds"], "raws": ["preds"]}
 
 
 def with_views(names: tuple[str, ...], body: str) -> str:

@@ -52,8 +52,17 @@ def keyed_events(spark: SparkSession, folder: str, events: DataFrame | None = No
     return rows.selectExpr("event_id", "ts", "user_id", "event_type", "value", K)
 
 
-def telemetry(spark: SparkSession, folder: str) -> DataFrame:
-    return keyed_events(spark, folder).selectExpr(
+#: Devices of `few_devices`: series long enough for frames of a day and for a week's look-ahead also on small tables.
+FEW = 4
+
+
+def few_devices(spark: SparkSession, folder: str) -> DataFrame:
+    """All telemetry, dealt to few devices with long series."""
+    return telemetry(spark, folder, keyed_events(spark, folder).withColumn("user_id", F.col("user_id") % FEW))
+
+
+def telemetry(spark: SparkSession, folder: str, keyed: DataFrame | None = None) -> DataFrame:
+    return (keyed_events(spark, folder) if keyed is None else keyed).selectExpr(
         "event_id", "concat('Plant ', user_id % 3 + 1) AS plant_id", "concat('MAC-', user_id % 10) AS mac",
         "user_id AS inverter_id", "ts", "value * 10 AS power", "k * 0.4D + 20 AS temp",
         "cast(k % 10 AS double) AS pv1_current", "cast(event_id % 10 AS double) AS pv2_current",
