@@ -40,10 +40,20 @@ ALARM = ("CASE WHEN event_type <> 'error' THEN 0 WHEN k % 4 = 0 THEN 464 WHEN k
          "WHEN k % 4 = 2 THEN 8 ELSE 39 END")
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream of files."""
-    return (spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+#: Micro-batches that the events are dealt to where a query streams them.
+STREAM_PARTS = 5
+
+
+def event_stream(spark: SparkSession, folder: str, root: str, arrival: str = "ts") -> DataFrame:
+    """All events as a stream: dealt to files below `root` by `arrival`, one file per micro-batch, the earliest first."""
+    events = table(spark, folder, "events").withColumn("__arrival", F.expr(arrival).cast("double"))
+    cuts = events.approxQuantile("__arrival", [i / STREAM_PARTS for i in range(1, STREAM_PARTS)], 0.01)
+    path = f"{root}/events"
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.where(F.col("__arrival") >= low)
+        # one after the other: the source takes files in the order they were written
+        (part if high is None else part.where(F.col("__arrival") < high)).drop("__arrival").write.mode("append").parquet(path)
+    return spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def keyed_events(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
@@ -56,9 +66,9 @@ def keyed_events(spark: SparkSession, folder: str, events: DataFrame | None = No
 FEW = 4
 
 
-def few_devices(spark: SparkSession, folder: str) -> DataFrame:
-    """All telemetry, dealt to few devices with long series."""
-    return telemetry(spark, folder, keyed_events(spark, folder).withColumn("user_id", F.col("user_id") % FEW))
+def few_devices(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """All telemetry, or a stream of it, dealt to few devices with long series."""
+    return telemetry(spark, folder, keyed_events(spark, folder, events).withColumn("user_id", F.col("user_id") % FEW))
 
 
 def telemetry(spark: SparkSession, folder: str, keyed: DataFrame | None = None) -> DataFrame:

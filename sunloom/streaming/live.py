@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from sunloom.functions import grading
 from sunloom.learning import serving
 from sunloom.streaming.alerts import alerts
-from sunloom.streaming.state import merge_batch, state_before
+from sunloom.streaming.corrections import correct_batch
+from sunloom.streaming.log import EVERY
+from sunloom.streaming.state import device_log, merge_batch
 
 
 def unique_readings(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -40,22 +42,29 @@ def counters(stream: DataFrame) -> DataFrame:
 
 
 def run_live(stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None,
-             model: serving.RiskModel | None = None) -> StreamingQuery:
-    """Per micro-batch: score the readings, write the facts, the alerts against the state so far, the new state snapshot.
+             model: serving.RiskModel | None = None, late: str | None = None, every: int = EVERY) -> StreamingQuery:
+    """Per micro-batch: score the readings, write the facts, the alerts, and the changes of the devices' state.
 
-    Without a `model` the stream must be scored already.
+    Without a `model` the stream must be scored already. Alerts are raised against the state so far; with `late`, an interval
+    such as "1 hour", alerts are a log with signs that readings up to that late correct (see `corrections`).
 
     Each write replaces the batch's own directory, so a batch that runs again after a failure leaves one copy.
     """
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         facts = os.path.join(folder, "facts", f"batch={number}")
         rows = batch if model is None else serving.score_readings(batch, model)
         rows.write.mode("overwrite").parquet(facts)
-        stored = batch.sparkSession.read.schema(rows.schema).parquet(facts)
+        stored = spark.read.schema(rows.schema).parquet(facts)
         states = os.path.join(folder, "state")
-        raised = alerts(stored, state_before(batch.sparkSession, states, number))
-        raised.write.mode("overwrite").parquet(os.path.join(folder, "alerts", f"batch={number}"))
-        merge_batch(stored, number, states)
+        if late is None:
+            before = device_log(spark, states).read(before=number)
+            if before is not None:
+                before = before.join(stored.select("inverter_id").distinct(), "inverter_id", "left_semi")
+            alerts(stored, before).write.mode("overwrite").parquet(os.path.join(folder, "alerts", f"batch={number}"))
+        else:
+            correct_batch(stored, number, folder, late, every)
+        merge_batch(stored, number, states, every)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "15 seconds"})).start())

@@ -1,53 +1,34 @@
-"""Current state of every device as versioned snapshots, one per micro-batch."""
+"""Current state of every device: a change log of newest readings."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.functions.grading import is_online
 from sunloom.operators.fleet import upsert_latest
+from sunloom.streaming.log import EVERY, ChangeLog
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return upsert_latest(rows, rows.limit(0), ["inverter_id"], "ts", "reading_id")
 
 
 def current_rows(scored: DataFrame) -> DataFrame:
     """Newest scored reading per device by event time, whatever the arrival order."""
-    rows = scored.select("inverter_id", "ts", "reading_id", "category",
-                         is_online(F.col("category"), F.col("op_state")).alias("is_online"))
-    return upsert_latest(rows, rows.limit(0), ["inverter_id"], "ts", "reading_id")
+    return _newest(scored.select("inverter_id", "ts", "reading_id", "category",
+                                 is_online(F.col("category"), F.col("op_state")).alias("is_online")))
 
 
-def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def device_log(spark: SparkSession, folder: str, every: int = EVERY) -> ChangeLog:
+    return ChangeLog(spark, folder, _newest, every)
 
 
 def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot, or the newest of a batch earlier than `before`."""
-    found = _snapshot(spark, folder)
-    if found is None:
-        return None
-    versions = found.select("version").distinct() if before is None else found.where(F.col("version") < before).select(
-        "version").distinct()
-    newest = versions.agg(F.max("version")).first()[0]
-    return None if newest is None else found.where(F.col("version") == newest).drop("version")
-
-
-def state_before(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
-    """The snapshot this batch starts from: normally the batch before, else the newest earlier one."""
-    stored = _snapshot(spark, os.path.join(folder, f"version={batch - 1}")) if batch else None
-    return read_state(spark, folder, before=batch) if stored is None else stored
-
-
-def merge_batch(scored: DataFrame, batch: int, folder: str) -> None:
-    """Write the snapshot of this batch from the one before; running a batch again writes the same snapshot."""
-    fresh = current_rows(scored)
-    stored = state_before(scored.sparkSession, folder, batch)
-    merged = fresh if stored is None else upsert_latest(stored.select(*fresh.columns), fresh, ["inverter_id"], "ts", "reading_id")
-    merged.write.mode("overwrite").parquet(os.path.join(folder, f"version={batch}"))
+    """The state as it is, or as the batch `before` found it."""
+    return device_log(spark, folder).read(before)
+
+
+def merge_batch(scored: DataFrame, batch: int, folder: str, every: int = EVERY) -> None:
+    """Write the newest reading of each device of the batch. Running a batch again writes the same."""
+    device_log(scored.sparkSession, folder, every).write(current_rows(scored), batch)
