@@ -14,8 +14,11 @@ def recent(readings: DataFrame, as_of: Column, days: int, ts: str = "ts") -> Dat
     return readings.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def kpi_terms(step_hours: float) -> list[Column]:
-    """Sums and means over readings joined to device capacity; `known` is false for unmatched devices."""
+def kpi_parts(step_hours: float) -> list[Column]:
+    """Partial sums over readings joined to device capacity, which add up over days and devices.
+
+    Devices that the fleet does not know (no capacity) count for energy and loss only.
+    """
     power, capacity = F.col("ac_power"), F.col("capacity_kw")
     produced = strict_greatest(power, F.lit(0.0))
     known = capacity.isNotNull()
@@ -24,36 +27,31 @@ def kpi_terms(step_hours: float) -> list[Column]:
     stress = strict_least(strict_greatest(heat, F.lit(0.0)), F.lit(1.0))
     possible = capacity * F.col("irradiation") / F.lit(1000.0)
     lost = strict_greatest(F.col("dc_voltage") * F.col("dc_current") * config.EFFICIENCY - power, F.lit(0.0))
+    strain, use = stress * power / F.greatest(capacity, F.lit(1.0)), power / F.greatest(possible, F.lit(0.001))
+    hot, used = known & (F.col("module_temp") > 0), sunny & (power >= 0)
 
     def total(value, when=None):
         return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0.0))
 
-    def mean(value, when):
-        return F.coalesce(F.avg(F.when(when, value)), F.lit(0.0))
-
     return [
         F.count(F.lit(1)).alias("n_readings"), F.count_if("is_faulty").alias("n_faulty"),
         total(produced * step_hours).alias("energy_kwh"),
         total(lost * step_hours, F.col("is_faulty")).alias("loss_kwh"),
-        mean(stress * power / F.greatest(capacity, F.lit(1.0)), known & (F.col("module_temp") > 0)).alias("tdi_mean"),
-        mean(power / F.greatest(possible, F.lit(0.001)), sunny & (power >= 0)).alias("sue_mean"),
+        total(strain, hot).alias("tdi_sum"), F.count(F.when(hot, strain)).alias("tdi_n"),
+        total(use, used).alias("sue_sum"), F.count(F.when(used, use)).alias("sue_n"),
         total(produced * step_hours, sunny).alias("actual_kwh"),
         total(possible * step_hours, sunny).alias("possible_kwh"),
     ]
 
 
-def fleet_kpis(readings: DataFrame, inverters: DataFrame, as_of: Column, days: int = 30,
-               step_hours: float = config.KPI_STEP_HOURS, by: list[str] | None = None) -> DataFrame:
-    """All platform KPIs, unrounded, for the fleet or per group."""
-    dim = inverters.select("inverter_id", F.coalesce("capacity_kw", F.lit(0.0)).alias("capacity_kw"),
-                           *[c for c in by or [] if c not in readings.columns])
-    facts = recent(readings, as_of, days).join(dim, "inverter_id", "left")
-    terms = facts.groupBy(*(by or [])).agg(*kpi_terms(step_hours))
+def finished(sums: DataFrame) -> DataFrame:
+    """The KPIs, unrounded, beside the sums of `kpi_parts`."""
     tonnes = F.col("energy_kwh") * config.EMISSION_KG / 1000
-    terms = terms.withColumns({
+    terms = sums.withColumns({
         "vcoy": tonnes, "carbon_revenue_usd": tonnes * config.CREDIT_USD,
         "elf_usd": F.col("loss_kwh") * config.TARIFF_USD,
-        "tdi": F.least("tdi_mean", F.lit(1.0)), "sue": F.least("sue_mean", F.lit(1.0)),
+        "tdi": F.least(F.coalesce(ratio(F.col("tdi_sum"), F.col("tdi_n")), F.lit(0.0)), F.lit(1.0)),
+        "sue": F.least(F.coalesce(ratio(F.col("sue_sum"), F.col("sue_n")), F.lit(0.0)), F.lit(1.0)),
         "ppr": F.least(F.col("actual_kwh") / F.when(F.col("possible_kwh") == 0, 1.0).otherwise(
             F.col("possible_kwh")), F.lit(1.0)),
         "faulty_share": F.col("n_faulty") / F.greatest("n_readings", F.lit(1)),
@@ -62,6 +60,15 @@ def fleet_kpis(readings: DataFrame, inverters: DataFrame, as_of: Column, days: i
     return terms.withColumn("eis", F.greatest(score, F.lit(0.0)))
 
 
+def fleet_kpis(readings: DataFrame, inverters: DataFrame, as_of: Column, days: int = 30,
+               step_hours: float = config.KPI_STEP_HOURS, by: list[str] | None = None) -> DataFrame:
+    """All platform KPIs, unrounded, for the fleet or per group."""
+    dim = inverters.select("inverter_id", F.coalesce("capacity_kw", F.lit(0.0)).alias("capacity_kw"),
+                           *[c for c in by or [] if c not in readings.columns])
+    facts = recent(readings, as_of, days).join(dim, "inverter_id", "left")
+    return finished(facts.groupBy(*(by or [])).agg(*kpi_parts(step_hours)))
+
+
 def displayed(kpis: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The figures as shown: two decimals for amounts, three for scores, whole percentages."""
     def score(name):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from sunloom.functions import grading, timeparts
 from sunloom.functions.texts import has_text
-from sunloom.operators import fleet, kpi, series
+from sunloom.operators import fleet, kpi, rollups, series
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
+from sunloom.session import shared_folder
 from sunloom.sources import bindings as b
 
 AS_OF = "(SELECT max(ts) FROM rd)"
@@ -212,12 +216,12 @@ def principal_directory(spark, folder):
 
 
 @query("""SELECT i.inverter_id, b.plant_id FROM inverters i JOIN blocks b USING (block_id) WHERE b.plant_id IN
-  (SELECT plant_id FROM access JOIN operators USING (operator_id) WHERE is_active AND name < 'Customer#000000003')""",
+  (SELECT plant_id FROM access JOIN operators USING (operator_id) WHERE is_active AND operator_id % 50 = 7)""",
        ("inverters", "blocks", "access", "operators"))
 def scoped_semi_join(spark, folder):
     inv, blocks, _ = _dims(spark, folder)
-    few = b.operators(spark, folder).where(F.col("is_active") & (F.col("name") < "Customer#000000003"))
-    access = b.plant_access(spark, folder).join(few, "operator_id", "left_semi")
+    team = b.operators(spark, folder).where(F.col("is_active") & (F.col("operator_id") % 50 == 7))
+    access = b.plant_access(spark, folder).join(team, "operator_id", "left_semi")
     return fleet.scoped(inv.join(blocks, "block_id"), access).select("inverter_id", "plant_id")
 
 
@@ -291,23 +295,32 @@ def _kpis(spark, folder, by=None):
     return kpi.fleet_kpis(rd, b.inverters(spark, folder), _as_of(rd), by=by)
 
 
-@query(f"""SELECT {R(f'sum(greatest(ac_power, 0)) * {STEP} * 0.71e0 / 1000')} AS vcoy,
+VCOY = f"""SELECT {R(f'sum(greatest(ac_power, 0)) * {STEP} * 0.71e0 / 1000')} AS vcoy,
   {R(f'sum(greatest(ac_power, 0)) * {STEP}', 3)} AS energy_kwh, {R(f'sum(greatest(ac_power, 0)) * {STEP} * 0.71e0 / 1000 * 40', 3)}
-  AS carbon_revenue_usd FROM {WINDOWED}""", ("rd", "inverters"))
+  AS carbon_revenue_usd FROM {WINDOWED}"""
+
+
+@query(VCOY, ("rd", "inverters"))
 def kpi_vcoy(spark, folder):
     return _kpis(spark, folder).select(r("vcoy").alias("vcoy"), r("energy_kwh", 3).alias("energy_kwh"),
                                        r("carbon_revenue_usd", 3).alias("carbon_revenue_usd"))
 
 
-@query(f"""SELECT {R(f'sum(greatest(dc_voltage * dc_current * 0.96e0 - ac_power, 0)) * {STEP}', 3)} AS loss_kwh,
+ELF = f"""SELECT {R(f'sum(greatest(dc_voltage * dc_current * 0.96e0 - ac_power, 0)) * {STEP}', 3)} AS loss_kwh,
   {R(f'sum(greatest(dc_voltage * dc_current * 0.96e0 - ac_power, 0)) * {STEP} * 0.06e0', 3)} AS elf_usd
-  FROM {WINDOWED} WHERE is_faulty""", ("rd", "inverters"))
+  FROM {WINDOWED} WHERE is_faulty"""
+
+
+@query(ELF, ("rd", "inverters"))
 def kpi_elf(spark, folder):
     return _kpis(spark, folder).select(r("loss_kwh", 3).alias("loss_kwh"), r("elf_usd", 3).alias("elf_usd"))
 
 
-@query(f"""SELECT {R('least(avg(least(greatest((module_temp - 45) / 20, 0), 1) * ac_power / greatest(capacity_kw, 1)), 1)')} AS tdi
-  FROM {WINDOWED} WHERE capacity_kw IS NOT NULL AND module_temp > 0""", ("rd", "inverters"))
+TDI = f"""SELECT {R('least(avg(least(greatest((module_temp - 45) / 20, 0), 1) * ac_power / greatest(capacity_kw, 1)), 1)')} AS tdi
+  FROM {WINDOWED} WHERE capacity_kw IS NOT NULL AND module_temp > 0"""
+
+
+@query(TDI, ("rd", "inverters"))
 def kpi_tdi(spark, folder):
     return _kpis(spark, folder).select(r("tdi").alias("tdi"))
 
@@ -315,8 +328,10 @@ def kpi_tdi(spark, folder):
 SUE = "least(avg(ac_power / greatest(capacity_kw * irradiation / 1000, 0.001e0)), 1)"
 
 
-@query(f"""SELECT {R(SUE)} AS sue FROM {WINDOWED} WHERE capacity_kw IS NOT NULL AND irradiation > 10 AND ac_power >= 0""",
-       ("rd", "inverters"))
+SUE_ROW = f"""SELECT {R(SUE)} AS sue FROM {WINDOWED} WHERE capacity_kw IS NOT NULL AND irradiation > 10 AND ac_power >= 0"""
+
+
+@query(SUE_ROW, ("rd", "inverters"))
 def kpi_sue(spark, folder):
     return _kpis(spark, folder).select(r("sue").alias("sue"))
 
@@ -330,14 +345,31 @@ def kpi_ppr(spark, folder):
             .select("plant_id", r("ppr").alias("ppr")))
 
 
-@query(f"""SELECT {R('greatest(0.5e0 * least(v / 100, 1) + 0.3e0 * s - 0.2e0 * f, 0)')} AS eis, {R('f')} AS faulty_share FROM
+EIS = f"""SELECT {R('greatest(0.5e0 * least(v / 100, 1) + 0.3e0 * s - 0.2e0 * f, 0)')} AS eis, {R('f')} AS faulty_share FROM
   (SELECT sum(greatest(ac_power, 0)) * {STEP} * 0.71e0 / 1000 AS v, count_if(is_faulty) / count(*)::DOUBLE AS f FROM {WINDOWED}),
-  (SELECT {SUE} AS s FROM {WINDOWED} WHERE capacity_kw IS NOT NULL AND irradiation > 10 AND ac_power >= 0)""",
-       ("rd", "inverters"))
+  (SELECT {SUE} AS s FROM {WINDOWED} WHERE capacity_kw IS NOT NULL AND irradiation > 10 AND ac_power >= 0)"""
+
+
+@query(EIS, ("rd", "inverters"))
 def kpi_eis(spark, folder):
     return _kpis(spark, folder).select(r("eis").alias("eis"), r("faulty_share").alias("faulty_share"))
 
 
+@query(f"""SELECT * FROM ({VCOY}), ({ELF}), ({TDI}), ({SUE_ROW}), ({EIS})""", ("rd", "inverters"))
+def kpi_rollup(spark, folder):
+    """All KPIs of 30 days out of daily sums: readings come in three batches in order of time, then a batch of late ones."""
+    rd = b.readings(spark, folder)
+    late = F.col("reading_id") % 7 == 3
+    table = rollups.Rollup(spark, os.path.join(shared_folder(spark), f"rollup-{uuid.uuid4().hex}"), b.inverters(spark, folder))
+    day = F.dayofmonth("ts")
+    for batch, wanted in enumerate((~late & (day <= 10), ~late & (day > 10) & (day <= 20), ~late & (day > 20), late)):
+        table.append(rd.where(wanted), batch)
+    return table.window(_as_of(rd)).select(
+        r("vcoy").alias("vcoy"), r("energy_kwh", 3).alias("energy_kwh"),
+        r("carbon_revenue_usd", 3).alias("carbon_revenue_usd"), r("loss_kwh", 3).alias("loss_kwh"), r("elf_usd", 3).alias("elf_usd"),
+        r("tdi").alias("tdi"), r("sue").alias("sue"), r("eis").alias("eis"), r("faulty_share").alias("faulty_share"))
+
+
 @query(f"""SELECT count(*) AS total_inverters, count_if(current_category IN ('D', 'E', 'offline')) AS faulty_count,
   {R("(count(*) - count_if(current_category IN ('D', 'E', 'offline'))) * 100e0 / count(*)")} AS healthy_pct FROM inverters""",
        ("inverters",))

@@ -5,12 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sunloom.functions import texts
 from sunloom.learning import attribution, scale
-from sunloom.operators import clean, fleet
+from sunloom.operators import clean, fleet, series
 from sunloom.plans.learning import INPUTS, WEIGHTS, _mean, _scaler, _std
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -120,25 +119,25 @@ def grid_order(spark, folder):
 
 
 LAST_DATA = """SELECT inverter_id, epoch_us(m) AS last_us, row_number() OVER (ORDER BY {order}) AS place FROM inverters LEFT JOIN (SELECT
-  inverter_id, max(ts) AS m FROM rd GROUP BY inverter_id) USING (inverter_id) QUALIFY place <= 20"""
+  inverter_id, max(ts) AS m FROM rd GROUP BY inverter_id) USING (inverter_id)"""
 
 
-def _first_of_grid(spark, folder, by):
-    """The first screen of the grid with its places; the twenty rows left are numbered in one task."""
+def _placed(spark, folder, order):
+    """The whole grid with its places: rows are dealt into ranges of the order and numbered there."""
     last = b.readings(spark, folder).groupBy("inverter_id").agg(F.max(F.unix_micros("ts")).alias("last_us"))
-    first = fleet.grid(b.inverters(spark, folder).join(last, "inverter_id", "left"), by).limit(20)
-    order = [F.col("inverter_id")] if by == "id" else [F.desc_nulls_last("last_us"), F.col("inverter_id")]
-    return first.select("inverter_id", "last_us", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
+    rows = b.inverters(spark, folder).select("inverter_id").join(last, "inverter_id", "left")
+    numbered = series.numbered_by(series.ranged(rows, order, "grid"), [], F.col("__part"), order, "place")
+    return numbered.select("inverter_id", "last_us", (F.col("place") + 1).cast("bigint").alias("place"))
 
 
 @query(LAST_DATA.format(order="inverter_id"), ("inverters", "rd"))
 def grid_by_id(spark, folder):
-    return _first_of_grid(spark, folder, "id")
+    return _placed(spark, folder, [F.col("inverter_id")])
 
 
 @query(LAST_DATA.format(order="m DESC NULLS LAST, inverter_id"), ("inverters", "rd"))
 def grid_by_update(spark, folder):
-    return _first_of_grid(spark, folder, "updated")
+    return _placed(spark, folder, [F.desc_nulls_last("last_us"), F.col("inverter_id")])
 
 
 @query("""SELECT inverter_id, type, n FROM (SELECT inverter_id, type, count(*) AS n FROM alerts WHERE NOT acknowledged GROUP BY ALL)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sunloom import config
 from sunloom.functions import texts
-from sunloom.operators import fleet, series
+from sunloom.operators import fleet, rollups, series
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
 from sunloom.responses import evaluate, prompts, traces
@@ -378,6 +378,21 @@ def trace_percentiles(spark, folder):
     return rows.select("name", r("p50_s").alias("p50_s"), r("p95_s").alias("p95_s"))
 
 
+@query("""SELECT name, p, true AS within FROM (SELECT DISTINCT name FROM traces WHERE start_time IS NOT NULL AND end_time <> 'not a time'), (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) t(p)""",
+       ("traces",))
+def latency_sketches(spark, folder):
+    """Latency quantiles per name out of stored sketches per day; `within` says that the rank is right up to the stated bound."""
+    rows = traces.timed(b.traces(spark, folder)).where(F.col("latency_s").isNotNull()).withColumn("day", F.to_date("started"))
+    path = os.path.join(shared_folder(spark), f"sketches-{uuid.uuid4().hex}")
+    rollups.sketched(rows, "latency_s", path, ["day", "name"])
+    found = rollups.sketch_quantiles(spark.read.parquet(path), [0.5, 0.95], ["name"])
+    # the share of rows at or below, and of those below, the estimate
+    ranked = rows.select("name", "latency_s").join(F.broadcast(found), "name").groupBy("name", "p").agg(
+        F.avg((F.col("latency_s") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("latency_s") <= F.col("value")).cast("int")).alias("to"))
+    inside = (F.col("below") <= F.col("p") + 0.005) & (F.col("to") >= F.col("p") - 0.005)
+    return ranked.select("name", "p", inside.alias("within"))
+
+
 @query(f"""SELECT run_id, name, status, {R('latency_s')} AS latency_s FROM {TIMED} WHERE is_root AND started >=
   (SELECT max(started) FROM {TIMED}) - INTERVAL 168 HOUR ORDER BY started DESC, run_id LIMIT 50""", ("traces",))
 def fetch_traces(spark, folder):
