@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sunloom import config
 from sunloom.functions import texts
 from sunloom.learning import attribution, scale
-from sunloom.operators import clean, fleet, series
+from sunloom.operators import clean, features, fleet, series
 from sunloom.plans.learning import INPUTS, WEIGHTS, _mean, _scaler, _std
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
@@ -86,9 +88,8 @@ def sampled_rows(spark, folder):
     return b.telemetry(spark, folder).where(ingest.in_sample([F.col("event_id")], 0.2, 42)).select("event_id", "power")
 
 
-@query("""SELECT column_name FROM (VALUES ('alarm_code'), ('event_id'), ('kwh_total'), ('limit_percent'), ('op_state'), ('pf'), ('power'),
-  ('pv1_current'), ('pv1_voltage'), ('pv2_current'), ('pv3_current'), ('temp'), ('v_r')) t(column_name), (SELECT count(*) AS n FROM tv) WHERE n > 0""",
-       ("tv",))
+@query(f"""SELECT DISTINCT k AS column_name FROM (SELECT j, unnest(json_keys(j)) AS k FROM (SELECT to_json(t) AS j FROM tv t))
+  WHERE json_type(j, concat('$.', k)) IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND k NOT IN ({", ".join(f"'{c}'" for c in config.NOT_FEATURES)})""", ("tv",))
 def feature_names(spark, folder):
     """Numeric inputs that are neither keys nor metadata and hold a value."""
     tv = b.telemetry(spark, folder)
@@ -107,6 +108,63 @@ def top_features(spark, folder):
     return attribution.top_features(attribution.global_importance(entries)).select("feature", r("importance").alias("importance"))
 
 
+@query(f"""SELECT row_number() OVER (ORDER BY importance DESC, feature) AS place, feature FROM (SELECT feature, avg(abs(z * w)) AS importance FROM (SELECT
+  unnest({INPUTS}) AS feature, unnest({WEIGHTS}::DOUBLE[]) AS w, unnest([{', '.join(f'({c} - {_mean(c)}) / {_std(c)}' for c in INPUTS)}]) AS z FROM tv)
+  GROUP BY feature) ORDER BY place LIMIT 5""", ("tv",))
+def top_features_csv(spark, folder):
+    """The five most important inputs, written as CSV with a header and read back in their order."""
+    rows = scale.scaled(b.telemetry(spark, folder).select("event_id", *INPUTS), _scaler(spark, folder, INPUTS), INPUTS)
+    entries = rows.select(attribution.linear_entries(INPUTS, WEIGHTS).alias("entries"))
+    path = os.path.join(_scratch(spark), "top")
+    stages.write_csv(attribution.top_features(attribution.global_importance(entries)).coalesce(1), path)
+    back = spark.read.option("header", True).schema("feature string, importance double").csv(path)
+    # five rows
+    order = Window.orderBy(F.desc("importance"), "feature")
+    return back.select(F.row_number().over(order).cast("bigint").alias("place"), "feature")
+
+
+@query("""SELECT s_suppkey AS inverter_id, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 'quarantined' ELSE 'loaded' END AS kind,
+  CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN s_suppkey * 1.5e0 END AS capacity_kw FROM supplier""")
+def inverter_import(spark, folder):
+    """Inverters loaded from CSV; lines that don't fit the schema are quarantined with their text."""
+    path, key = os.path.join(_scratch(spark), "inverters"), F.col("s_suppkey")
+    number = F.when(key % 7 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string"))
+    capacity = F.when(key % 5 == 0, "n/a").otherwise((key * 1.5).cast("string"))
+    stages.write_csv(b.table(spark, folder, "supplier").select(number.alias("inverter_id"), capacity.alias("capacity_kw")), path)
+    good, bad = stages.read_quarantined(spark, path, "inverter_id bigint, capacity_kw double")
+    found = F.coalesce("inverter_id", F.regexp_extract("_bad", "^x?([0-9]+)", 1).cast("bigint")).alias("inverter_id")
+    return good.select("inverter_id", F.lit("loaded").alias("kind"), "capacity_kw").unionByName(
+        bad.select(found, F.lit("quarantined").alias("kind"), F.lit(None).cast("double").alias("capacity_kw")))
+
+
+@query(f"""SELECT user_role, action, count(*) AS n, {R('sum(amount)', 2)} AS amount FROM audit GROUP BY ALL""", ("audit",))
+def audit_export(spark, folder):
+    """The audit log exported as CSV with a header, then read back."""
+    path = os.path.join(_scratch(spark), "audit")
+    amount = F.get_json_object("details", "$.amount").cast("double").alias("amount")
+    stages.write_csv(b.audit_logs(spark, folder).select("log_id", "user_role", "action", amount), path)
+    back = spark.read.option("header", True).schema("log_id bigint, user_role string, action string, amount double").csv(path)
+    return back.groupBy("user_role", "action").agg(F.count(F.lit(1)).alias("n"), r(F.sum("amount"), 2).alias("amount"))
+
+
+@query("SELECT event_id, plant_id, power, temp FROM tv", ("tv",))
+def drop_metadata(spark, folder):
+    """Metadata columns go where they are present, whatever is left stays."""
+    tv = b.telemetry(spark, folder).select("event_id", "plant_id", "power", "temp")
+    noted = tv.withColumns({"_id": F.lit("x"), "createdAt": F.current_timestamp(), "__v": F.lit(1), "batteries": F.lit(None).cast("string")})
+    return noted.drop(*config.DROPPED_COLUMNS)
+
+
+@query(f"""SELECT event_id, {R('power')} AS total_pv_power, 0e0 AS voltage_deviation, 0e0 AS string_imbalance, 0e0 AS power_variability, 0 AS alarm_active,
+  1 AS is_running, 0 AS is_off FROM tv""", ("tv",))
+def default_columns(spark, folder):
+    """KPIs and flags of plants that lack most signals: absent columns count as their defaults."""
+    tv = b.telemetry(spark, folder).select("event_id", "power")
+    made = tv.withColumns({**features.row_kpis(tv), **features.state_flags(tv)})
+    return made.select("event_id", r("total_pv_power").alias("total_pv_power"), "voltage_deviation", "string_imbalance", "power_variability",
+                       "alarm_active", "is_running", "is_off")
+
+
 @query("""SELECT inverter_id, current_category, last_us FROM (SELECT i.inverter_id, current_category, epoch_us(m) AS last_us, CASE
   current_category WHEN 'offline' THEN 6 ELSE ascii(current_category) - 64 END AS severity FROM inverters i LEFT JOIN (SELECT inverter_id,
   max(ts) AS m FROM rd GROUP BY inverter_id) USING (inverter_id)) ORDER BY severity DESC, last_us DESC NULLS LAST, inverter_id""",

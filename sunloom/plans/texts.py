@@ -13,7 +13,7 @@ from sunloom.operators import fleet, rollups, series
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
 from sunloom.responses import evaluate, prompts, traces
-from sunloom.retrieval import chunks, search
+from sunloom.retrieval import chunks, search, store
 from sunloom.session import shared_folder, spread
 from sunloom.sources import bindings as b
 
@@ -53,14 +53,38 @@ def cosine_topk(spark, folder):
                                                     F.col("rank").cast("bigint").alias("rank"))
 
 
+def _self_search(spark, folder, exact):
+    vectors = b.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    path = os.path.join(shared_folder(spark), f"index-{uuid.uuid4().hex}")
+    held = store.build(vectors, path)
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    hits = store.search(held, asked, 5, exact=exact, folder=path)
+    return hits.select("query_id", F.col("item").alias("vec_id"), r("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""SELECT query_id, vec_id, {R('s', 6)} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id)
+  AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
+  (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS s
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE rank <= 5""")
+def index_exact(spark, folder):
+    """Every twentieth vector against all by the stored index, cells asked until their bounds exclude better hits."""
+    return _self_search(spark, folder, True)
+
+
+@query()
+def index_search(spark, folder):
+    """The same from the nearest cells only, by codes and exact scores of the best."""
+    return _self_search(spark, folder, False)
+
+
 @query()
 def retrieved_context(spark, folder):
     """Chunks of all documents embedded by hashed terms and stored; benchmark texts are the queries; context of the best three."""
     docs = chunks.chunk_table(spread(b.table(spark, folder, "documents").select("doc_id", "text")), size=200, overlap=50)
     docs = docs.withColumn("key", F.concat_ws("-", "doc_id", "chunk_id"))
-    fitted, store = chunks.fit_embedder(docs), os.path.join(shared_folder(spark), f"store-{uuid.uuid4().hex}")
-    chunks.save_store(chunks.embed(docs, fitted).select("key", "chunk", "vector"), fitted, store)
-    docs, model = chunks.load_store(spark, store)
+    fitted, path = chunks.fit_embedder(docs), os.path.join(shared_folder(spark), f"store-{uuid.uuid4().hex}")
+    chunks.save_store(chunks.embed(docs, fitted).select("key", "chunk", "vector"), fitted, path)
+    docs, model = chunks.load_store(spark, path)
     asked = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
     hits = search.top_k(docs.select("key", "vector"), chunks.embed(asked, model), 5, key="key", vector="vector")
     return search.context_text(hits.join(docs.select("key", "chunk"), "key"), "query_id", queries=asked)

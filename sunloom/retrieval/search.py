@@ -20,11 +20,12 @@ EPSILON = 1e-9
 
 
 class _Best:
-    """The k best items per query of the vectors seen so far."""
+    """The k best items per query of the vectors seen so far, as arrays."""
 
     def __init__(self, names: list, queries: np.ndarray, k: int):
         self.names, self.queries, self.k = names, queries, k
-        self.norms, self.best = np.linalg.norm(queries, axis=1), [None] * len(names)
+        self.norms = np.linalg.norm(queries, axis=1)
+        self.query, self.score, self.item = np.zeros(0, np.int64), np.zeros(0), None
 
     def add(self, items: np.ndarray, vectors: list) -> None:
         """Score items in slices, so that a score matrix stays within its bound."""
@@ -34,18 +35,23 @@ class _Best:
 
     def _add(self, items: np.ndarray, x: np.ndarray) -> None:
         cosine = np.round((x @ self.queries.T) / (np.linalg.norm(x, axis=1)[:, None] * self.norms + EPSILON), 12)
-        for q in range(len(self.names)):
-            found = pd.DataFrame({"item": items, "score": cosine[:, q]})
-            if len(found) > 4 * self.k:
-                cut = np.partition(cosine[:, q], len(found) - self.k)[len(found) - self.k]
-                found = found[found["score"] >= cut]
-            pool = found if self.best[q] is None else pd.concat([self.best[q], found])
-            self.best[q] = pool.sort_values(["score", "item"], ascending=[False, True]).head(self.k)
+        if len(items) > self.k:
+            # all that reach the k-th score of their query: ties are settled by item below
+            row, query = np.nonzero(cosine >= np.partition(cosine, len(items) - self.k, axis=0)[len(items) - self.k])
+        else:
+            row, query = np.indices(cosine.shape).reshape(2, -1)
+        query, score, item = np.append(self.query, query), np.append(self.score, cosine[row, query]), items[row]
+        item = item if self.item is None else np.append(self.item, item)
+        _, by_item = np.unique(item, return_inverse=True)
+        order = np.lexsort((by_item, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order, query = order[place < self.k], query[place < self.k]
+        self.query, self.score, self.item = query, score[order], item[order]
 
     def hits(self):
-        for name, hits in zip(self.names, self.best):
-            if hits is not None:
-                yield hits.assign(query=name)[["query", "item", "score"]]
+        if self.item is not None:
+            yield pd.DataFrame({"query": np.array(self.names, object)[self.query], "item": self.item, "score": self.score})
 
 
 def _broadcast_hits(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
@@ -77,7 +83,7 @@ def _block_hits(rows: DataFrame, asked: DataFrame, blocks: int, width: int, k: i
             return pd.DataFrame({"query": [], "item": [], "score": []})
         best = _Best(queries["query"].tolist(), np.vstack(queries["vector"].tolist()).astype("float64"), k)
         best.add(vectors["item"].to_numpy(), vectors["vector"].tolist())
-        return pd.concat(list(best.hits()))
+        return next(best.hits())
 
     return left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInPandas(score, schema)
 

@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESULT_SCHEMA = ("map<string, struct<display_name: string, provider: string, model_id: string, results: array<struct<"
                  "task: string, scenario_name: string, risk_class: string, response: string, latency_seconds: double, "
@@ -44,10 +45,21 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high
 
 
 def read_quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """CSV rows that fit the schema and those that do not, with their raw text."""
-    raw = (spark.read.schema(schema + ", _bad string").option("header", True).option("mode", "PERMISSIVE")
+    """CSV rows that fit the schema and those that do not, with their raw text.
+
+    Cells are read as text and cast here: Spark's own mark of a broken record looks only at the columns a query reads.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField("_bad", T.StringType())])
+    raw = (spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
            .option("columnNameOfCorruptRecord", "_bad").csv(path))
-    return raw.where(F.col("_bad").isNull()).drop("_bad"), raw.where(F.col("_bad").isNotNull())
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields]
+    fits = F.col("_bad").isNull()
+    for f, value in zip(fields, typed):
+        fits = fits & (F.col(f"`{f.name}`").isNull() | value.isNotNull())
+    line = F.coalesce("_bad", F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in fields])))
+    marked = raw.select(*typed, line.alias("_bad"), fits.alias("_fits"))
+    return marked.where("_fits").drop("_bad", "_fits"), marked.where("NOT _fits").drop("_fits")
 
 
 def write_results(results: DataFrame, path: str, per_document: int = 1000) -> None:
