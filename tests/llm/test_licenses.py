@@ -43,7 +43,8 @@ def test_odd_tables(spark):
 def test_query(spark, small):
     got = {r.doc_id: r.families for r in PLANS["op8_licenses"](spark, small).collect()}
     lines = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
-             "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+             "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+             "All rights reserved.": "proprietary"}
     for d in spark.read.parquet(f"{small}/documents.parquet").collect():
         want = sorted({f for line, f in lines.items() if re.search(rf"(?m)^{re.escape(line)}$", d.text)})
         assert list(got[d.doc_id]) == want, d.doc_id
