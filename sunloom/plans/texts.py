@@ -167,7 +167,22 @@ def _prompt_rows(rows):
             "context": F.lit("No inverter-manual context available.")}
 
 
-@query()
+_TASKS = ", ".join("('{}', '{}')".format(t, text.replace("'", "''")) for t, text in prompts.INSTRUCTIONS.items())
+
+
+@query(f"""WITH f AS (SELECT prediction_id, string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 10) AS factors,
+  string_agg(short, ', ' ORDER BY rank) FILTER (rank <= 3) AS few FROM (SELECT s.prediction_id, row_number() OVER (PARTITION BY s.prediction_id
+   ORDER BY abs(weight) DESC, s.feature) AS rank, concat('  • ', s.feature, ': ', printf('%+.4f', weight), '  (raw value: ',
+   coalesce(CAST(raw AS VARCHAR), 'N/A'), ')') AS line, concat(s.feature, ': ', printf('%+.3f', CAST(round(CAST(CAST(weight AS VARCHAR) AS DECIMAL(30, 20)), 3) AS DOUBLE))) AS short FROM shap s
+   LEFT JOIN raws r ON r.prediction_id = s.prediction_id AND r.feature = s.feature) GROUP BY prediction_id),
+  g AS (SELECT prediction_id, string_agg(concat('  • ', feature, ': ', CAST(raw AS VARCHAR)), chr(10) ORDER BY pos) AS readings FROM raws
+   WHERE pos <= 15 GROUP BY prediction_id)
+  SELECT prediction_id, task, system_prompt, CASE task WHEN 'chat' THEN concat(inverter, ' | ', plant, ' | risk=', printf('%.2f', risk_score),
+   ' | class=', risk_class, ' | factors=[', few, ']') ELSE concat_ws(chr(10), concat('Inverter: ', inverter), concat('Plant: ', plant),
+   concat('Risk: ', printf('%.4f', risk_score), ' (', risk_class, ')'), 'Factors:', factors, 'Readings:', readings, 'Manual:',
+   'No inverter-manual context available.') END AS user_prompt FROM (SELECT *, concat('INV-', inverter_id) AS inverter,
+   concat('Plant ', inverter_id % 3 + 1) AS plant FROM preds) JOIN f USING (prediction_id) JOIN g USING (prediction_id),
+   (VALUES {_TASKS}) t(task, system_prompt)""", ("preds", "shap", "raws"))
 def prompt_table(spark, folder):
     """Three prompts per prediction: explanation, ticket and chat."""
     cases = prompts.test_cases(spread(b.predictions(spark, folder)))
