@@ -17,6 +17,7 @@ HEADLINE = [
     "alerts_star", "paged_alerts", "latest_row_number", "operator_status", "kpi_eis", "green_report", "revenue_lost",
     "stale_inverters", "chunk_text", "cosine_topk", "topk_attribution", "prompt_table", "model_metrics", "trace_by_name",
     "trace_percentiles", "high_risk_tickets", "retrieved_context", "stream_alerts", "smote_balance",
+    "boosted_report", "tree_explanations", "kpi_rollup", "index_exact", "stream_features",
 ]
 
 
