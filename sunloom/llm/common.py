@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -104,13 +106,33 @@ def as_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(typed, schema=schema)
 
 
+#: Objects that a worker process keeps at a time; workers outlive tasks and stages.
+KEPT_OBJECTS = 2
 _LOADED: dict[tuple, object] = {}
 
 
+def forget(most: int = 0) -> None:
+    """Drop the objects that this worker keeps, all but the newest `most`, and give their memory back to the system.
+
+    For tasks that need none of them: idle workers may outlive the stage that filled them.
+    """
+    if len(_LOADED) <= most:
+        return
+    while len(_LOADED) > most:
+        del _LOADED[next(iter(_LOADED))]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def once(key: tuple, make):
-    """One object per worker process and key."""
+    """One object per worker process and key, of the keys used last."""
     if key not in _LOADED:
+        forget(KEPT_OBJECTS - 1)
         _LOADED[key] = make()
+    _LOADED[key] = _LOADED.pop(key)
     return _LOADED[key]
 
 

@@ -28,8 +28,7 @@ def query(sql: str | None = None):
 @query()
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(documents(spark, folder).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    back = bpe.decode(coded.drop("text"), ranks)
+    back = bpe.round_trip(documents(spark, folder).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
