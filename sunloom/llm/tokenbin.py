@@ -1,6 +1,8 @@
 """Token ids on disk: frequency-ranked ids, byte-aligned lengths in separate control bytes, decoded by table lookup.
 
-`encode` runs the public library on whole texts and keeps the ids in a table, with per-task counts of ids beside them. `write`
+`encode` gives the ids of the public library for whole texts and keeps them in a table, with per-task counts of ids beside
+them. Texts are cut before white space, where byte-level BPE never joins anything; each different chunk goes through the library
+once, repetitions are array lookups (`chunk_ids`). Special strings inside texts are treated as the library does by default. `write`
 ranks ids by frequency and writes files in ascending order of document id. `read` gives the documents back.
 
 Layout of a data file: blocks one after the other. A block is, all little-endian:
@@ -23,6 +25,7 @@ id stand in no particular order among themselves. An empty table gives no data f
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 from array import array
@@ -36,12 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sunloom.llm.bpe import cut, rank_file, spelled
-from sunloom.llm.common import once, output_schema, slices, staged
+from sunloom.llm.bpe import SLICE_BYTES, rank_file
+from sunloom.llm.chunk_ids import ChunkIds, marks
+from sunloom.llm.common import forget, once, output_schema, slices, staged
+from sunloom.llm.token_counts import splits_at_space
 
-#: Entries of the younger half of a worker's cache of encoded chunks.
-CACHE_ENTRIES = 500_000
-CACHED_CHARS = 64
+#: Chunks in one call of the library.
+CALL = 10_000
 BLOCK_IDS = 1 << 20
 BLOCKS_PER_FILE = 32
 #: Files whose first positions are broadcast; more are joined by a shuffle.
@@ -52,43 +56,38 @@ _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256
 _ENCODED = "id bigint, n_tokens bigint, ids binary, counts boolean"
 
 
-class LibraryChunks(dict):
-    """Key of a chunk -> its ids as bytes, by the library; two generations bound what is kept."""
+class Library:
+    """New chunks to ids by the public library, special strings as it treats them by default."""
 
-    def __init__(self, tokenizer: bytes, dtype: str):
-        super().__init__()
+    def __init__(self, tokenizer: bytes):
+        about = json.loads(tokenizer)
+        if not splits_at_space(about):
+            raise ValueError("only byte-level tokenizers without normalizer can be cut at white space")
+        self.whole = [t["content"] for t in about.get("added_tokens") or []]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_buffer(tokenizer)
-        self.library.encode_special_tokens = True
-        self.older, self.passing = {}, {}
-        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.older.get(key)
-        if ids is None:
-            return self.passing[key]
-        self[key] = ids
-        return ids
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Texts are cut before white space that follows something else: the library's split never crosses such a place."""
-        keys = [cut(t) if t else () for t in texts]
-        new = list(set().union(*keys) - self.keys() - self.older.keys())
-        if len(self) + len(new) > CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-            new = list(set().union(*keys) - self.older.keys())
-        self.passing = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for key, found in zip(part, self.library.encode_batch_fast([spelled(k) for k in part], add_special_tokens=False)):
-                ids = array(self.code, found.ids).tobytes()
-                if len(key) <= CACHED_CHARS:
-                    self[key] = ids
-                else:
-                    self.passing[key] = ids
-        return [b"".join(map(self.__getitem__, x)) + end for x in keys]
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, ends = array("I"), []
+        for at in range(0, len(chunks), CALL):
+            for found in self.library.encode_batch_fast(chunks[at:at + CALL], add_special_tokens=False):
+                out.extend(found.ids)
+                ends.append(len(out))
+        return np.frombuffer(out, "u4") if out else np.zeros(0, "u4"), np.diff(ends, prepend=0)
+
+
+def library_chunks(tokenizer: bytes, dtype: str) -> ChunkIds:
+    """Special strings stay whole: no chunk starts inside one."""
+    library = Library(tokenizer)
+    return ChunkIds(library, dtype, marks(*library.whole))
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's ids with the end id behind them."""
+    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
 def vocabulary_size(tokenizer: bytes) -> int:
@@ -105,21 +104,20 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_co
     data = rank_file(tokenizer_path)
     key, size = ("library", hashlib.sha256(data).hexdigest()), vocabulary_size(data)
     dtype = id_type(size)
-    end = np.array([end_id], dtype).tobytes()
     sent = docs.sparkSession.sparkContext.broadcast(data)
     schema = T._parse_datatype_string(_ENCODED)
     arrow = output_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = once(key, lambda: LibraryChunks(sent.value, dtype))
+        chunks = once(key, lambda: library_chunks(sent.value, dtype))
         counts, squeeze = np.zeros(size, np.int64), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                found = chunks.encode(part.column(1).to_pylist(), end)
-                counts += np.bincount(np.frombuffer(b"".join(found), dtype), minlength=size)
-                n = np.array([len(x) for x in found]) // np.dtype(dtype).itemsize
-                small = list(map(squeeze, found))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(small, pa.binary()), pa.array([False] * len(found))], schema=arrow)
+            for part in slices(batch, 1, SLICE_BYTES):
+                ids, n = with_end(*chunks.encode(part.column(1)), end_id)
+                counts += np.bincount(ids, minlength=size)
+                whole, ends = memoryview(ids.view(np.uint8)), (np.cumsum(n) * ids.itemsize).tolist()
+                small = [squeeze(whole[a:b]) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.array([False] * len(n))], schema=arrow)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary()),
                                               pa.array([True])], schema=arrow)
@@ -200,6 +198,7 @@ def write(encoded: DataFrame, size: int, folder: str) -> None:
     sent, dtype = spark.sparkContext.broadcast(rank_of), id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ids, held, n, unpacked = [], [], 0, zstandard.ZstdDecompressor().decompress
 
         def done() -> pa.RecordBatch:
@@ -236,6 +235,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(order)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             n = [sum(b[1] for b in blocks(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64())], names=["part", "piece", "n"])

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,9 +17,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def expected(library, rows):
@@ -43,18 +42,20 @@ def test_pack():
 
 
 def test_every_character(library):
-    chunks = tokenbin.LibraryChunks(tokenbin.rank_file(PATH), "<u4")
+    chunks = tokenbin.library_chunks(tokenbin.rank_file(PATH), "<u4")
     for start in [*range(0, 0x3100, 256), 0xFE00, 0xFF00, 0x10E00, 0x1F600, 0xE0000]:  # all kinds of white space, some of the rest
         text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(start, start + 256))
-        got = chunks.encode([text], b"")[0]
-        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(text, add_special_tokens=False).ids, hex(start)
+        special = "a<|endoftext|>b.c endoftext|> x<|endoftext|>, don't've"
+        ids, counts = chunks.encode(pa.array([text, special, None]))
+        want = [library.encode(t, add_special_tokens=False).ids for t in (text, special, "")]
+        assert (ids.tolist(), counts.tolist()) == (sum(want, []), list(map(len, want))), hex(start)
 
 
 @pytest.mark.parametrize("ids_per_block,per_file", [(1 << 20, 32), (40, 2)])
 def test_odd_documents(spark, library, tmp_path, monkeypatch, ids_per_block, per_file):
-    monkeypatch.setattr(tokenbin, "CACHE_ENTRIES", 20)
+    monkeypatch.setattr(tokenbin, "CALL", 20)
     rows = [(i * 37 % 101, f"text {i} " + "word " * (i % 7)) for i in range(101)]
-    rows += [(500, None), (501, ""), (502, " \n\t "), (None, "no id"), (503, "x" * 30_000), (504, "<|endoftext|> é 日本"), (-5, "negative")]
+    rows += [(500, None), (501, ""), (502, " \n\t "), (None, "no id"), (503, "x" * 30_000), (504, "<|endoftext|> é 日本 a <|endoftext|>b"), (-5, "negative")]
     docs = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id bigint, text string, n_tokens string").repartition(4)
     monkeypatch.setattr(tokenbin, "BLOCK_IDS", ids_per_block)
     monkeypatch.setattr(tokenbin, "BLOCKS_PER_FILE", per_file)
@@ -63,6 +64,11 @@ def test_odd_documents(spark, library, tmp_path, monkeypatch, ids_per_block, per
     assert have == expected(library, rows)
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        tokenbin.Library(tokenbin.rank_file(P.path("word_bpe_49k.json")))
+
+
 def test_repeated_rows(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c")], "doc_id bigint, text string")
     got = sorted((r.start, r.doc_id) for r in round_trip(spark, docs, str(tmp_path / "run")).collect())
