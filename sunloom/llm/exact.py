@@ -7,10 +7,11 @@ equal texts one row stays.
 * The order is (first 64 bytes, SHA-256, id): equal texts are adjacent in it whatever follows their first bytes, and the
   sample that the splitters come from holds about 100 bytes a row, not texts. The id breaks ties, so a text that a third
   of all rows share is cut over as many partitions as its rows fill.
-* A run that a partition border cuts is joined again: every partition reports its first and its last run, two rows with
-  their texts, and a window over these - two rows per partition, whatever the number of documents - compares neighbours
-  over the borders in full and adds up sizes.
-* Texts stream through the tasks. `marked` holds its small columns of one partition, `deduplicated` one row.
+* A run that a partition border cuts is joined again: every partition reports its first and its last run, with their texts.
+  A window over the digests of these - two rows per partition, whatever the number of documents - proposes neighbours over
+  the borders, a join compares their texts in full, and runs that go on are chained.
+* Texts stream through the tasks. `marked` holds its small columns of one partition, `deduplicated` one row. A text travels
+  once: where it is compared as it is, it is read out of the row that is kept.
 
 Defined cases: null text counts as empty text, which is a text like any other. A row without an id stays only if no equal
 row has one (`keep_id` is null then). Of rows that repeat in id and text exactly one stays. Carried columns named like an
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sunloom.llm.common import as_batch, output_schema, packed, run_folder, staged, unpacked
+from sunloom.llm.common import as_batch, forget, output_schema, packed, run_folder, staged, unpacked
 
 PREFIX_BYTES = 64
-_RUN = "_run bigint, _edge boolean, _text binary"
+_RUN = "_sha string, _run bigint, _edge boolean, _text binary"
 _OUT = (("keep_id", "bigint"), ("group_size", "bigint"), ("kept", "boolean"), ("text_sha256", "string"))
 
 
@@ -41,26 +42,28 @@ def trimmed_lower(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _runs(small: int, schema: pa.Schema):
-    """Every row of a sorted partition, with the size of its run of equal texts and the id that comes first in it."""
+def _runs(schema: pa.Schema):
+    """Every row of a sorted partition of (packed, _id, _sha, _data), with the size of its run of equal texts and the id that
+    comes first in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, starts, first, last, count = [], [], None, None, 0
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            text = batch.column(small)
+            text = batch.column(3)
             starts.append(np.flatnonzero(_changes(text, last)) + count)
             first = text[0].as_py() if first is None else first
             last = text[n - 1].as_py()
-            held.append(batch.select(list(range(small))))
+            held.append(batch.select([0, 1, 2]))
             count += n
         if not count:
             return
         start = np.concatenate(starts)
         size = np.diff(np.append(start, count))
         of_row = np.repeat(np.arange(len(start)), size)
-        best = pa.chunked_array([b.column(small - 1) for b in held]).combine_chunks().take(pa.array(start))
+        best = pa.chunked_array([b.column(1) for b in held]).combine_chunks().take(pa.array(start))
         done, final = 0, len(start) - 1
         for batch in held:
             at = np.arange(done, done + batch.num_rows)
@@ -70,29 +73,33 @@ def _runs(small: int, schema: pa.Schema):
             for i in border:
                 if done <= i < done + len(at):
                     texts[i - done] = border[i]
-            columns = [*batch.columns[:-1], best.take(pa.array(of)), pa.array(size[of]), pa.array(at == start[of]), pa.array(of.astype("int64")),
+            columns = [batch.column(0), best.take(pa.array(of)), pa.array(size[of]), pa.array(at == start[of]), batch.column(2), pa.array(of.astype("int64")),
                        pa.array((of == 0) | (of == final)), pa.array(texts, pa.binary())]
             yield as_batch(columns, schema)
             done += len(at)
     return run
 
 
-def _firsts(wide: int, schema: pa.Schema):
-    """The first row of every run of a sorted partition. The newest one is held back until it is known not to be the last."""
+def _firsts(text_of, schema: pa.Schema):
+    """The first row of every run of a sorted partition of (packed, _sha, ...); `text_of` gives the texts of a batch.
+
+    The newest one is held back until it is known not to be the last.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         last, waiting, number = None, None, 0
 
         def rows(part: pa.RecordBatch, from_number: int, is_last: bool) -> pa.RecordBatch:
             numbers = np.arange(from_number, from_number + part.num_rows)
             edge = (numbers == 0) | is_last
-            text = pa.array([t.as_py() if e else None for t, e in zip(part.column(wide), edge)], pa.binary())
-            columns = [*part.columns[:wide], pa.array(numbers), pa.array(edge), text]
-            return as_batch(columns, schema)
+            border = text_of(part)
+            text = pa.array([border[i].as_py() if e else None for i, e in enumerate(edge)], pa.binary())
+            return as_batch([*part.columns[:2], pa.array(numbers), pa.array(edge), text], schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text = batch.column(wide)
+            text = text_of(batch)
             found = batch.filter(pa.array(_changes(text, last)))
             last = text[batch.num_rows - 1].as_py()
             if not found.num_rows:
@@ -134,11 +141,17 @@ def _sorted(docs: DataFrame, carry: list[str], id_col: str, text_col: str, norma
 def _chains(found: DataFrame, *sums: str) -> DataFrame:
     """Runs that touch a border, by (_part, _run): `_leads` is true for the first run of equal ones over several partitions.
 
-    At most two rows per partition meet in the one task of this window.
+    At most two rows per partition, without texts, meet in the one task of the windows.
     """
     along = Window.orderBy("_part", "_run")
-    chain = found.where("_text IS NOT NULL").select("_part", "_run", "_text", *sums).withColumn(
-        "_new", F.coalesce((F.lag("_text").over(along) != F.col("_text")).cast("int"), F.lit(1)))
+    edges = found.where("_text IS NOT NULL")
+    light = edges.select("_part", "_run", "_sha", *sums)
+    before = {"_part0": F.lag("_part").over(along), "_run0": F.lag("_run").over(along), "_sha0": F.lag("_sha").over(along)}
+    alike = light.withColumns(before).where(F.col("_sha0") == F.col("_sha")).select("_part", "_run", "_part0", "_run0")
+    earlier = edges.select(F.col("_part").alias("_part0"), F.col("_run").alias("_run0"), F.col("_text").alias("_text0"))
+    equal = alike.join(edges.select("_part", "_run", "_text"), ["_part", "_run"]).join(earlier, ["_part0", "_run0"]).where(
+        F.col("_text") == F.col("_text0")).select("_part", "_run", F.lit(0).alias("_new"))
+    chain = light.join(equal, ["_part", "_run"], "left").withColumn("_new", F.coalesce("_new", F.lit(1)))
     chain = chain.withColumn("_chain", F.sum("_new").over(along))
     in_chain = Window.partitionBy("_chain")
     return chain.select("_part", "_run", (F.col("_new") == 1).alias("_leads"),
@@ -156,8 +169,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
     names = [c for c in ((id_col,) if carry is None else carry) if c.lower() not in outputs]
     dealt = _sorted(docs, names, id_col, text_col, normal, keep)
     schema = T.StructType([dealt.schema["packed"]] + T._parse_datatype_string(
-        f"_sha string, _best bigint, _size bigint, _pick boolean, {_RUN}").fields)
-    found = dealt.select("packed", "_sha", "_id", "_data").mapInArrow(_runs(3, output_schema(schema)), schema)
+        f"_best bigint, _size bigint, _pick boolean, {_RUN}").fields)
+    found = dealt.select("packed", "_id", "_sha", "_data").mapInArrow(_runs(output_schema(schema)), schema)
     found = staged(found.withColumn("_part", F.spark_partition_id()), run_folder(docs.sparkSession, "exact"), "runs")
     chains = F.broadcast(_chains(found, "_best", "_size"))
     inner = found.where("NOT _edge").select("packed", F.col("_best").alias("keep_id"), F.col("_size").alias("group_size"),
@@ -173,7 +186,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of `docs` that stay, one of each text."""
     dealt = _sorted(docs, docs.columns, id_col, text_col, normal, keep)
     schema = T.StructType([dealt.schema["packed"]] + T._parse_datatype_string(_RUN).fields)
-    found = dealt.select("packed", "_data").mapInArrow(_firsts(1, output_schema(schema)), schema)
+    if normal is None:
+        at, wanted = [c.lower() for c in docs.columns].index(text_col.lower()), dealt.select("packed", "_sha")
+
+        def text_of(batch: pa.RecordBatch) -> pa.Array:
+            return batch.column(0).field(at).fill_null("").cast(pa.binary())
+    else:
+        wanted = dealt.select("packed", "_sha", "_data")
+
+        def text_of(batch: pa.RecordBatch) -> pa.Array:
+            return batch.column(2)
+
+    found = wanted.mapInArrow(_firsts(text_of, output_schema(schema)), schema)
     found = staged(found.withColumn("_part", F.spark_partition_id()), run_folder(docs.sparkSession, "exact"), "firsts")
-    follows = F.broadcast(_chains(found).where("NOT _leads"))
-    return found.join(follows, ["_part", "_run"], "left_anti").select("packed.*")
+    follows = _chains(found).where("NOT _leads")
+    return found.join(F.broadcast(follows), ["_part", "_run"], "left_anti").select("packed.*")
