@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunloom.llm.common import fresh, output_schema, run_folder, slices, staged
+from sunloom.llm.common import forget, fresh, output_schema, run_folder, slices, staged
 from sunloom.llm.components import components
 from sunloom.llm.words import shingle_set
 
@@ -103,6 +103,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     arrow = output_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, 2):
                 counts, digests, registers = [], [], []
@@ -131,6 +132,7 @@ def _grouped_rows(rows: DataFrame, keys: list[str], work: Callable) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, last = [], None
         for batch in batches:
             if not batch.num_rows:
@@ -242,6 +244,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
     arrow = output_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, 2):
                 found = [shingle_set(t, size) for t in part.column(2).to_pylist()]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import SPACED_WORDS, output_schema, replacing, slices, with_arrays
+from sunloom.llm.common import SPACED_WORDS, forget, output_schema, replacing, slices, with_arrays
 
 ORDERS = (3, 4, 5)
 FEATURES = 4_096
@@ -117,6 +117,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """The FEATURES n-grams that tell the classes apart best, their log-count ratios, and the numbers of texts by class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, 0):
                 found = [text_grams(t) for t in part.column(0).to_pylist()]
@@ -191,12 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(keys, ratios, float(np.log((toxic + 1) / (clean + 1))))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, 0):
                 found = [np.flatnonzero(np.isin(keys, text_grams(t), assume_unique=True)).tolist() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = [b for b in batches if b.num_rows]
         table = pa.Table.from_batches(held).combine_chunks()
         sets = table.column(1).combine_chunks()
@@ -217,6 +220,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.adds, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = Model(*sent.value)
         for batch in batches:
             for part in slices(batch, at):
