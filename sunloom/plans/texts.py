@@ -13,7 +13,7 @@ from sunloom.operators import fleet, rollups, series
 from sunloom.plans.registry import query, r
 from sunloom.plans.views import r as R
 from sunloom.responses import evaluate, prompts, traces
-from sunloom.retrieval import chunks, search, store
+from sunloom.retrieval import chunks, latent, search, store
 from sunloom.session import shared_folder, spread
 from sunloom.sources import bindings as b
 
@@ -90,6 +90,22 @@ def retrieved_context(spark, folder):
     return search.context_text(hits.join(docs.select("key", "chunk"), "key"), "query_id", queries=asked)
 
 
+@query()
+def latent_context(spark, folder):
+    """Chunks of all documents embedded by learnt directions and indexed; context of the best three for every benchmark text."""
+    root = os.path.join(shared_folder(spark), f"latent-{uuid.uuid4().hex}")
+    docs = chunks.chunk_table(spread(b.table(spark, folder, "documents").select("doc_id", "text")), size=200, overlap=50)
+    docs = docs.select((F.col("doc_id") * 1_000_000 + F.col("chunk_id")).alias("key"), "chunk")
+    docs.write.parquet(f"{root}/chunks")
+    docs = spark.read.schema(docs.schema).parquet(f"{root}/chunks")
+    latent.save(latent.fit(docs, f"{root}/passes"), spark, f"{root}/model")
+    model = latent.load(spark, f"{root}/model")
+    held = store.build(latent.embed(docs, model).select("key", "vector"), f"{root}/index", "key", "vector")
+    asked = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
+    hits = store.search(held, latent.embed(asked, model), 5, vector="vector").withColumnRenamed("item", "key")
+    return search.context_text(hits.join(docs, "key"), "query_id", queries=asked)
+
+
 @query("""SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn DESC) AS context FROM (SELECT *,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3 GROUP BY conv_id""")
 def context_concat(spark, folder):
