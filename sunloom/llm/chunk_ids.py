@@ -120,12 +120,13 @@ def chunk_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[n
 class Kept:
     """Ids of chunks by hash, in a table of fixed size."""
 
-    def __init__(self, kind: str):
-        self.first, self.second = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64)
-        self.count, self.ids = np.zeros(PLACES, np.uint8), np.zeros((PLACES, WIDE), kind)
+    def __init__(self, kind: str, places: int):
+        self.first, self.second = np.zeros(places, np.uint64), np.zeros(places, np.uint64)
+        self.count, self.ids = np.zeros(places, np.uint8), np.zeros((places, WIDE), kind)
+        self.mask = np.uint64(places - 1)
 
     def place(self, first: np.ndarray) -> np.ndarray:
-        return (first & np.uint64(PLACES - 1)).astype(np.int64)
+        return (first & self.mask).astype(np.int64)
 
     def put(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         fits = np.flatnonzero((count > 0) & (count <= WIDE))
@@ -141,8 +142,8 @@ class Kept:
 class ChunkIds:
     """Texts to ids. `fresh` encodes new chunks: all their ids one after the other, and the number of ids of each."""
 
-    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: str, after_letters: np.ndarray | None = None):
-        self.fresh, self.kind, self.kept, self.after_letters = fresh, kind, Kept(kind), after_letters
+    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: str, after_letters: np.ndarray | None = None, places: int | None = None):
+        self.fresh, self.kind, self.kept, self.after_letters = fresh, kind, Kept(kind, places or PLACES), after_letters
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""

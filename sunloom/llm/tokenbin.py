@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sunloom.llm.bpe import SLICE_BYTES, rank_file
+from sunloom.llm.bpe import rank_file
 from sunloom.llm.chunk_ids import ChunkIds, marks
 from sunloom.llm.common import forget, once, output_schema, slices, staged
 from sunloom.llm.token_counts import splits_at_space
 
-#: Chunks in one call of the library.
-CALL = 10_000
+#: Bytes of text that a task works on at once: more chunks share a lookup and a call.
+SLICE_BYTES = 4 << 20
+#: Chunks in one call of the library, and in a worker's table.
+CALL, PLACES = 5_000, 1 << 20
 BLOCK_IDS = 1 << 20
 BLOCKS_PER_FILE = 32
 #: Files whose first positions are broadcast; more are joined by a shuffle.
@@ -60,10 +62,6 @@ class Library:
     """New chunks to ids by the public library, special strings as it treats them by default."""
 
     def __init__(self, tokenizer: bytes):
-        about = json.loads(tokenizer)
-        if not splits_at_space(about):
-            raise ValueError("only byte-level tokenizers without normalizer can be cut at white space")
-        self.whole = [t["content"] for t in about.get("added_tokens") or []]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_buffer(tokenizer)
@@ -79,10 +77,16 @@ class Library:
         return np.frombuffer(out, "u4") if out else np.zeros(0, "u4"), np.diff(ends, prepend=0)
 
 
-def library_chunks(tokenizer: bytes, dtype: str) -> ChunkIds:
-    """Special strings stay whole: no chunk starts inside one."""
-    library = Library(tokenizer)
-    return ChunkIds(library, dtype, marks(*library.whole))
+def whole_strings(tokenizer: bytes) -> list[str]:
+    """Special strings of a tokenizer file, which no chunk may cut. An error where texts can't be cut at all."""
+    about = json.loads(tokenizer)
+    if not splits_at_space(about):
+        raise ValueError("only byte-level tokenizers without normalizer can be cut at white space")
+    return [t["content"] for t in about.get("added_tokens") or []]
+
+
+def library_chunks(tokenizer: bytes, whole: list[str], dtype: str) -> ChunkIds:
+    return ChunkIds(Library(tokenizer), dtype, marks(*whole), PLACES)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +107,13 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_co
     """A table of ids per row, `end_id` last, zstd-compressed, and one row of counts by id for each task."""
     data = rank_file(tokenizer_path)
     key, size = ("library", hashlib.sha256(data).hexdigest()), vocabulary_size(data)
-    dtype = id_type(size)
+    dtype, special = id_type(size), whole_strings(data)
     sent = docs.sparkSession.sparkContext.broadcast(data)
     schema = T._parse_datatype_string(_ENCODED)
     arrow = output_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = once(key, lambda: library_chunks(sent.value, dtype))
+        chunks = once(key, lambda: library_chunks(sent.value, special, dtype))
         counts, squeeze = np.zeros(size, np.int64), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):

@@ -42,7 +42,8 @@ def test_pack():
 
 
 def test_every_character(library):
-    chunks = tokenbin.library_chunks(tokenbin.rank_file(PATH), "<u4")
+    data = tokenbin.rank_file(PATH)
+    chunks = tokenbin.library_chunks(data, tokenbin.whole_strings(data), "<u4")
     for start in [*range(0, 0x3100, 256), 0xFE00, 0xFF00, 0x10E00, 0x1F600, 0xE0000]:  # all kinds of white space, some of the rest
         text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(start, start + 256))
         special = "a<|endoftext|>b.c endoftext|> x<|endoftext|>, don't've"
@@ -66,7 +67,7 @@ def test_odd_documents(spark, library, tmp_path, monkeypatch, ids_per_block, per
 
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
-        tokenbin.Library(tokenbin.rank_file(P.path("word_bpe_49k.json")))
+        tokenbin.whole_strings(tokenbin.rank_file(P.path("word_bpe_49k.json")))
 
 
 def test_repeated_rows(spark, tmp_path):
