@@ -117,3 +117,14 @@ def test_quantiles_are_exact(rows, accuracy):
         ordered = sorted(group["power"])
         assert near[key, 0.5] == ordered[len(ordered) // 2]
         assert near[key, 0.95] == ordered[int(len(ordered) * 0.95)]
+
+
+def test_rows_of_a_task_do_not_grow_with_the_series(spark):
+    """Slices of long series lie in as many partitions as there are slices; they are not merged into one per core."""
+    limit = 100
+    rows = spark.range(6_000).selectExpr("cast(id % 3 AS string) AS device", "timestamp_seconds(id * 60) AS ts", "id AS row_id")
+    placed = series.over_series(rows, ["device"], "ts", "row_id", lambda frame, part: frame.withColumn("task", F.spark_partition_id()), behind=2, limit=limit)
+    filled = series.fill_forward(placed, ["device"], "ts", "row_id", {"last": F.col("row_id")}, limit=limit)
+    assert filled.where("last = row_id").count() == 6_000
+    tasks = [r["n"] for r in placed.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 30 and max(tasks) <= 8 * limit, tasks
