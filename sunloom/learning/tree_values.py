@@ -26,6 +26,10 @@ from sunloom.learning.boosting import Boosted, _arrow_types, _inputs
 from sunloom.learning.histogram_trees import Tree
 
 
+#: Inputs on a path up to which a leaf keeps a table of all patterns of taken splits.
+TABLE_INPUTS = 8
+
+
 def extended(weights: np.ndarray, taken: np.ndarray, share: float) -> np.ndarray:
     """Coefficients by the number of known inputs, with one more input; rows are patterns of taken splits."""
     out = np.zeros((len(weights), weights.shape[1] + 1))
@@ -60,17 +64,28 @@ def set_weights(d: int) -> np.ndarray:
 class Leaf:
     """A leaf's value, and per input on its path the bounds of its bins (above low, at most high) and its share."""
 
-    __slots__ = ("value", "features", "low", "high", "share")
+    __slots__ = ("value", "features", "low", "high", "share", "table")
 
     def __init__(self, value: float, path: dict[int, tuple[float, float, float]]):
         self.value, self.features = value, sorted(path)
         self.low, self.high, self.share = (np.array([path[f][i] for f in self.features]) for i in range(3))
+        self.table: np.ndarray | None = None
 
     def add(self, bins: np.ndarray, values: np.ndarray) -> None:
         """Add this leaf's part to the values (row, input)."""
         d = len(self.features)
         if not d:
             return
+        if d <= TABLE_INPUTS:
+            if self.table is None:
+                self.table = self._given((np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float))
+            code = np.zeros(len(bins), np.int64)
+            for j, feature in enumerate(self.features):
+                own = bins[:, feature]
+                code += ((own > self.low[j]) & (own <= self.high[j])).astype(np.int64) << j
+            for j, feature in enumerate(self.features):
+                values[:, feature] += self.table[:, j][code]
+            return
         own = bins[:, self.features]
         taken = (own > self.low) & (own <= self.high)
         if d <= 62:
@@ -80,6 +95,11 @@ class Leaf:
         else:
             patterns, of = np.unique(taken, axis=0, return_inverse=True)
             patterns = patterns.astype(float)
+        values[:, self.features] += self._given(patterns)[of.reshape(-1)]
+
+    def _given(self, patterns: np.ndarray) -> np.ndarray:
+        """What the leaf gives its inputs, for each pattern of taken splits."""
+        d = len(self.features)
         weights = np.ones((len(patterns), 1))
         for j in range(d):
             weights = extended(weights, patterns[:, j], self.share[j])
@@ -91,7 +111,7 @@ class Leaf:
                 # no training row took these splits: the factor is t where taken, and nothing else
                 rest = np.where(patterns[:, j:j + 1] > 0, weights[:, 1:], self._without(patterns, j))
             given[:, j] = rest @ size * (patterns[:, j] - self.share[j]) * self.value
-        values[:, self.features] += given[of.reshape(-1)]
+        return given
 
     def _without(self, patterns: np.ndarray, gone: int) -> np.ndarray:
         weights = np.ones((len(patterns), 1))
@@ -121,10 +141,11 @@ def bias_of(leaves: list[Leaf]) -> float:
 
 
 def shapley(leaves: list[Leaf], bins: np.ndarray) -> np.ndarray:
-    values = np.zeros(bins.shape)
+    # inputs lie in a row each, as leaves read and add to whole columns
+    bins, values = np.asfortranarray(bins), np.zeros(bins.shape, order="F")
     for leaf in leaves:
         leaf.add(bins, values)
-    return values
+    return np.ascontiguousarray(values)
 
 
 # ----------------------------------------------------------------------------------------------------------- operators
