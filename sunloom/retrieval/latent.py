@@ -3,8 +3,8 @@
 A text's row holds log(1 + count) * log(texts / texts with the term) for the terms of the vocabulary, the `VOCABULARY` terms
 that most texts hold (ties by name), scaled to length 1. The singular vectors come from a randomised range finder: a block of
 random directions is multiplied by A'A again and again and made orthogonal in between. One multiplication is one pass over the
-texts, which stay where they are: each task adds up its share for every term, the shares of a term meet in one
-aggregation, and the block - vocabulary times block width numbers, a size the parameters fix - is factorised on the driver and
+texts, which stay where they are, as numbers of their terms: each task adds up its share for every term, the shares of a term
+meet as whole rows and are added up there, and the block - vocabulary times block width numbers, a size the parameters fix - is factorised on the driver and
 sent to the next pass. A text, old or new, is embedded as its row times the vectors, scaled to length 1.
 
 Missing or empty texts, and texts without a known term, have the zero vector.
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ from sunloom.retrieval.chunks import words
 #: Terms with a dimension, components kept, further directions that sharpen them, multiplications by A'A.
 VOCABULARY, COMPONENTS, SPARE, ROUNDS = 20_000, 64, 16, 5
 SEED = 11
+#: Entries that are multiplied at a time.
+ENTRIES = 1 << 16
 
 
 @dataclass
@@ -43,60 +46,83 @@ def _terms(texts: DataFrame, column: str) -> DataFrame:
     return texts.withColumn("__terms", words(F.lower(F.coalesce(F.col(column), F.lit("")))))
 
 
-def weighted_rows(lists: list[list[str]], place: dict[str, int], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries (row, term, weight) of the rows, ordered by row; rows have length 1."""
-    row, term = [], []
-    for i, found in enumerate(lists):
-        known = [place[t] for t in found if t in place]
-        row += [i] * len(known)
-        term += known
-    if not row:
+def places(lists: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of every occurrence of a known term."""
+    at = pc.index_in(lists.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return row[at >= 0], at[at >= 0].astype(np.int64)
+
+
+def weighted_rows(row: np.ndarray, term: np.ndarray, rows: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (row, term, weight) of the rows with these occurrences, ordered by row; rows have length 1."""
+    if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     size = len(rarity)
-    cell, count = np.unique(np.array(row, np.int64) * size + np.array(term, np.int64), return_counts=True)
+    cell, count = np.unique(row.astype(np.int64) * size + term, return_counts=True)
     row, term = cell // size, cell % size
     weight = np.log1p(count) * rarity[term]
-    length = np.sqrt(np.bincount(row, weight ** 2, len(lists)))
+    length = np.sqrt(np.bincount(row, weight ** 2, rows))
     weight = np.divide(weight, length[row], out=np.zeros_like(weight), where=length[row] > 0)
     return row, term, weight
 
 
+def _added(out: np.ndarray, to: np.ndarray, source: np.ndarray, of: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Add `weight` times the row `of` of `source` to the row `to` of `out`; `to` is sorted."""
+    for start in range(0, len(to), ENTRIES):
+        part = slice(start, start + ENTRIES)
+        first = np.flatnonzero(np.append(True, to[part][1:] != to[part][:-1]))
+        out[to[part][first]] += np.add.reduceat(source[of[part]] * weight[part, None], first)
+    return out
+
+
 def times(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, block: np.ndarray) -> np.ndarray:
     """The rows times a block (term, direction)."""
     row, term, weight = entries
-    out = np.zeros((rows, block.shape[1]))
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(block[term] * weight[:, None], first)
-    return out
+    return _added(np.zeros((rows, block.shape[1])), row, block, term, weight)
 
 
 def back(entries: tuple[np.ndarray, np.ndarray, np.ndarray], right: np.ndarray, terms: int) -> np.ndarray:
     """The transposed rows times a block (row, direction)."""
     row, term, weight = entries
-    out = np.zeros((terms, right.shape[1]))
-    if len(row):
-        order = np.argsort(term, kind="stable")
-        row, term, weight = row[order], term[order], weight[order]
-        first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-        out[term[first]] = np.add.reduceat(right[row] * weight[:, None], first)
-    return out
+    order = np.argsort(term, kind="stable")
+    return _added(np.zeros((terms, right.shape[1])), term[order], right, row[order], weight[order])
+
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), pa.float64()))
+
+
+def _gathered(stored: DataFrame, share, rarity, rows: int, width: int) -> np.ndarray:
+    """The sum over all tasks of matrices `share(entries, number of texts)`, by row."""
+    def sent(total: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(total.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), _lists(total[used])], names=["at", "x"])
 
-def _gathered(stored: DataFrame, share, rows: int, width: int) -> np.ndarray:
-    """The sum over all tasks of matrices `share(lists of terms)`, by row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, width))
         for batch in batches:
             if batch.num_rows:
-                total += share(batch.column(0).to_pylist())
-        used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used].tolist(), pa.list_(pa.float64()))], names=["at", "x"])
+                lists = batch.column(0)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                total += share(weighted_rows(row, lists.flatten().to_numpy(), len(lists), rarity.value), len(lists))
+        yield sent(total)
 
-    parts = stored.select("__terms").mapInArrow(run, "at bigint, x array<double>")
-    cells = parts.select("at", F.posexplode("x").alias("j", "v")).groupBy("at", "j").agg(F.sum("v").alias("v")).toArrow()
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rows, width))
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(0).to_numpy()
+                order = np.argsort(at, kind="stable")
+                _added(total, at[order], batch.column(1).flatten().to_numpy().reshape(-1, width), order, np.ones(len(at)))
+        yield sent(total)
+
+    parts = stored.mapInArrow(run, "at bigint, x array<double>")
+    cells = parts.repartition("at").mapInArrow(met, "at bigint, x array<double>").toArrow()
     out = np.zeros((rows, width))
-    out[cells.column("at").to_numpy(), cells.column("j").to_numpy()] = cells.column("v").to_numpy()
+    if cells.num_rows:
+        found = cells.combine_chunks()
+        out[found.column("at").to_numpy()] = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
     return out
 
 
@@ -114,26 +140,36 @@ def fit(texts: DataFrame, folder: str, column: str = "chunk", components: int =
     width = min(components + SPARE, len(terms))
     if not width:
         return Latent(terms, rarity, np.zeros((0, 0)), np.zeros(0))
-    place = spark.sparkContext.broadcast((dict(zip(terms, range(len(terms)))), rarity))
+    names, shared_rarity = spark.sparkContext.broadcast(terms), spark.sparkContext.broadcast(rarity)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            row, term = places(lists, pa.array(names.value, lists.type.value_type))
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists))))
+            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int32()))
+            yield pa.RecordBatch.from_arrays([at], names=["__at"])
+
+    stored.mapInArrow(known, "__at array<int>").write.mode("overwrite").parquet(os.path.join(folder, "places"))
+    stored = spark.read.schema("__at array<int>").parquet(os.path.join(folder, "places"))
 
     def multiplied(block: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(block)
 
-        def share(lists: list) -> np.ndarray:
-            entries = weighted_rows(lists, *place.value)
-            return back(entries, times(entries, len(lists), shared.value), len(shared.value))
-        return _gathered(stored, share, len(terms), width)
+        def share(entries: tuple, n: int) -> np.ndarray:
+            return back(entries, times(entries, n, shared.value), len(shared.value))
+        return _gathered(stored, share, shared_rarity, len(terms), width)
 
     block = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), width)))[0]
     for _ in range(rounds):
         block = np.linalg.qr(multiplied(block))[0]
     shared = spark.sparkContext.broadcast(block)
 
-    def square(lists: list) -> np.ndarray:
-        y = times(weighted_rows(lists, *place.value), len(lists), shared.value)
+    def square(entries: tuple, n: int) -> np.ndarray:
+        y = times(entries, n, shared.value)
         return y.T @ y
 
-    small = _gathered(stored, square, width, width)
+    small = _gathered(stored, square, shared_rarity, width, width)
     values, turned = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:components]
     return Latent(terms, rarity, block @ turned[:, order], np.sqrt(np.maximum(values[order], 0.0)))
@@ -141,19 +177,20 @@ def fit(texts: DataFrame, folder: str, column: str = "chunk", components: int =
 
 def embed(texts: DataFrame, model: Latent, column: str = "chunk", out: str = "vector") -> DataFrame:
     """`texts` with a unit vector for each."""
-    shared = texts.sparkSession.sparkContext.broadcast((dict(zip(model.terms, range(len(model.terms)))), model.rarity, model.vectors))
+    shared = texts.sparkSession.sparkContext.broadcast((model.terms, model.rarity, model.vectors))
     rows = _terms(texts, column)
     schema = T.StructType(texts.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, rarity, vectors = shared.value
+        terms, rarity, vectors = shared.value
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1).to_pylist()
-            y = times(weighted_rows(lists, place, rarity), len(lists), vectors) if len(vectors) else np.zeros((len(lists), 0))
+            lists = batch.column(batch.num_columns - 1)
+            entries = weighted_rows(*places(lists, pa.array(terms, lists.type.value_type)), len(lists), rarity)
+            y = times(entries, len(lists), vectors) if len(vectors) else np.zeros((len(lists), 0))
             length = np.linalg.norm(y, axis=1, keepdims=True)
             y = np.divide(y, length, out=np.zeros_like(y), where=length > 0)
             names = [*batch.schema.names[:-1], out]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(y.tolist(), pa.list_(pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(y)], names=names)
 
     return rows.mapInArrow(run, schema)
 

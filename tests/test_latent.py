@@ -44,3 +44,13 @@ def test_odd_texts(spark, tmp_path):
     assert rows[3] == rows[4] == rows[6] == [0.0, 0.0] and abs(np.linalg.norm(rows[1]) - 1) < 1e-9
     none = latent.fit(docs.limit(0), str(tmp_path / "none"))
     assert latent.embed(docs, none).first()["vector"] == []
+
+
+def test_shares_of_a_term_meet_as_rows(spark, tmp_path, monkeypatch):
+    """Sums meet as one row per term and task, not as one row per number; texts travel as numbers of their terms."""
+    docs = spark.createDataFrame([(i, f"pump valve{i % 5} seal{i % 3}") for i in range(60)], "id int, chunk string").repartition(3)
+    seen = []
+    monkeypatch.setattr(latent, "_gathered", lambda stored, *rest, known=latent._gathered: seen.append(stored.schema.simpleString()) or known(stored, *rest))
+    model = latent.fit(docs, str(tmp_path), components=4, rounds=2)
+    assert set(seen) == {"struct<__at:array<int>>"} and len(seen) == 3
+    assert np.allclose(model.vectors.T @ model.vectors, np.eye(4), atol=1e-8)
