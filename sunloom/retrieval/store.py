@@ -10,8 +10,8 @@ cut into parts, each part stands for its nearest code word, and a query needs on
 angle r of its centroid has at most the cosine of (angle to the centroid - r). Cells above the bound are asked too, whole and without codes, so
 the result is that of a full scan.
 
-A cell that holds many vectors, copies of one for example, is cut into blocks of `BLOCK` rows; queries travel to each block. No
-group of rows grows with the table, and no pair table exists: a block emits k rows per query.
+A cell that holds many vectors, copies of one for example, is cut into blocks of `BLOCK` rows; queries travel to each block, in
+groups of `GROUP` queries. No group of rows grows with the table, and no pair table exists: a block emits k rows per query.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SAMPLE = 20_000
 #: Rounds of k-means, most cells, code words of each part, components of a part.
 ROUNDS, MOST_CELLS, WORDS, PART = 12, 4096, 32, 4
 BLOCK = 50_000
+#: Queries that meet a block at a time, and entries (query, cell) that a task makes at a time.
+GROUP, ENTRIES = 4_096, 100_000
 RERANK = 20
 #: Sampled vectors whose neighbours tell how many cells to ask, and the share of the neighbours these cells must hold.
 PROBED, SURE = 500, 0.97
@@ -121,7 +123,8 @@ def build(vectors: DataFrame, folder: str, key: str = "vec_id", vector: str = "e
                                     "angle": angle, "cell": cell.astype("int32")})
 
     placed = rows.mapInPandas(place, f"item {kind}, vector array<double>, code binary, angle double, cell int")
-    placed.write.mode("overwrite").partitionBy("cell").parquet(os.path.join(folder, "vectors"))
+    # the rows of a cell lie together, so that it is one file and not one of every task; large cells are split
+    placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(os.path.join(folder, "vectors"))
     store = Store(spark, folder, centres, words, np.zeros(len(centres), np.int64), np.zeros(len(centres)), kind, calibrated(sample, centres))
     # one row per cell
     for r in store.vectors().groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).toLocalIterator():
@@ -138,8 +141,9 @@ def load(spark: SparkSession, folder: str) -> Store:
                  np.array(about["angles"]), about["key"], about["probes"])
 
 
-def _asked(store: Store, queries: DataFrame, query: str, vector: str, probes: int, bound: bool) -> DataFrame:
-    """Rows (query, vector, cell, block): the cells each query has to ask. With `bound`, those that `least` leaves open beyond the first."""
+def _asked(store: Store, queries: DataFrame, query: str, vector: str, probes: int, bound: bool, parts: int) -> DataFrame:
+    """Rows (query, vector, cell, block, part): the cells each query has to ask, and the group of the query. With `bound`, those that
+    `least` leaves open beyond the first."""
     shared = store.spark.sparkContext.broadcast((store.centres, store.counts, store.angles))
     blocks = np.maximum(1, -(-store.counts // BLOCK))
     kind = dict(queries.dtypes)[query]
@@ -147,9 +151,8 @@ def _asked(store: Store, queries: DataFrame, query: str, vector: str, probes: in
     def choose(batches):
         centres, counts, angles = shared.value
         full = np.flatnonzero(counts)
-        for batch in batches:
-            if not len(batch):
-                continue
+        step = max(1, ENTRIES // max(len(full), int(blocks[full].sum())))
+        for batch in (whole[at:at + step] for whole in batches for at in range(0, len(whole), step)):
             x = unit(np.vstack(batch["vector"]).astype("float64"))
             cosine = x @ centres[full].T
             order = np.argsort(-cosine, axis=1, kind="stable")
@@ -166,14 +169,14 @@ def _asked(store: Store, queries: DataFrame, query: str, vector: str, probes: in
             row, cell = np.repeat(row, times), np.repeat(cell, times)
             block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             yield pd.DataFrame({"query": batch["query"].to_numpy()[row], "vector": [x[i] for i in row], "cell": cell.astype("int32"),
-                                "block": block.astype("int32")})
+                                "block": block.astype("int32"), "part": batch["part"].to_numpy()[row]})
 
     wanted = queries.select(F.col(query).alias("query"), F.transform(vector, lambda v: v.cast("double")).alias("vector"),
-                            *(["least"] if bound else []))
-    return wanted.mapInPandas(choose, f"query {kind}, vector array<double>, cell int, block int")
+                            F.pmod(F.xxhash64(query), F.lit(parts)).cast("int").alias("part"), *(["least"] if bound else []))
+    return wanted.mapInPandas(choose, f"query {kind}, vector array<double>, cell int, block int, part int")
 
 
-def _hits(store: Store, asked: DataFrame, k: int, codes: bool) -> DataFrame:
+def _hits(store: Store, asked: DataFrame, k: int, codes: bool, parts: int) -> DataFrame:
     """The k best vectors of each query in each block of its cells."""
     kind = dict(asked.dtypes)["query"]
     shared = store.spark.sparkContext.broadcast((store.words, np.maximum(1, -(-store.counts // BLOCK))))
@@ -181,6 +184,7 @@ def _hits(store: Store, asked: DataFrame, k: int, codes: bool) -> DataFrame:
     # only cells that a query asks are read: the join prunes partitions
     cells = asked.select("cell").distinct()
     rows = store.vectors().join(F.broadcast(cells), "cell").withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def score(vectors: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "item": [], "score": []}
@@ -203,7 +207,7 @@ def _hits(store: Store, asked: DataFrame, k: int, codes: bool) -> DataFrame:
                 out["score"] += np.round(x[best] @ q, 12).tolist()
         return pd.DataFrame(out)
 
-    return rows.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(
+    return rows.groupBy("cell", "block", "part").cogroup(asked.groupBy("cell", "block", "part")).applyInPandas(
         score, f"query {kind}, item {store.key_type}, score double")
 
 
@@ -215,7 +219,8 @@ def search(store: Store, queries: DataFrame, k: int = 5, probes: int | None = No
     def best(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = best(_hits(store, _asked(store, queries, query, vector, probes, False), k, codes=not exact))
+    parts = max(1, math.ceil(queries.count() / GROUP))
+    first = best(_hits(store, _asked(store, queries, query, vector, probes, False, parts), k, not exact, parts))
     if not exact:
         return first.withColumnRenamed("query", query)
     path = os.path.join(folder or store.folder, "first")
@@ -223,5 +228,5 @@ def search(store: Store, queries: DataFrame, k: int = 5, probes: int | None = No
     first = store.spark.read.parquet(path)
     least = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).alias("least"))
     open_queries = queries.join(least, F.col(query) == F.col("query"), "left").withColumn("least", F.coalesce("least", F.lit(-2.0))).drop("query")
-    rest = _hits(store, _asked(store, open_queries, query, vector, probes, True), k, codes=False)
+    rest = _hits(store, _asked(store, open_queries, query, vector, probes, True, parts), k, False, parts)
     return best(first.unionByName(rest)).withColumnRenamed("query", query)

@@ -101,3 +101,19 @@ def test_best_of_search_with_ties():
     cosine = np.round((x @ queries.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(queries, axis=1) + 1e-9), 12)
     for q, name in enumerate("abcde"):
         assert hits[hits["query"] == name]["item"].tolist() == np.lexsort((np.arange(400), -cosine[:, q]))[:4].tolist()
+
+
+def test_groups_and_entries_are_bounded(spark, table, tmp_path, monkeypatch):
+    """Queries meet a block in groups of bounded size, a task makes few entries at a time, a cell is one file; hits stay those of a full scan."""
+    monkeypatch.setattr(store, "GROUP", 20)
+    monkeypatch.setattr(store, "ENTRIES", 50)
+    ids, x, df = table
+    held = store.build(df, str(tmp_path / "index"), cells=12)
+    assert len(list((tmp_path / "index" / "vectors").rglob("*.parquet"))) <= 2 * len(list((tmp_path / "index" / "vectors").glob("cell=*")))
+    queries = df.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    parts = -(-queries.count() // 20)
+    asked = store._asked(held, queries, "query_id", "embedding", 12, False, parts)
+    assert asked.groupBy("cell", "block", "part").count().agg({"count": "max"}).first()[0] <= 3 * 20
+    wanted = [i for i in range(900) if ids[i] % 5 == 0]
+    got, want = results(store.search(held, queries, 4, exact=True)), {int(ids[q]): hits for q, hits in zip(wanted, full_scan(ids, x, wanted, 4).values())}
+    assert [[i for i, _ in got[q]] for q in sorted(got)] == [[int(i) for i, _ in want[q]] for q in sorted(want)]
