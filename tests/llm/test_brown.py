@@ -93,6 +93,89 @@ def test_best_class_against_full_likelihood():
         assert values[got] == pytest.approx(max(values), abs=1e-6)
 
 
+def test_joined_class_against_full_likelihood():
+    draw = random.Random(4)
+    n_words, classes = 30, 4
+    n = classes + 2
+    # words from 12 on share the class `classes`, as before they join one
+    of = np.array([draw.randrange(classes) for _ in range(12)] + [classes] * 18 + [classes + 1])
+    grams = Counter((draw.randrange(n_words + 1), draw.randrange(n_words + 1)) for _ in range(500))
+    grams[20, 20] += 9
+    _, pairs = likelihood(of, grams, n)
+    rest = range(12, n_words)
+    right, left, own = np.zeros((18, n)), np.zeros((18, n)), np.zeros(18)
+    for (a, b), k in grams.items():
+        if a == b and a in rest:
+            own[a - 12] += k
+            continue
+        if a in rest:
+            right[a - 12, of[b]] += k
+        if b in rest:
+            left[b - 12, of[a]] += k
+    got = brown.joined_class(right, left, own, pairs, classes, classes)
+    for word in rest:
+        values = []
+        for c in range(classes):
+            other = of.copy()
+            other[word] = c
+            values.append(likelihood(other, grams, n)[0])
+        assert values[got[word - 12]] == pytest.approx(max(values), abs=1e-6)
+
+
+def in_one_go(rows, of):
+    """Scores by dictionaries, with the classes `of` of all training words; None is the end."""
+    c = Counter(w for i, t in rows if not is_held_out(i) for w in words(t))
+    below = sum(c.values()) + 0.1 * (len(c) + 1)
+    share, pairs, n = Counter(), Counter(), Counter()
+    for w, k in c.items():
+        share[of[w]] += (k + 0.1) / below
+    for i, t in rows:
+        before = None
+        for w in words(t) if not is_held_out(i) else []:
+            pairs[of[before], of[w]] += 1
+            n[of[before]] += 1
+            before = w
+    known, out = sum(share.values()), {}
+    for i, t in rows:
+        before, total = None, 0.0
+        for w in words(t):
+            total += math.log10((c[w] + 0.1) / below)
+            if w in of and before in of:
+                k = share[of[w]] / known
+                total += math.log10((pairs[of[before], of[w]] + brown.PRIOR * k) / (n[of[before]] + brown.PRIOR) / k)
+            before = w
+        out[i, len(words(t))] = total
+    return out
+
+
+@pytest.mark.parametrize("head_size", [brown.HEAD, 20])
+def test_every_word_has_a_class(spark, head_size, tmp_path):
+    """Words beyond the exchanged ones are told apart too: alternating words, 8 of 40 exchanged; scores by dictionaries."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = str(tmp_path)
+    got = brown.scored(docs, folder, clustered=8, classes=4, head_size=head_size).collect()
+    table = {r.key: r["class"] for r in spark.read.parquet(f"{folder}/others").collect()}
+    names = {w for i, t in rows if not is_held_out(i) for w in words(t)} - {None}
+    key = {w: int(brown.word_hashes(w).view(np.int64)[0]) for w in names}
+    assert len(names) - len(table) == 8 and all(0 <= c < 4 for c in table.values())
+    sides = [{table[key[f"{side}{i}"]] for i in range(20) if key[f"{side}{i}"] in table} for side in "ab"]
+    assert not sides[0] & sides[1]
+    held = [r for r in got if r.held_out and r.n_tokens > 10]
+    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)
+    # the classes as they stand in the texts give the scores by dictionaries
+    of, texts = {}, {k: len({t for i, t in rows if (i, len(words(t))) == k}) for k in {(i, len(words(t))) for i, t in rows}}
+    for r in spark.read.parquet(f"{folder}/classed").collect():
+        if texts[r.id, r.n_tokens] == 1:
+            text = next(t for i, t in rows if i == r.id and len(words(t)) == r.n_tokens)
+            for w, c in zip(words(text), np.frombuffer(r.codes, np.int16).tolist()):
+                assert of.setdefault(w, c) == c
+    assert {w for w, c in of.items() if c < 4} == names and of[None] == 5
+    assert all(of[w] == table[key[w]] for w in names if key[w] in table)
+    want = in_one_go(rows, {w: c for w, c in of.items() if c != 4})
+    assert all(r.score == pytest.approx(want[r.id, r.n_tokens], abs=1e-6) for r in got)
+
+
 def test_transitions_sum_to_one():
     draw = np.random.Generator(np.random.PCG64(1))
     share = draw.random(6)
