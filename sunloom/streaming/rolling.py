@@ -29,19 +29,15 @@ from sunloom.functions.timeparts import time_encodings
 from sunloom.operators import features
 
 BLOCK = 72
-#: Rows whose frames are laid out at once.
-ROWS = 2048
+#: Rows whose frames are laid out at once, blocks whose running values are taken at once, rows of a device that are worked off at once.
+ROWS, BLOCKS, SLICE = 2048, 256, 50_000
 
 
-def frame_stats(values: np.ndarray, rows: int, first: int, extremes: bool) -> list[np.ndarray]:
-    """Mean and sample deviation (least, largest) of the frames that end at rows first, first + 1, ... of `values`.
-
-    Missing values don't count; frames are shorter at the start of the series, marked by missing rows.
-    """
+def _laid_out(part: np.ndarray, rows: int, extremes: bool) -> list[np.ndarray]:
+    """`frame_stats` of all frames of `part`, every frame by itself: the work is rows times frame."""
     out: list[list[np.ndarray]] = [[] for _ in range(4 if extremes else 2)]
-    for at in range(first, len(values), ROWS):
-        part = values[at - rows + 1:min(at + ROWS, len(values))]
-        seen = np.lib.stride_tricks.sliding_window_view(part, rows, axis=0)
+    for at in range(rows - 1, len(part), ROWS):
+        seen = np.lib.stride_tricks.sliding_window_view(part[at - rows + 1:min(at + ROWS, len(part))], rows, axis=0)
         held = ~np.isnan(seen)
         n = held.sum(axis=2)
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -55,6 +51,61 @@ def frame_stats(values: np.ndarray, rows: int, first: int, extremes: bool) -> li
     return [np.concatenate(x) for x in out]
 
 
+def _running(blocks: np.ndarray) -> list[np.ndarray]:
+    """Count, mean and squared deviations of the first 1, 2, ... rows of every block (block, row, signal)."""
+    out = [np.empty(blocks.shape) for _ in range(3)]
+    n, mean, squares = (np.zeros((len(blocks), blocks.shape[2])) for _ in range(3))
+    for k in range(blocks.shape[1]):
+        x = blocks[:, k]
+        held = ~np.isnan(x)
+        x = np.where(held, x, mean)
+        n = n + held
+        off = x - mean
+        mean = mean + off / np.maximum(n, 1)
+        squares = squares + off * (x - mean)
+        for stat, value in zip(out, (n, mean, squares)):
+            stat[:, k] = value
+    return out
+
+
+def _by_blocks(part: np.ndarray, rows: int, extremes: bool) -> list[np.ndarray]:
+    """The same in work that follows the rows: a frame is the end of one block of `rows` rows and the beginning of the next."""
+    frames = len(part) - rows + 1
+    count = -(-len(part) // rows)
+    blocks = np.full((count * rows, part.shape[1]), np.nan)
+    blocks[:len(part)] = part
+    blocks = blocks.reshape(count, rows, -1)
+    flipped, flat = blocks[:, ::-1], (count * rows, part.shape[1])
+    # a frame that is a whole block has no second part
+    whole = (np.arange(frames) % rows == 0)[:, None]
+    n1, mean1, squares1 = (x[:, ::-1].reshape(flat)[:frames] for x in _running(flipped))
+    n2, mean2, squares2 = (x.reshape(flat)[rows - 1:rows - 1 + frames] for x in _running(blocks))
+    n2 = np.where(whole, 0.0, n2)
+    n = n1 + n2
+    share, off = n2 / np.maximum(n, 1), mean2 - mean1
+    squares = squares1 + np.where(whole, 0.0, squares2) + off ** 2 * n1 * share
+    out = [np.where(n > 0, mean1 + off * share, np.nan), np.where(n > 1, np.sqrt(squares / np.maximum(n - 1, 1)), 0.0)]
+    if extremes:
+        for least in (np.fmin, np.fmax):
+            end = least.accumulate(flipped, axis=1)[:, ::-1].reshape(flat)[:frames]
+            out.append(least(end, np.where(whole, np.nan, least.accumulate(blocks, axis=1).reshape(flat)[rows - 1:rows - 1 + frames])))
+    return out
+
+
+def frame_stats(values: np.ndarray, rows: int, first: int, extremes: bool) -> list[np.ndarray]:
+    """Mean and sample deviation (least, largest) of the frames that end at rows first, first + 1, ... of `values`.
+
+    Missing values don't count; frames are shorter at the start of the series, marked by missing rows.
+    """
+    out, step = [], BLOCKS * rows
+    for at in range(first, len(values), step):
+        part = values[at - rows + 1:min(at + step, len(values))]
+        # few frames are cheaper one by one; an infinite value would stay in running values
+        short = len(part) < 2 * rows or np.isinf(part).any()
+        out.append((_laid_out if short else _by_blocks)(part, rows, extremes))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
 class Rolling(StatefulProcessor):
     """Input columns after the keys: ts, tie, the signals, string_imbalance, counter, alarm, further columns."""
 
@@ -107,8 +158,11 @@ class Rolling(StatefulProcessor):
         elif held:
             self.waiting.clear()
         if ready.any():
-            order = np.lexsort((tie[ready], at[ready]))
-            yield self.worked(key, rows[ready][order])
+            order = np.flatnonzero(ready)[np.lexsort((tie[ready], at[ready]))]
+            for start in range(0, len(order), SLICE):
+                yield self.worked(key, rows[order[start:start + SLICE]])
+            if self.forget_ms is not None:
+                self.handle.registerTimer(int(at[order[-1]] // 1000 + self.forget_ms))
         elif self.forget_ms is not None and not len(rest) and self.last.exists() and self.last.get()[4] // 1000 + self.forget_ms <= watermark:
             self.blocks.clear()
             self.last.clear()
@@ -162,8 +216,6 @@ class Rolling(StatefulProcessor):
         at = rows.view(np.int64)[:, 0]
         last_counter = float(values["__counter"][-1])
         self.last.update((n + count, None if np.isnan(last_counter) else last_counter, float(active[-1]), int(out["alarm_streak"][-1]), int(at[-1])))
-        if self.forget_ms is not None:
-            self.handle.registerTimer(int(at[-1] // 1000 + self.forget_ms))
         fixed = {k: np.full(count, v) for k, v in zip(self.keys, key)}
         return pd.DataFrame(fixed | {"__ts": at, "__tie": rows.view(np.int64)[:, 1]} | values | out)[self.order]
 

@@ -205,3 +205,25 @@ def test_frame_stats():
             seen = seen[~np.isnan(seen)]
             want = [np.mean(seen), np.std(seen, ddof=1) if len(seen) > 1 else 0.0, seen.min(), seen.max()] if len(seen) else [np.nan, 0.0, np.nan, np.nan]
             assert np.allclose([s[k - 8, j] for s in rolled], want, equal_nan=True)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 12, 288])
+def test_long_frame_stats(rows, monkeypatch):
+    """Running values of blocks against every frame by itself: missing, constant, far and infinite values, several parts."""
+    monkeypatch.setattr(rolling, "BLOCKS", 5)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(rows * 23 + 5, 4)) + [0, 1e6, 5, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:rows + 3] = np.nan
+    x[:, 2] = np.where(np.arange(len(x)) < len(x) // 2, 500.25, x[:, 2])
+    calls = []
+    monkeypatch.setattr(rolling, "_laid_out", lambda *a, f=rolling._laid_out: calls.append(len(a[0])) or f(*a))
+    got = rolling.frame_stats(x, rows, rows - 1, True)
+    assert sum(calls) < 2 * rows + 1  # the work follows the rows; only a short end is laid out
+    for a, b in zip(got, rolling._laid_out(x, rows, True)):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True)
+    constant = got[1][rows * 2 + 3:len(x) // 2 - rows, 2]
+    assert len(constant) and not constant.any()
+    x[rows * 9, 0] = np.inf
+    for a, b in zip(rolling.frame_stats(x, rows, rows - 1, True), rolling._laid_out(x, rows, True)):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True)

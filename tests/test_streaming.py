@@ -123,3 +123,20 @@ def test_silent_devices(spark, tmp_path):
     mine = [s[1:] for s in seen if s[0] == 2]
     assert mine == [(0, "online"), (0, "offline"), (22, "online"), (22, "offline")]
     assert [s[1:] for s in seen if s[0] == 1] == [(0, "online"), (30, "offline"), (55, "online")]
+
+
+@pytest.mark.parametrize("file_rows", [10_000, 40])
+def test_events_of_many_files_are_batches_in_order(spark, tmp_path, monkeypatch, file_rows):
+    """A table of several files, one of them all over the time line: five batches, each later than the one before, no row lost."""
+    monkeypatch.setattr(bindings, "FILE_ROWS", file_rows)
+    rows = spark.range(0, 3000, 1, 6).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 500 * 3600).alias("ts"),
+                                             (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"),
+                                             F.lit('{"k": 3}').alias("props"))
+    rows.write.parquet(f"{tmp_path}/in/events.parquet")
+    seen = []
+    stream = bindings.event_stream(spark, f"{tmp_path}/in", str(tmp_path / "root"))
+    keep = lambda batch, _: seen.append(batch.agg(F.count("ts"), F.min("ts"), F.max("ts")).first())
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "check")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == bindings.STREAM_PARTS and sum(r[0] for r in seen) == 3000
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+    assert spark.read.parquet(f"{tmp_path}/root/events").inputFiles().__len__() == (5 if file_rows > 100 else 5 * min(8, 6, rows.rdd.getNumPartitions()))
