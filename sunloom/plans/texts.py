@@ -81,8 +81,12 @@ def index_search(spark, folder):
 def retrieved_context(spark, folder):
     """Chunks of all documents embedded by hashed terms and stored; benchmark texts are the queries; context of the best three."""
     docs = chunks.chunk_table(spread(b.table(spark, folder, "documents").select("doc_id", "text")), size=200, overlap=50)
-    docs = docs.withColumn("key", F.concat_ws("-", "doc_id", "chunk_id"))
-    fitted, path = chunks.fit_embedder(docs), os.path.join(shared_folder(spark), f"store-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"store-{uuid.uuid4().hex}")
+    # the encoder is fitted and applied: texts are cut and counted once
+    docs = chunks.counted(docs.select(F.concat_ws("-", "doc_id", "chunk_id").alias("key"), "chunk"))
+    docs.write.parquet(f"{path}/counts")
+    docs = spark.read.schema(docs.schema).parquet(f"{path}/counts")
+    fitted = chunks.fit_embedder(docs)
     chunks.save_store(chunks.embed(docs, fitted).select("key", "chunk", "vector"), fitted, path)
     docs, model = chunks.load_store(spark, path)
     asked = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))

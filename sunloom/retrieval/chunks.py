@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +15,13 @@ from sunloom import config
 # Characters that separate words: Unicode white space and the four ASCII separators.
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+# The same for Spark's matcher, which looks up single characters below 256 in a table and asks for the others only beyond 1680.
+SPLIT = (r"[ \t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\x{a0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+         r"\x{205f}\x{3000}]]]+")
+
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPLIT), "")
 
 
 def word_windows(every: Column, size: int = config.CHUNK_WORDS, overlap: int = config.CHUNK_OVERLAP,
@@ -44,12 +48,19 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     return cut.where(F.col("chunk").isNotNull())
 
 
+def _counter(size: int) -> HashingTF:
+    return HashingTF(inputCol="terms", outputCol="tf", numFeatures=size)
+
+
+def counted(texts: DataFrame, column: str = "chunk", size: int = 256) -> DataFrame:
+    """`texts` with their hashed term frequencies `tf`: stored, they let an encoder be fitted and applied without counting again."""
+    return _counter(size).transform(texts.withColumn("terms", words(F.lower(column)))).drop("terms")
+
+
 def fit_embedder(texts: DataFrame, column: str = "chunk", size: int = 256) -> PipelineModel:
     """Hashed term frequencies weighted by rarity, unit length. Any other encoder can take its place as a column."""
-    terms = texts.withColumn("terms", words(F.lower(column)))
-    return Pipeline(stages=[HashingTF(inputCol="terms", outputCol="tf", numFeatures=size),
-                            IDF(inputCol="tf", outputCol="weighted"),
-                            Normalizer(inputCol="weighted", outputCol="unit")]).fit(terms)
+    counts = texts if "tf" in texts.columns else counted(texts, column, size)
+    return PipelineModel([_counter(size), IDF(inputCol="tf", outputCol="weighted").fit(counts), Normalizer(inputCol="weighted", outputCol="unit")])
 
 
 def save_store(chunks: DataFrame, model: PipelineModel, folder: str) -> None:
@@ -63,5 +74,5 @@ def load_store(spark: SparkSession, folder: str) -> tuple[DataFrame, PipelineMod
 
 
 def embed(texts: DataFrame, model: PipelineModel, column: str = "chunk", out: str = "vector") -> DataFrame:
-    terms = texts.withColumn("terms", words(F.lower(column)))
-    return model.transform(terms).withColumn(out, vector_to_array("unit")).drop("terms", "tf", "weighted", "unit")
+    counts = texts if "tf" in texts.columns else model.stages[0].transform(texts.withColumn("terms", words(F.lower(column)))).drop("terms")
+    return PipelineModel(model.stages[1:]).transform(counts).withColumn(out, vector_to_array("unit")).drop("tf", "weighted", "unit")

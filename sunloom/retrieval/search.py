@@ -17,6 +17,8 @@ BLOCK_BYTES = 32 * 1024 * 1024
 MATRIX_CELLS = 4_000_000
 BUCKET_BYTES = 64 * 1024 * 1024
 EPSILON = 1e-9
+# scores are rounded to 12 decimals; before, equal ones may differ by less than this
+SLACK = 1e-11
 
 
 class _Best:
@@ -26,6 +28,8 @@ class _Best:
         self.names, self.queries, self.k = names, queries, k
         self.norms = np.linalg.norm(queries, axis=1)
         self.query, self.score, self.item = np.zeros(0, np.int64), np.zeros(0), None
+        # the k-th score of each query so far
+        self.least = np.full(len(names), -np.inf)
 
     def add(self, items: np.ndarray, vectors: list) -> None:
         """Score items in slices, so that a score matrix stays within its bound."""
@@ -34,18 +38,26 @@ class _Best:
             self._add(items[at:at + step], np.vstack(vectors[at:at + step]).astype("float64"))
 
     def _add(self, items: np.ndarray, x: np.ndarray) -> None:
-        cosine = np.round((x @ self.queries.T) / (np.linalg.norm(x, axis=1)[:, None] * self.norms + EPSILON), 12)
+        cosine = (self.queries @ x.T) / (self.norms[:, None] * np.linalg.norm(x, axis=1) + EPSILON)
         if len(items) > self.k:
+            least = self.least
+            if np.isinf(least).any():
+                least = np.maximum(least, np.partition(cosine, len(items) - self.k, axis=1)[:, len(items) - self.k])
             # all that reach the k-th score of their query: ties are settled by item below
-            row, query = np.nonzero(cosine >= np.partition(cosine, len(items) - self.k, axis=0)[len(items) - self.k])
+            query, row = np.nonzero(cosine >= (least - SLACK)[:, None])
         else:
-            row, query = np.indices(cosine.shape).reshape(2, -1)
-        query, score, item = np.append(self.query, query), np.append(self.score, cosine[row, query]), items[row]
+            query, row = np.indices(cosine.shape).reshape(2, -1)
+        if not len(row):
+            return
+        score = np.append(self.score, np.round(cosine[query, row], 12))
+        query, item = np.append(self.query, query), items[row]
         item = item if self.item is None else np.append(self.item, item)
         _, by_item = np.unique(item, return_inverse=True)
         order = np.lexsort((by_item, -score, query))
         query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = np.where(np.isnan(score[order[last]]), -np.inf, score[order[last]])
         order, query = order[place < self.k], query[place < self.k]
         self.query, self.score, self.item = query, score[order], item[order]
 
@@ -107,8 +119,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_K, ke
     else:
         hits = _block_hits(rows, asked, blocks, size[1] or 0, k, schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("query").alias(query), F.col("item").alias(key), "score", "rank"))
+    # k rows for each query of one broadcast: what they are joined with need not move
+    return best.hint("broadcast") if blocks == 1 else best
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -216,10 +216,13 @@ def search(store: Store, queries: DataFrame, k: int = 5, probes: int | None = No
     """Rows (query, item, score, rank), ties by item. `exact` stores the hits of the first cells in `folder`."""
     order, probes = Window.partitionBy("query").orderBy(F.desc("score"), "item"), probes or store.probes
 
+    parts = max(1, math.ceil(queries.count() / GROUP))
+
     def best(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        # k rows for each query of one group: what they are joined with need not move
+        return found.hint("broadcast") if parts == 1 else found
 
-    parts = max(1, math.ceil(queries.count() / GROUP))
     first = best(_hits(store, _asked(store, queries, query, vector, probes, False, parts), k, not exact, parts))
     if not exact:
         return first.withColumnRenamed("query", query)
