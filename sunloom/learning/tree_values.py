@@ -6,13 +6,15 @@ all of them (o = 1) or not (o = 0). With the weight of a set of s out of d input
 input i its value times (o_i - z_i) times the weighted sum over all sets of the others of the product of their o or z.
 That sum is a polynomial: one factor (z_j + o_j t) is multiplied in per input (`extended`), and the one of input i is taken
 out again (`unwound`), so the work per leaf is quadratic in d instead of exponential. Rows that take the same splits of a
-leaf share the result.
+leaf share the result. A tree tells the bins of an input apart only by its own cuts: once a task has seen more rows than there are
+combinations of such stretches of bins, the tree's values are worked out once per combination and looked up for the rows.
 
 Values plus `bias`, the cover-weighted mean of the leaves, add up to the margin.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from sunloom.learning.histogram_trees import Tree
 
 #: Inputs on a path up to which a leaf keeps a table of all patterns of taken splits.
 TABLE_INPUTS = 8
+#: Numbers that the tables of whole trees may hold in a task.
+TABLE_NUMBERS = 8_000_000
 
 
 def extended(weights: np.ndarray, taken: np.ndarray, share: float) -> np.ndarray:
@@ -148,6 +152,43 @@ def shapley(leaves: list[Leaf], bins: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values)
 
 
+class Values:
+    """Adds the Shapley values of a tree, by its leaves or from a table of all combinations of the stretches of bins that it tells apart."""
+
+    def __init__(self, tree: Tree):
+        self.leaves, self.seen, self.table = leaves_of(tree), 0, None
+        self.cuts = {f: np.unique([b for g, b in zip(tree.feature, tree.bin) if g == f]) for f in sorted({f for f in tree.feature if f >= 0})}
+        self.combinations = math.prod(len(cuts) + 1 for cuts in self.cuts.values())
+
+    def add(self, cells: np.ndarray, values: np.ndarray, room: int) -> int:
+        """Add to the values (input, row) of the bins (input, row). Returns how many of `room` numbers a new table took."""
+        self.seen += cells.shape[1]
+        took = 0
+        if self.table is None and self.seen >= self.combinations and self.combinations * len(self.cuts) <= room:
+            took = self._tabled(len(cells))
+        if self.table is None:
+            for leaf in self.leaves:
+                leaf.add(cells.T, values.T)
+            return took
+        code = sum(steps.take(cells[f]) for f, steps in self.steps.items())
+        for f, given in self.table.items():
+            values[f] += given.take(code)
+        return took
+
+    def _tabled(self, inputs: int) -> int:
+        bins, stretch = np.zeros((inputs, self.combinations), np.uint8), 1
+        self.steps, number = {}, np.arange(self.combinations)
+        for f, cuts in self.cuts.items():
+            bins[f] = np.append(cuts, 255)[number // stretch % (len(cuts) + 1)]
+            self.steps[f] = np.searchsorted(cuts, np.arange(256)) * stretch
+            stretch *= len(cuts) + 1
+        given = np.zeros(bins.shape)
+        for leaf in self.leaves:
+            leaf.add(bins.T, given.T)
+        self.table = {f: given[f].copy() for f in self.cuts}
+        return self.combinations * len(self.cuts)
+
+
 # ----------------------------------------------------------------------------------------------------------- operators
 def attributions(model: Boosted, df: DataFrame, *keep: str) -> DataFrame:
     """Rows (keep..., class, bias, entries) for every row and class; entries are {feature, value} in input order."""
@@ -158,16 +199,19 @@ def attributions(model: Boosted, df: DataFrame, *keep: str) -> DataFrame:
     wide, count = len(kept.columns), len(model.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = [[leaf for trees in shared.value.rounds for leaf in leaves_of(trees[c])] for c in range(shared.value.classes)]
-        biases = [bias_of(leaves) for leaves in forest]
+        forest = [[Values(trees[c]) for trees in shared.value.rounds] for c in range(shared.value.classes)]
+        biases = [bias_of([leaf for tree in trees for leaf in tree.leaves]) for trees in forest]
+        room = TABLE_NUMBERS
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            bins = shared.value.bins(np.column_stack([batch.column(wide + j).to_numpy() for j in range(count)]))
-            for c, leaves in enumerate(forest):
-                values = shapley(leaves, bins)
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), pa.array(values.reshape(-1)))
+            cells = shared.value.cells([batch.column(wide + j).to_numpy() for j in range(count)])
+            for c, trees in enumerate(forest):
+                values = np.zeros(cells.shape)
+                for tree in trees:
+                    room -= tree.add(cells, values, room)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), pa.array(np.ascontiguousarray(values.T).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:wide], pa.array(np.full(n, c), pa.int32()), pa.array(np.full(n, biases[c])), rows],
                                                  schema=arrow)
 
