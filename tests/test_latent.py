@@ -54,3 +54,36 @@ def test_shares_of_a_term_meet_as_rows(spark, tmp_path, monkeypatch):
     model = latent.fit(docs, str(tmp_path), components=4, rounds=2)
     assert set(seen) == {"struct<__at:array<int>>"} and len(seen) == 3
     assert np.allclose(model.vectors.T @ model.vectors, np.eye(4), atol=1e-8)
+
+
+def test_words_are_counted_where_they_are_split(spark, tmp_path, monkeypatch):
+    """Counts of texts by term from slices of texts, with separators at the ends, repeated words and words that lower case joins."""
+    texts = [" Pump valve\tpump ", "VALVE seal", None, "", "\x1c\x85", "seal pump", "Ärger ärger"] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, chunk string").repartition(3)
+    lists = docs.select(chunks.words(F.lower(F.coalesce("chunk", F.lit("")))).alias("w"))
+    expected = {r["t"]: r["n"] for r in lists.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for size, most in ((latent.TEXT_BYTES, latent.TERMS), (16, 3), (16, 1)):
+        monkeypatch.setattr(latent, "TEXT_BYTES", size)
+        monkeypatch.setattr(latent, "TERMS", most)
+        model = latent.fit(docs, str(tmp_path / f"{size}-{most}"), components=2)
+        assert model.terms == sorted(expected, key=lambda t: (-expected[t], t))
+        assert np.allclose(model.rarity, [np.log(len(texts) / expected[t]) for t in model.terms])
+        # no table of words is written
+        assert [p.name for p in (tmp_path / f"{size}-{most}").iterdir()] == ["places"]
+
+
+def test_sparse_products():
+    draw = np.random.default_rng(2)
+    row, term = np.divmod(np.sort(draw.choice(60 * 40, 900, replace=False)), 40)
+    row, weight = row + (row > 20) * 5, draw.normal(size=900)
+    a = np.zeros((70, 40))
+    a[row, term] = weight
+    block = draw.normal(size=(40, 7))
+    right = latent.times((row, term, weight), 70, block)
+    assert np.allclose(right, a @ block)
+    for many in (1, latent.MANY, 1000):
+        latent.MANY, before = many, latent.MANY
+        try:
+            assert np.allclose(latent.back((row, term, weight), right, 40), a.T @ right)
+        finally:
+            latent.MANY = before
